@@ -144,30 +144,33 @@ def word_counts(df: DataFrame, text: str, top_n: int | None = None) -> DataFrame
     return value_counts(words, "word", top_n)
 
 
-def _pair_r(a: str, b: str) -> Column:
-    """Pearson r over rows where both are present; NULL when either side is constant."""
-    x = F.when(col(b).isNotNull(), col(a).cast("double"))
-    y = F.when(col(a).isNotNull(), col(b).cast("double"))
-    return safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation in long form ``a, b, r`` (both orders and the
-    diagonal), all pairs in one aggregate pass."""
+    diagonal); NULL when a side is constant (pandas gives NaN).
+
+    Each row is expanded to one (pair, x, y) entry per column pair present in it and
+    aggregated by pair: three aggregate functions (covariance and two deviations) keep the
+    stage inside whole-stage codegen whatever the number of columns, and the partial
+    aggregate leaves one row per pair and task before the shuffle."""
     cols = list(cols or numeric_columns(df))
     check_columns(df, cols)
-    pairs = list(combinations(range(len(cols)), 2))
-    aggs = [_pair_r(cols[i], cols[i]).alias(f"d{i}") for i in range(len(cols))]
-    aggs += [_pair_r(cols[i], cols[j]).alias(f"o{i}_{j}") for i, j in pairs]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[i]).alias("b"),
-                     F.col(f"d{i}").alias("r")) for i in range(len(cols))]
-    for i, j in pairs:
-        rows.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
-                             F.col(f"o{i}_{j}").alias("r")))
-        rows.append(F.struct(F.lit(cols[j]).alias("a"), F.lit(cols[i]).alias("b"),
-                             F.col(f"o{i}_{j}").alias("r")))
-    return one.select(F.inline(F.array(*rows)))
+    pairs = [(i, i) for i in range(len(cols))] + list(combinations(range(len(cols)), 2))
+    entries = F.array(*[F.struct(F.lit(k).alias("_k"), col(cols[i]).cast("double").alias("_x"),
+                                 col(cols[j]).cast("double").alias("_y"))
+                        for k, (i, j) in enumerate(pairs)])
+    x, y = F.col("_x"), F.col("_y")
+    r = (df.select(F.inline(entries)).where(x.isNotNull() & y.isNotNull())
+         .groupBy("_k").agg(safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+                            .alias("r")))
+    names = F.array(*[F.lit(c) for c in cols])
+    ia = F.array(*[F.lit(i) for i, _ in pairs])[F.col("_k")]
+    ib = F.array(*[F.lit(j) for _, j in pairs])[F.col("_k")]
+    # every pair appears even when it has no complete row
+    keys = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("_k"))
+    full = keys.join(r, "_k", "left")
+    fwd = full.select(names[ia].alias("a"), names[ib].alias("b"), "r")
+    back = full.where(ia != ib).select(names[ib].alias("a"), names[ia].alias("b"), "r")
+    return fwd.unionByName(back)
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
