@@ -1,0 +1,3 @@
+"""Streaming: the reference has no streaming operator (no watermark, window or state), so this
+package is intentionally empty. The batch operators accept any DataFrame; aggregate ones such as
+``group_agg`` and ``value_counts`` also plan on a streaming DataFrame with complete output mode."""
