@@ -172,6 +172,12 @@ def q_correlation_pairs(spark, sf):
     return rounded(A.correlation_pairs(_li_corr(spark, sf), CORR_COLS), {"r": 6})
 
 
-@register("correlation_matrix")
+def _corr_matrix_sql() -> str:
+    cells = ", ".join(f"max(r) FILTER (WHERE b = '{c}') AS {c}" for c in CORR_COLS)
+    return f"SELECT a AS \"column\", {cells} FROM ({_corr_sql(False)}) GROUP BY a"
+
+
+@register("correlation_matrix", _corr_matrix_sql())
 def q_correlation_matrix(spark, sf):
-    return A.correlation_matrix(_li_corr(spark, sf), CORR_COLS)
+    m = A.correlation_matrix(_li_corr(spark, sf), CORR_COLS)
+    return rounded(m, {c: 6 for c in CORR_COLS})

@@ -341,7 +341,14 @@ def q_answer_top(spark, sf):
     return rounded(out, {"o_totalprice": 2})
 
 
-@register("digest")
+def _digest_sql() -> str:
+    from quarry.plans.q_profile import EV_NUM, _describe_sql, _profile_sql
+    prof = _profile_sql()[len(f"WITH {EVENTS_DIRTY} "):]
+    return (f"WITH {EVENTS_DIRTY}, pr AS ({prof}), ds AS ({_describe_sql('evd', EV_NUM)}) "
+            'SELECT * FROM pr LEFT JOIN ds USING ("column")')
+
+
+@register("digest", _digest_sql())
 def q_digest(spark, sf):
     return S.digest_table(events_dirty(spark, sf))
 
