@@ -151,8 +151,20 @@ def trend_curve(fits: DataFrame, points: int = CURVE_POINTS) -> DataFrame:
 
 
 def trend_over_time(df: DataFrame, ts: str, y: str) -> DataFrame:
-    """Linear trend of y against time (x = epoch seconds)."""
-    d = df.withColumn("_t", F.unix_timestamp(col(ts)).cast("double"))
+    """Linear trend of y against time (x = epoch seconds, fractions kept).
+
+    A zone-less timestamp is measured from the zone-less epoch, so the session time zone
+    cannot shift x."""
+    check_columns(df, [ts, y])
+    dt = df.schema[ts].dataType.simpleString()
+    if dt == "timestamp_ntz":
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        secs = F.timestamp_diff("MICROSECOND", epoch, col(ts)) / 1e6
+    elif dt == "date":
+        secs = F.unix_date(col(ts)).cast("double") * 86400.0
+    else:
+        secs = F.unix_micros(col(ts).cast("timestamp")) / 1e6
+    d = df.withColumn("_t", secs.cast("double"))
     return linear_fit(d, "_t", y)
 
 

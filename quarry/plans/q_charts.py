@@ -388,3 +388,21 @@ def q_report_quality(spark, sf):
     path = _scratch(spark, "report")
     out = IO.write_report(table(spark, sf, "part"), path)
     return spark.read.parquet(out["quality"])
+
+
+@register("kmeans_labels")
+def q_kmeans_labels(spark, sf):
+    return T.kmeans(table(spark, sf, "lineitem"), KM_FEATURES, k=4) \
+        .select("l_orderkey", "l_linenumber", *KM_FEATURES, "Cluster")
+
+
+@register("report_statistics", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 3) AS mean,
+       round(stddev_samp({c}), 3) AS std, round(min({c}), 3) AS min,
+       round(quantile_cont({c}, 0.25), 3) AS p25, round(quantile_cont({c}, 0.5), 3) AS p50,
+       round(quantile_cont({c}, 0.75), 3) AS p75, round(max({c}), 3) AS max FROM part"""
+    for c in ("p_partkey", "p_size", "p_retailprice")))
+def q_report_statistics(spark, sf):
+    path = _scratch(spark, "report")
+    out = IO.write_report(table(spark, sf, "part"), path)
+    return spark.read.parquet(out["statistics"])

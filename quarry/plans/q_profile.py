@@ -162,3 +162,63 @@ def q_preview_tail(spark, sf):
 @register("preview_random")
 def q_preview_random(spark, sf):
     return P.preview(table(spark, sf, "orders"), 20, mode="random", seed=7)
+
+
+def _kinds_sql(tbl: str, cols: list[tuple[str, str, str | None]]) -> str:
+    parts = []
+    for c, dt, kind in cols:
+        w = f"avg(len(regexp_extract_all({c}, '\\S+')))"
+        k = f"'{kind}'" if kind else f"CASE WHEN {w} > 4 THEN 'text' ELSE 'categorical' END"
+        aw = "CAST(NULL AS DOUBLE)" if kind else f"round({w}, 6)"
+        src = f"(SELECT 1 FROM {tbl} LIMIT 1)" if kind else tbl
+        parts.append(f"SELECT '{c}' AS \"column\", '{dt}' AS dtype, {k} AS kind, {aw} AS avg_words "
+                     f"FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+DOC_KINDS = [("doc_id", "bigint", "numerical"), ("text", "string", None),
+             ("lang", "string", None), ("source", "string", None),
+             ("n_chars", "bigint", "numerical")]
+
+
+@register("column_kinds", _kinds_sql("documents", DOC_KINDS))
+def q_column_kinds(spark, sf):
+    from quarry.functions.kinds import column_kinds
+    return rounded(column_kinds(table(spark, sf, "documents")), {"avg_words": 6})
+
+
+@register("column_kinds_mixed", _kinds_sql("embeddings", [
+    ("vec_id", "bigint", "numerical"), ("embedding", "array<float>", "unknown"),
+    ("label", "int", "numerical")]))
+def q_column_kinds_mixed(spark, sf):
+    from quarry.functions.kinds import column_kinds
+    return column_kinds(table(spark, sf, "embeddings"))
+
+
+@register("quantiles", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {p} AS p, round(quantile_cont({c}, {p}), 6) AS q FROM lineitem"
+    for c in ("l_quantity", "l_extendedprice", "l_discount")
+    for p in (0.0, 0.01, 0.1, 0.333, 0.5, 0.9, 0.99, 1.0)))
+def q_quantiles(spark, sf):
+    from quarry.functions.quantiles import quantiles
+    q = quantiles(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
+                  [0.0, 0.01, 0.1, 0.333, 0.5, 0.9, 0.99, 1.0])
+    return rounded(q, {"q": 6})
+
+
+@register("quantiles_by", " UNION ALL ".join(
+    f"SELECT o_orderpriority, 'o_totalprice' AS \"column\", {p} AS p, "
+    f"round(quantile_cont(o_totalprice, {p}), 6) AS q FROM orders GROUP BY o_orderpriority"
+    for p in (0.05, 0.5, 0.95)))
+def q_quantiles_by(spark, sf):
+    from quarry.functions.quantiles import quantiles
+    q = quantiles(table(spark, sf, "orders"), ["o_totalprice"], [0.05, 0.5, 0.95],
+                  by=["o_orderpriority"])
+    return rounded(q, {"q": 6})
+
+
+@register("moments", f"""WITH {EVENTS_DIRTY} """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, round(skewness({c}), 6) AS skew, "
+    f"round(kurtosis({c}), 6) AS kurtosis FROM evd" for c in EV_NUM))
+def q_moments(spark, sf):
+    return rounded(P.moments(events_dirty(spark, sf)), {"skew": 6, "kurtosis": 6})
