@@ -8,10 +8,12 @@ last non-missing value) go into a small table of one row per partition and group
 over that small table carries values across partition borders, and a join brings them back.
 
 The sort partition of a row is read from ``monotonically_increasing_id`` (partition index in
-the upper bits). Both uses of the sorted data come from the same exchange, which Spark plans
-once and reuses, so they see the same partitioning; with unique order keys a recomputation
-after an executor loss yields the same ids. ``checkpoint=True`` pins the sorted table in the
-checkpoint folder instead.
+the upper bits). The summary and the row-level branch must see the same ids, but they are not
+planned as one exchange (column pruning makes the two sorts differ, and each range sort samples
+its own split points), so the sorted, id-tagged table is written once with a reliable
+``checkpoint()`` to the folder named by ``spark.checkpoint.dir``: ids become stored columns,
+both branches read them, and a lost executor only re-reads checkpoint files. ``checkpoint=False``
+skips the write and is only safe when the sort's input fits one sample (small tables).
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def _sorted_with_ids(df: DataFrame, keys: Sequence[str], checkpoint: bool) -> Da
 
 
 def ordered_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
-                  name: str = "row_index", checkpoint: bool = False) -> DataFrame:
+                  name: str = "row_index", checkpoint: bool = True) -> DataFrame:
     """Add ``name``: 0-based position of each row in ``order_by`` order within its
     ``partition_by`` group (a distributed ``row_number() - 1``)."""
     p, o = list(partition_by), list(order_by)
@@ -58,7 +60,7 @@ def ordered_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence
 
 
 def forward_fill(df: DataFrame, c: str, order_by: Sequence[str],
-                 partition_by: Sequence[str] = (), checkpoint: bool = False) -> DataFrame:
+                 partition_by: Sequence[str] = (), checkpoint: bool = True) -> DataFrame:
     """Fill missing cells of ``c`` with the last earlier non-missing value in ``order_by``
     order (within ``partition_by`` groups). Leading missing cells stay missing."""
     p, o = list(partition_by), list(order_by)
@@ -87,7 +89,7 @@ def forward_fill(df: DataFrame, c: str, order_by: Sequence[str],
 def rolling_mean(df: DataFrame, y: str, order_by: Sequence[str], n: int,
                  partition_by: Sequence[str] = (), min_periods: int | None = None,
                  name: str | None = None, chunk: int = 1_000_000,
-                 checkpoint: bool = False) -> DataFrame:
+                 checkpoint: bool = True) -> DataFrame:
     """Mean of the last ``n`` rows (current included) in ``order_by`` order.
 
     Like pandas' ``rolling(n, min_periods).mean()``: missing values are skipped, and fewer
