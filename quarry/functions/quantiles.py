@@ -10,7 +10,8 @@ distributed steps:
 2. one pass that classifies each value per target as "below L" (only counted) or "inside"
    (grouped by value, so a value repeated a billion times is one row after the map-side
    combine); values above ``U`` are dropped;
-3. a running count over the thin slice (about ``8 n / accuracy`` values) gives exact ranks.
+3. a running count over the thin slice (about ``8 n / accuracy`` distinct values, in one
+   window partition per group and target, sorted with spilling) gives exact ranks.
 
 Small groups (fewer than ``2 * accuracy`` values) use their whole range as the slice.
 The interpolation is ``x_lo + (x_hi - x_lo) * frac`` at position ``p * (n - 1)``, which is
@@ -69,18 +70,19 @@ def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequ
              .where(F.col("_below") | F.col("_sv").isNotNull())
              .groupBy(*keys, "_n", "_t", "_sv").agg(F.count(F.lit(1)).alias("_cnt")))
 
-    below = (marks.where(F.col("_sv").isNull())
-             .select(*keys, "_t", F.col("_cnt").alias("_below")))
-    inside = marks.where(F.col("_sv").isNotNull())
-    w = Window.partitionBy(*keys, "_t").orderBy("_sv")
+    # one window per (group, target): the "below" row (NULL value) sorts first, so the running
+    # count is below + values up to this one; a single consumer of ``marks``, so the sketch
+    # bounds it was built from cannot differ between branches
+    w = Window.partitionBy(*keys, "_t").orderBy(F.col("_sv").asc_nulls_first()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
     p_arr = F.array(*[F.lit(p) for p in ps])
-    ranked = (inside.join(below, keys + ["_t"], "left")
+    ranked = (marks.withColumn("_cum", F.sum("_cnt").over(w))
+              .where(F.col("_sv").isNotNull())
               .withColumn("_p", p_arr[F.col("_t")])
               .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
               .withColumn("_rlo", F.floor("_pos"))
               .withColumn("_rhi", F.ceil("_pos"))
-              .withColumn("_lt", F.coalesce(F.col("_below"), F.lit(0))
-                          + F.sum("_cnt").over(w) - F.col("_cnt")))
+              .withColumn("_lt", F.col("_cum") - F.col("_cnt")))
     hit_lo = (F.col("_lt") <= F.col("_rlo")) & (F.col("_rlo") < F.col("_lt") + F.col("_cnt"))
     hit_hi = (F.col("_lt") <= F.col("_rhi")) & (F.col("_rhi") < F.col("_lt") + F.col("_cnt"))
     picked = (ranked.where(hit_lo | hit_hi)
