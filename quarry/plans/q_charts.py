@@ -17,13 +17,12 @@ from quarry.sources import io as IO
 
 def _hist_sql(src: str, x: str, bins: int, color: str | None = None, dens: bool = False) -> str:
     ck = f"{color}, " if color else ""
-    cw = f" AND {color} IS NOT NULL" if False else ""
     d = (", round(count(*) / CASE WHEN w > 0 THEN w ELSE 1.0 END, 6) AS density"
          if dens else "")
     return f"""WITH r AS (SELECT min({x}) AS lo, max({x}) AS hi, (max({x}) - min({x})) / {bins} AS w
                 FROM {src}),
 b AS (SELECT {ck}CAST(CASE WHEN w > 0 THEN least(floor(({x} - lo) / w), {bins - 1}) ELSE 0 END
-             AS INTEGER) AS bin, lo, w FROM {src}, r WHERE {x} IS NOT NULL{cw})
+             AS INTEGER) AS bin, lo, w FROM {src}, r WHERE {x} IS NOT NULL)
 SELECT {ck}bin, round(lo + bin * w, 6) AS lower, round(lo + (bin + 1) * w, 6) AS upper,
        count(*) AS count{d} FROM b GROUP BY {ck}bin, lo, w"""
 

@@ -32,7 +32,7 @@ rtot AS (SELECT {c}, {aggs} FROM comp GROUP BY {c})"""
     for v in vals:
         if c:
             for cv in cvals:
-                top.append(f"{cells(f'(SELECT b.{v} FROM body b WHERE b.{r} = k.{r} AND b.{c} = {cv!r})')} AS {nm(v, cv)}".replace('"', '"'))
+                top.append(f"{cells(f'(SELECT b.{v} FROM body b WHERE b.{r} = k.{r} AND b.{c} = {cv!r})')} AS {nm(v, cv)}")
                 bottom.append(f"{cells(f'(SELECT t.{v} FROM rtot t WHERE t.{c} = {cv!r})')}")
             top.append(f"{cells(f'(SELECT t.{v} FROM ctot t WHERE t.{r} = k.{r})')} AS {nm(v, 'Total')}")
             bottom.append(f"{cells(f'(SELECT g.{v} FROM gtot g)')}")
@@ -46,7 +46,7 @@ rtot AS (SELECT {c}, {aggs} FROM comp GROUP BY {c})"""
     sql += f"""
 SELECT CAST(k.{r} AS VARCHAR) AS {r}, {", ".join(top)} FROM (SELECT DISTINCT {r} FROM base) k
 UNION ALL SELECT 'Total', {", ".join(bottom)}"""
-    return sql.replace("'", "'")
+    return sql
 
 
 LS = ["F", "O"]
