@@ -10,8 +10,11 @@ distributed steps:
 2. one pass that classifies each value per target as "below L" (only counted) or "inside"
    (grouped by value, so a value repeated a billion times is one row after the map-side
    combine); values above ``U`` are dropped;
-3. a running count over the thin slice (about ``8 n / accuracy`` distinct values, in one
-   window partition per group and target, sorted with spilling) gives exact ranks.
+3. exact ranks inside the thin slice (about ``8 n / accuracy`` values): the slice is cut into
+   ``buckets`` equal-width value buckets; the bucket counts (a small table) locate the bucket
+   of each target rank, and only that bucket's values are ranked by a window, so no task sorts
+   more than about ``8 n / (accuracy * buckets)`` distinct values (a narrow quantile interval
+   has nearly uniform density; repeated values are one row each).
 
 Small groups (fewer than ``2 * accuracy`` values) use their whole range as the slice.
 The interpolation is ``x_lo + (x_hi - x_lo) * frac`` at position ``p * (n - 1)``, which is
@@ -26,12 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import col
+from quarry.session import checkpoint_dir
 
 DEFAULT_ACCURACY = 10000
+DEFAULT_BUCKETS = 1024
 
 
 def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
-                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                   accuracy: int = DEFAULT_ACCURACY, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Exact quantiles of ``value`` for each group of ``keys``.
 
     ``long_df`` holds ``keys`` and ``value``; missing values are ignored. Returns
@@ -56,33 +61,55 @@ def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequ
                                for t in range(nt)]).alias("_lo"),
                      F.array(*[F.when(small, F.col("_mx")).otherwise(F.col("_b")[nt + t])
                                for t in range(nt)]).alias("_hi")))
+    # The sketch's bounds can come out differently if the aggregate is recomputed (merge order
+    # of partial sketches), and two branches below depend on them: the table (one row per
+    # group) is therefore written once with a reliable checkpoint.
+    checkpoint_dir(long_df.sparkSession)
+    stats = stats.checkpoint(eager=True)
     # One row per group: joined back on the keys (AQE broadcasts it when it measures small);
     # without keys it is a single row, so the broadcast is bounded by construction.
     joined = data.join(stats, keys) if keys else data.crossJoin(F.broadcast(stats))
 
+    lo_t, hi_t = F.col("_lo")[F.col("_c._t")], F.col("_hi")[F.col("_c._t")]
     cls = F.explode(F.array(*[
         F.struct(F.lit(t).alias("_t"),
                  (v < F.col("_lo")[t]).alias("_below"),
                  F.when((v >= F.col("_lo")[t]) & (v <= F.col("_hi")[t]), v).alias("_sv"))
         for t in range(nt)])).alias("_c")
-    marks = (joined.select(*keys, "_n", cls)
-             .select(*keys, "_n", "_c.*")
+    # bucket of a slice value: equal widths over [L, U]; -1 marks the "below" count
+    width = hi_t - lo_t
+    bucket = F.when(F.col("_c._sv").isNull(), F.lit(-1)).otherwise(
+        F.when(width > 0, F.least(F.floor((F.col("_c._sv") - lo_t) / width * buckets),
+                                  F.lit(buckets - 1))).otherwise(F.lit(0))).cast("int")
+    marks = (joined.select(*keys, "_n", cls, bucket.alias("_bk"))
+             .select(*keys, "_n", "_c.*", "_bk")
              .where(F.col("_below") | F.col("_sv").isNotNull())
-             .groupBy(*keys, "_n", "_t", "_sv").agg(F.count(F.lit(1)).alias("_cnt")))
+             .groupBy(*keys, "_n", "_t", "_bk", "_sv").agg(F.count(F.lit(1)).alias("_cnt")))
 
-    # one window per (group, target): the "below" row (NULL value) sorts first, so the running
-    # count is below + values up to this one; a single consumer of ``marks``, so the sketch
-    # bounds it was built from cannot differ between branches
-    w = Window.partitionBy(*keys, "_t").orderBy(F.col("_sv").asc_nulls_first()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
     p_arr = F.array(*[F.lit(p) for p in ps])
-    ranked = (marks.withColumn("_cum", F.sum("_cnt").over(w))
-              .where(F.col("_sv").isNotNull())
+    pos = p_arr[F.col("_t")] * (F.col("_n") - 1)
+    # level 1: counts per bucket (at most buckets + 1 rows per group and target) and the
+    # running count before each bucket; keep the buckets that hold the two target ranks
+    wb = Window.partitionBy(*keys, "_t").orderBy("_bk") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    per_bucket = (marks.groupBy(*keys, "_n", "_t", "_bk").agg(F.sum("_cnt").alias("_bc"))
+                  .withColumn("_bstart", F.sum("_bc").over(wb) - F.col("_bc"))
+                  .where(F.col("_bk") >= 0)
+                  .withColumn("_pos", pos)
+                  .where(((F.col("_bstart") <= F.floor("_pos"))
+                          & (F.floor("_pos") < F.col("_bstart") + F.col("_bc")))
+                         | ((F.col("_bstart") <= F.ceil("_pos"))
+                            & (F.ceil("_pos") < F.col("_bstart") + F.col("_bc"))))
+                  .select(*keys, "_t", "_bk", "_bstart"))
+    # level 2: rank only the values of those buckets (a few per group and target)
+    w = Window.partitionBy(*keys, "_t", "_bk").orderBy("_sv") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (marks.where(F.col("_bk") >= 0).join(per_bucket, keys + ["_t", "_bk"])
               .withColumn("_p", p_arr[F.col("_t")])
               .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
               .withColumn("_rlo", F.floor("_pos"))
               .withColumn("_rhi", F.ceil("_pos"))
-              .withColumn("_lt", F.col("_cum") - F.col("_cnt")))
+              .withColumn("_lt", F.col("_bstart") + F.sum("_cnt").over(w) - F.col("_cnt")))
     hit_lo = (F.col("_lt") <= F.col("_rlo")) & (F.col("_rlo") < F.col("_lt") + F.col("_cnt"))
     hit_hi = (F.col("_lt") <= F.col("_rhi")) & (F.col("_rhi") < F.col("_lt") + F.col("_cnt"))
     picked = (ranked.where(hit_lo | hit_hi)

@@ -25,11 +25,11 @@ def data(spark):
     return pdf, sdf
 
 
-@pytest.mark.parametrize("accuracy", [50, 10000])
-def test_quantiles_exact(data, accuracy):
+@pytest.mark.parametrize("accuracy,buckets", [(50, 4), (50, 1024), (10000, 3), (10000, 1024)])
+def test_quantiles_exact(data, accuracy, buckets):
     pdf, sdf = data
     ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
-    got = quantiles_long(sdf, ["g"], "v", ps, accuracy=accuracy).collect()
+    got = quantiles_long(sdf, ["g"], "v", ps, accuracy=accuracy, buckets=buckets).collect()
     for r in got:
         expected = pdf[pdf.g == r["g"]].v.dropna().quantile(r["p"])
         assert r["q"] == pytest.approx(expected, rel=1e-12, abs=1e-9), (r, expected)
