@@ -1,15 +1,15 @@
 """N-gram Jaccard join: texts whose sets of word n-grams overlap by a threshold.
 
 1. Sets. Words are hashed in the JVM, n-grams and their distinct sorted sets in Arrow batches.
-   Texts with the same set form a class; only one representative goes on.
 2. Screen. A text of n n-grams can miss at most ``n - ceil(t n)`` of them in any partner. Of a
    slightly longer run of its n-grams in hash order, more must therefore occur in another text.
    Occurrences are counted in buckets of hashes; an n-gram seen twice in a batch is sent once, so
-   a hot one costs an entry per batch. Texts that fail have no partner.
+   a hot one costs an entry per batch. Texts that fail have no partner. Of survivors
+   with the same set, a class, one representative goes on.
 3. Rare-first prefixes. Document frequencies over the survivors order their n-grams, rarest
    first. A pair must share an n-gram of both prefixes, pass the length and positional filters,
-   and the suffix filter (the n-grams after the match, counted by 16 hash ranges, must still
-   allow the overlap).
+   and the suffix filter (the parities of 512 hash ranges bound from below how many n-grams
+   after the match differ).
 4. Verification, once per pair, of whole sets. Lists of a prefix n-gram are first joined to one
    member each (a few rounds, each with other members); what then still spans several
    components is joined pair by pair. So a group of k near copies costs some k pairs, and no link
@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ from quarry.llm.common import fresh, stored, text_of, words
 from quarry.llm.components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RANGES = 16                 # hash ranges of the suffix filter
-BUCKET_TOKENS = 1_000_000   # n-grams in a screen bucket, which one task counts
-HUB_ROUNDS = 6
+PARITY = [f"p{i}" for i in range(8)]    # 64 hash ranges each, for the suffix filter
+BUCKETS, BUCKET_TOKENS = 256, 500_000   # of the screen: at least, and n-grams that one task counts
+HUB_ROUNDS = 5
+MAP_BITS = 1 << 22
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,75 +66,85 @@ def need(n, num, den):
 
 
 def gram_sets(df: DataFrame, id_col: str, text: str, n: int, num: int, den: int, whole: bool) -> DataFrame:
-    """id, th (text hash), n, sig, and the n-gram hashes: all, or those the screen asks about."""
+    """rid (a number of the row), id, th (text hash), n, sig, and n-gram hashes: all as ``grams``,
+    or 48 bits of those that the screen asks about as ``keys``."""
     t = text_of(f"`{text}`")
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("th"),
                     F.transform(words(F.translate(t, UPPER, LOWER)), lambda w: F.xxhash64(w)).alias("w"))
 
     def make(batches):
+        rid = TaskContext.get().partitionId() << 36
         for batch in batches:
             w = batch.column("w")
             flat, off = w.values.to_numpy(zero_copy_only=False).view(np.uint64), w.offsets.to_numpy()
             for lo in range(0, len(w), 1000):
-                at = range(lo, min(len(w), lo + 1000))
-                sizes, sigs, parts = [], [], []
-                for i in at:
-                    g = _grams(flat[off[i]:off[i + 1]], n)
-                    sizes.append(len(g))
-                    sigs.append(hashlib.md5(g.tobytes()).hexdigest())
-                    parts.append(g if whole else g[:2 * (len(g) - need(len(g), num, den)) + 4])
-                ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
-                rows = pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64()))
-                part = batch.slice(lo, len(sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("th"), pa.array(sizes, pa.int32()), pa.array(sigs), rows],
-                    ["id", "th", "n", "sig", "grams"])
+                sets = [_grams(flat[off[i]:off[i + 1]], n) for i in range(lo, min(len(w), lo + 1000))]
+                part = batch.slice(lo, len(sets))
+                cols = [pa.array(np.arange(rid, rid + len(sets))), part.column("id"), part.column("th"),
+                        pa.array([len(g) for g in sets], pa.int32()),
+                        pa.array([hashlib.md5(g.tobytes()).hexdigest() for g in sets])]
+                rid += len(sets)
+                if whole:
+                    ends = np.cumsum([0] + [len(g) for g in sets]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(
+                        pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), pa.int64())))
+                else:
+                    cols.append(pa.array([_short(g[:2 * (len(g) - need(len(g), num, den)) + 4]) for g in sets],
+                                         pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "id", "th", "n", "sig", "grams" if whole else "keys"])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(make, f"id {kind}, th bigint, n int, sig string, grams array<bigint>")
+    last = "grams array<bigint>" if whole else "keys binary"
+    return src.mapInArrow(make, f"rid bigint, id {kind}, th bigint, n int, sig string, {last}")
 
 
-def screen(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """rid of the representatives whose asked n-grams occur often enough in others."""
-    tokens = reps.agg(F.sum(F.size("grams"))).first()[0] or 0
-    buckets = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_TOKENS + 1)
+def _short(h: np.ndarray) -> bytes:
+    """The upper six bytes of each hash."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _long(b: bytes) -> np.ndarray:
+    wide = np.zeros((len(b) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def screen(asked: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``asked`` whose asked n-grams occur often enough in other rows."""
+    tokens = asked.agg(F.sum(F.length("keys"))).first()[0] or 0
+    buckets = max(BUCKETS, tokens // 6 // BUCKET_TOKENS + 1)
 
     def send(batches):
-        number = 0
-        for batch in batches:
-            g = batch.column("grams")
-            flat, off = g.values.to_numpy(zero_copy_only=False).view(np.uint64), g.offsets.to_numpy()
-            flat = flat[off[0]:off[-1]] >> np.uint64(16)
+        for number, batch in enumerate(batches):
+            blobs = batch.column("keys").to_pylist()
+            flat = _long(b"".join(blobs))
             if not len(flat):
                 continue
-            rid = np.repeat(batch.column("rid").to_numpy(), np.diff(off))
-            _, inv, cnt = np.unique(flat, return_inverse=True, return_counts=True)
+            rid = np.repeat(batch.column("rid").to_numpy(), [len(b) // 6 for b in blobs])
+            _, first, inv, cnt = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
             many = cnt[inv] > 1
-            first = np.zeros(len(flat), bool)
-            first[np.unique(inv, return_index=True)[1]] = True
+            lead = np.zeros(len(flat), bool)
+            lead[first] = True
             bucket = (_mix(flat) % np.uint64(buckets)).astype(np.int32)
             out = {"bucket": [], "rids": [], "keys": [], "tally": []}
-            # Found twice here: the texts' tallies, and one mark (rid -1) for other batches.
+            # Found twice here: the rows' tallies, and one mark (rid -1) for other batches.
             ids, tally = np.unique(rid[many], return_counts=True)
             if len(ids):
                 out["bucket"].append(int(ids[0] + number) % buckets)
                 out["rids"].append(np.diff(ids, prepend=0).tobytes())
                 out["keys"].append(b"")
                 out["tally"].append(tally.astype(np.int32).tobytes())
-            send_ids = np.where(many, -1, rid)
-            rows = np.flatnonzero(~many | first)
+            owner = np.where(many, -1, rid)
+            rows = np.flatnonzero(~many | lead)
             order = rows[np.argsort(bucket[rows], kind="stable")]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
                 pick = order[cut[b]:cut[b + 1]]
                 if len(pick):
                     out["bucket"].append(b)
-                    out["rids"].append(np.diff(send_ids[pick], prepend=0).tobytes())
-                    key = np.ascontiguousarray(flat[pick]).view(np.uint8).reshape(-1, 8)[:, :6]
-                    out["keys"].append(np.ascontiguousarray(key).tobytes())
+                    out["rids"].append(np.diff(owner[pick], prepend=0).tobytes())
+                    out["keys"].append(_short(flat[pick] << np.uint64(16)))
                     out["tally"].append(b"")
-            number += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["bucket"], pa.int32()), pa.array(out["rids"], pa.binary()),
                  pa.array(out["keys"], pa.binary()), pa.array(out["tally"], pa.binary())],
@@ -143,9 +155,7 @@ def screen(reps: DataFrame, num: int, den: int) -> DataFrame:
         for r, k, c in zip(t.column("rids"), t.column("keys"), t.column("tally")):
             rid = np.cumsum(np.frombuffer(r.as_py(), np.int64))
             if k.as_py():
-                wide = np.zeros((len(rid), 8), np.uint8)
-                wide[:, :6] = np.frombuffer(k.as_py(), np.uint8).reshape(-1, 6)
-                keys.append(wide.view(np.uint64).ravel())
+                keys.append(_long(k.as_py()))
                 owners.append(rid)
             else:
                 ids.append(rid)
@@ -164,79 +174,77 @@ def screen(reps: DataFrame, num: int, den: int) -> DataFrame:
         return pa.table({"rid": pa.array(np.concatenate(ids), pa.int64()),
                          "hits": pa.array(np.concatenate(tallies), pa.int32())})
 
-    sent = reps.select("rid", "grams").mapInArrow(send, "bucket int, rids binary, keys binary, tally binary")
+    sent = asked.select("rid", "keys").mapInArrow(send, "bucket int, rids binary, keys binary, tally binary")
     hits = sent.groupBy("bucket").applyInArrow(count, "rid bigint, hits int") \
         .groupBy("rid").agg(F.sum("hits").alias("hits"))
     miss = F.col("n") - F.floor((num * F.col("n") + den - 1) / den)
-    return reps.select("rid", "id", "sig", "n", F.size("grams").alias("m")).join(hits, "rid") \
-        .where(F.col("hits") >= F.col("m") - miss).select("rid", "id", "sig", "n")
+    return asked.select("rid", "id", "th", "sig", "n", (F.length("keys") / 6).cast("int").alias("m")) \
+        .join(hits, "rid").where(F.col("hits") >= F.col("m") - miss).drop("m", "hits")
+
+
+def _likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in ``wanted`` (key) and few others: a bit map of fixed size, half a
+    megabyte, goes to every task, so that most texts need no shuffle."""
+    at = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    got = wanted.select((at / 64).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("b")) \
+        .groupBy("i").agg(F.bit_or("b")).collect()      # at most MAP_BITS / 64 rows
+    bits = [0] * (MAP_BITS // 64)
+    for i, b in got:
+        bits[i] = b
+    one = F.broadcast(df.sparkSession.createDataFrame([(bits,)], "_bits array<bigint>"))
+    word = F.get("_bits", (at / 64).cast("int"))
+    return df.join(one, F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1, "left_semi")
 
 
 def postings(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """One row per rare-first prefix n-gram that another text holds: tok, rid, n, rest, hist."""
-    flat = sets.select("rid", "n", F.explode("grams").alias("tok"))
+    """One row per rare-first prefix n-gram that another text holds: tok, rid, n, rest (such
+    n-grams after it), far (less with common n-grams) and the parities of the rest."""
+    flat = sets.select("rid", F.explode("grams").alias("tok"))
     often = flat.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     order = flat.join(often, "tok").groupBy("rid").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("o")) \
-        .select("rid", "n", F.col("o.tok").alias("toks"))
+        F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("o")) \
+        .join(sets.select("rid", "n"), "rid").select("rid", "n", F.col("o.tok").alias("toks"), F.col("o.df").alias("dfs"))
 
     def make(batches):
         for batch in batches:
-            out = {k: [] for k in ("tok", "rid", "n", "rest", "hist")}
-            for rid, n, toks in zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "n", "toks"))):
+            out = {k: [] for k in ("tok", "rid", "n", "rest", "far", *PARITY)}
+            for rid, n, toks, dfs in zip(*(batch.column(c).to_numpy(zero_copy_only=False)
+                                           for c in ("rid", "n", "toks", "dfs"))):
                 # N-grams that no other text holds come first and take up prefix places.
-                p = n - need(n, num, den) + 1 - (n - len(toks))
+                p = min(n - need(n, num, den) + 1 - (n - len(toks)), len(toks))
                 if p <= 0:
                     continue
-                toks = np.asarray(toks)
-                part = toks.view(np.uint64) >> np.uint64(64 - RANGES.bit_length() + 1)
-                seen = np.zeros((len(toks) + 1, RANGES), np.uint32)
-                seen[np.arange(len(toks)), part.astype(np.int64)] = 1
-                after = np.cumsum(seen[::-1], axis=0, dtype=np.uint32)[::-1]
-                for j in range(min(p, len(toks))):
-                    out["tok"].append(int(toks[j]))
-                    out["rid"].append(int(rid))
-                    out["n"].append(int(n))
-                    out["rest"].append(len(toks) - j - 1)
-                    out["hist"].append(after[j + 1].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["tok"], pa.int64()), pa.array(out["rid"], pa.int64()), pa.array(out["n"], pa.int32()),
-                 pa.array(out["rest"], pa.int32()), pa.array(out["hist"], pa.binary())], list(out))
-
-    return order.mapInArrow(make, "tok bigint, rid bigint, n int, rest int, hist binary")
-
-
-def _suffix(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Drop rows whose n-grams after the match cannot reach the overlap."""
-    def keep(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, RANGES)
-                 for c in ("hist_a", "hist_b")]
-            most = np.minimum(*h).sum(axis=1).astype(np.int64) + 1
-            n = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
-            ok = most >= (num * n + den + num - 1) // (den + num)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))],
-                                             ["a", "b"])
-
-    return pairs.mapInArrow(keep, "a bigint, b bigint").distinct()
+                part = (np.asarray(toks).view(np.uint64) >> np.uint64(64 - 9)).astype(np.int64)
+                odd = np.zeros((len(toks) + 1, len(PARITY)), np.uint64)
+                odd[np.arange(len(toks)), part >> 6] = np.uint64(1) << (part & 63).astype(np.uint64)
+                odd = np.bitwise_xor.accumulate(odd[::-1], axis=0)[::-1].view(np.int64)
+                out["tok"] += list(toks[:p])
+                out["rid"] += [rid] * p
+                out["n"] += [n] * p
+                out["rest"] += range(len(toks) - 1, len(toks) - 1 - p, -1)
+                out["far"] += [float(-np.log2(dfs).sum() / n)] * p
+                for i, c in enumerate(PARITY):
+                    out[c] += list(odd[1:p + 1, i])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()] + [pa.int64()] * len(PARITY)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+
+    return order.mapInArrow(make, "tok bigint, rid bigint, n int, rest int, far double, "
+                            + ", ".join(f"{c} bigint" for c in PARITY))
 
 
 def _candidates(left: DataFrame, right: DataFrame, cond, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows that pass the length, positional and suffix filters."""
     l, r = left.alias("l"), right.alias("r")
     n = F.col("l.n") + F.col("r.n")
     overlap = F.floor((num * n + den + num - 1) / (den + num))
+    # Each hash range of odd count in one suffix alone holds an n-gram of one alone.
+    apart = sum((F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in PARITY[1:]),
+                F.bit_count(F.col(f"l.{PARITY[0]}").bitwiseXOR(F.col(f"r.{PARITY[0]}"))))
     ok = ((F.col("l.tok") == F.col("r.tok")) & cond
           & (den * F.least("l.n", "r.n") >= num * F.greatest("l.n", "r.n"))
-          & (F.least("l.rest", "r.rest") + 1 >= overlap))
-    first = F.col("l.rid") < F.col("r.rid")
-    pick = lambda x, y: F.when(first, F.col(f"l.{x}")).otherwise(F.col(f"r.{y}"))
-    swap = lambda x: F.when(first, F.col(f"r.{x}")).otherwise(F.col(f"l.{x}"))
-    rows = l.join(r, ok).select(pick("rid", "rid").alias("a"), swap("rid").alias("b"),
-                                F.col("l.n").alias("n_a"), F.col("r.n").alias("n_b"),
-                                F.col("l.hist").alias("hist_a"), F.col("r.hist").alias("hist_b"))
-    return _suffix(rows, num, den)
+          & (F.least("l.rest", "r.rest") + 1 >= overlap)
+          & (F.col("l.rest") + F.col("r.rest") - apart >= 2 * (overlap - 1)))
+    return l.join(r, ok).select(F.least("l.rid", "r.rid").alias("a"), F.greatest("l.rid", "r.rid").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -255,7 +263,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     rows = post.count()
     spark, tested = sets.sparkSession, None
     label = spark.createDataFrame([], "id bigint, comp bigint")
-    final = False
+    final, news = False, True
     for turn in range(HUB_ROUNDS + 1):
         mark = post
         if turn:
@@ -268,22 +276,26 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
             left = live.agg(F.sum((F.col("c") * F.col("c").cast("double") - F.col("q")) / 2)).first()[0] or 0
             if not left:
                 break
-            final = left <= 2 * rows or turn == HUB_ROUNDS
+            final = left <= rows or not news or turn == HUB_ROUNDS
             mark = stored(mark.join(live.select("tok"), "tok"), "lists")
         else:
             mark = mark.withColumn("comp", F.col("rid"))
         if final:
             pairs = _candidates(mark, mark, (F.col("l.rid") < F.col("r.rid")) & (F.col("l.comp") != F.col("r.comp")), num, den)
         else:
-            cols = [F.col(c) for c in ("rid", "n", "rest", "hist", "comp")]
-            hub = mark.groupBy("tok").agg(F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("k"), *cols)).alias("h")) \
-                .select("tok", "h.*")
+            # The member of most common n-grams of each component; of these, another one each turn.
+            cols = [F.col(c) for c in ("rid", "n", "rest", "comp", *PARITY)]
+            mid = mark.groupBy("tok", "comp").agg(F.min(F.struct("far", *cols)).alias("h")) if turn else \
+                mark.select("tok", F.struct("far", *cols).alias("h"))
+            turned = F.xxhash64("h.comp", F.lit(turn)) if turn else F.lit(0)
+            hub = mid.groupBy("tok").agg(F.min(F.struct(turned.alias("k"), "h")).alias("h")).select("tok", "h.h.*")
             pairs = _candidates(hub, mark, F.col("l.comp") != F.col("r.comp"), num, den)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         got = stored(_verify(pairs, sets, num, den), "verified")
         tested = got if tested is None else stored(tested.unionByName(got), "verified")
-        if not got.where("linked").isEmpty():
+        news = not got.where("linked").isEmpty()
+        if news:
             label = components(tested.where("linked").select("a", "b"))
         if final:
             break
@@ -298,31 +310,28 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 4,
     connect; ``first`` is the smallest (id, th) of the component. Texts without n-grams have
     null classes and are their own ``first``.
     """
-    spark = df.sparkSession
     asked = stored(gram_sets(df, id_col, text, n, num, den, False), "sets")
-    got = asked.where(F.col("n") > 0).groupBy("sig").agg(
-        F.min(F.struct("id", "th")).alias("k"), F.count("*").alias("size"),
-        F.first("n").alias("n"), F.first("grams").alias("grams"))
-    reps = stored(got.withColumn("rid", F.monotonically_increasing_id())
-                  .select("rid", "sig", "size", "n", "grams", "k.id", "k.th"), "classes")
-    alive = stored(screen(reps, num, den), "alive")
+    alive = stored(screen(asked, num, den), "alive")
+    classes = stored(alive.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("first"), F.min("rid").alias("rid"))
+                     .select("sig", "rid", "first"), "classes")
     # The survivors' whole sets, from their texts once more.
     here = fresh(df, "_id")
     some = df.select(F.col(f"`{id_col}`").alias(here), F.col(f"`{text}`").alias("text"))
-    wanted = alive.select("id").distinct()
-    some = some.join(wanted, some[here].eqNullSafe(wanted["id"]), "left_semi")
+    wanted = classes.select(F.col("first.id").alias(here)).distinct()
+    some = _likely(some, here, wanted)
+    some = some.join(wanted.withColumnRenamed(here, "id"), F.col(here).eqNullSafe(F.col("id")), "left_semi")
     full = gram_sets(some, here, "text", n, num, den, True).select("sig", "n", "grams")
-    sets = stored(full.join(alive.select("rid", "sig"), "sig").groupBy("rid")
+    sets = stored(full.join(classes.select("rid", "sig"), "sig").groupBy("rid")
                   .agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "whole")
     label = links(sets, num, den)
-    named = reps.select("rid", "sig", "id", "th").join(label.withColumnRenamed("id", "rid"), "rid", "left") \
-        .withColumn("comp", F.coalesce("comp", "rid"))
-    firsts = named.groupBy("comp").agg(F.min(F.struct("id", "th")).alias("first"))
-    named = stored(named.select("sig", "rid", "comp").join(firsts, "comp"), "components")
-    return asked.select("id", "th", "n", "sig").join(named, "sig", "left").select(
+    named = classes.join(label.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    firsts = named.groupBy("comp").agg(F.min("first").alias("first"))
+    named = stored(named.select("sig", F.col("rid").alias("class"), "comp").join(firsts, "comp"), "components")
+    some = F.col("n") > 0
+    return asked.select("rid", "id", "th", "n", "sig").join(named, "sig", "left").select(
         F.col("id").alias(id_col), "th", F.col("n").cast("long").alias("n_shingles"),
-        F.col("rid").alias("class_id"), F.col("comp").alias("component"),
-        F.coalesce("first", F.struct("id", "th")).alias("first"))
+        F.when(some, F.coalesce("class", "rid")).alias("class_id"),
+        F.coalesce("comp", "rid").alias("component"), F.coalesce("first", F.struct("id", "th")).alias("first"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 4,
