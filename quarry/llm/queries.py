@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import jaccard, mixing, packing, quality, secret_scan
+from quarry.llm import jaccard, mixing, packing, quality, secret_scan, topk, warc
 from quarry.llm.common import table
 
 QUERIES: dict = {}
@@ -56,3 +56,16 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     rows = packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER, limit=4096, end_id=1)
     return packing.pack(rows, 4096).withColumnRenamed("id", "doc_id")
+
+
+@register("op5_segment_top_k")
+def op5(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, k=10)
+
+
+@register("op10_warc_index_merge")
+def op10(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    # The pages have no fetch times; a rule spreads them over a year.
+    when = F.lit(1_700_000_000) + F.pmod(F.col("page_id") * 7919, F.lit(31_536_000))
+    return warc.round_trip(pages, ts=when, min_bytes=0)
