@@ -29,16 +29,17 @@ CACHE_WORDS = 1_000_000
 
 
 class Encoder(dict):
-    """Token ids of white-space-separated words as little-endian bytes, kept between texts.
+    """Token ids of white-space-separated words as bytes of type ``width``, kept between texts.
 
     The tokenizer handles words one by one, so a text's ids are those of its words. Capital
     letters and a closing point or comma are taken off here, which keeps the table small.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: str = "<u4", ordinary: bool = False):
         from tokenizers import Tokenizer
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.tokenizer.encode_special_tokens = ordinary     # special tokens in a text are plain text
 
     def __missing__(self, word: str) -> bytes:
         low = word.lower() if word and max(word) < "İ" else word
@@ -47,7 +48,7 @@ class Encoder(dict):
         elif len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         else:
-            ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, self.width).tobytes()
         self[word] = ids
         return ids
 
@@ -57,14 +58,15 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, width: str = "<u4", ordinary: bool = False) -> Encoder:
     """One for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, width, ordinary
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text",

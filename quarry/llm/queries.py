@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import jaccard, mixing, packing, quality, secret_scan, topk, warc
-from quarry.llm.common import table
+from quarry.llm import jaccard, mixing, packing, pii, quality, secret_scan, tokens, topk, url_lists, warc
+from quarry.llm.common import scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,55 @@ def op10(spark, sf_dir):
     # The pages have no fetch times; a rule spreads them over a year.
     when = F.lit(1_700_000_000) + F.pmod(F.col("page_id") * 7919, F.lit(31_536_000))
     return warc.round_trip(pages, ts=when, min_bytes=0)
+
+
+@register("op3_contextual_pii")
+def op3(spark, sf_dir):
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
+# The list: every fifth page enters its host, or its parent domain, at a day given by its id.
+URL_SQL = """
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         page_id * 101 % 365 AS day FROM pages),
+ev AS (
+  SELECT CASE WHEN page_id % 10 = 0 OR len(string_split(host, '.')) < 4 THEN host
+              ELSE regexp_replace(host, '^[^.]*[.]', '') END AS pattern,
+         CASE WHEN page_id % 15 = 0 THEN 'allow' ELSE 'block' END AS action,
+         page_id // 5 % 3 = 2 AS gone, page_id * 37 % 365 AS since
+  FROM p WHERE page_id % 5 = 0),
+dated AS (SELECT pattern, action, since, bool_or(gone) AS gone FROM ev GROUP BY ALL),
+iv AS (SELECT *, lead(since) OVER (PARTITION BY pattern, action ORDER BY since) AS until FROM dated),
+hit AS (
+  SELECT p.page_id, iv.pattern, iv.action FROM p JOIN iv
+    ON NOT iv.gone AND p.day >= iv.since AND (iv.until IS NULL OR p.day < iv.until) AND p.host <> ''
+   AND (p.host = iv.pattern OR (ends_with(p.host, '.' || iv.pattern) AND contains(iv.pattern, '.')))),
+best AS (
+  SELECT page_id, count(*) AS n, arg_max(pattern, length(pattern) * 2 + (action = 'block')::INT) AS pattern,
+         arg_max(action, length(pattern) * 2 + (action = 'block')::INT) AS action FROM hit GROUP BY page_id)
+SELECT p.page_id, p.host AS list_host, p.day, b.pattern AS list_pattern, coalesce(b.action, 'none') AS list_verdict,
+       coalesce(b.n, 0) AS list_active
+FROM p LEFT JOIN best b USING (page_id)
+"""
+
+
+@register("op4_temporal_url_lists", URL_SQL)
+def op4(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") * 101 % 365).alias("day"))
+    host, i = url_lists.host_of(F.col("url")), F.col("page_id")
+    whole = (i % 10 == 0) | (F.size(F.split(host, r"\.", -1)) < 4)
+    entries = pages.where(i % 5 == 0).select(
+        F.when(whole, host).otherwise(F.regexp_replace(host, r"^[^.]*[.]", "")).alias("pattern"),
+        F.when(i % 15 == 0, "allow").otherwise("block").alias("action"),
+        F.when(F.floor(i / 5) % 3 == 2, "remove").otherwise("add").alias("op"), (i * 37 % 365).alias("at"))
+    return url_lists.judge(pages, entries, "url", "day").drop("url")
+
+
+@register("op7_separator_scan")
+def op7(spark, sf_dir):
+    folder = scratch(spark, "tokens")
+    who = tokens.write(table(spark, sf_dir, "documents"), folder, TOKENIZER, separator=49_407)
+    got = tokens.scan(spark, folder, separator=49_407)
+    return got.join(who, ["stream", "ordinal"], "left").select(
+        F.col("id").alias("doc_id"), "n_tokens", "stream", "ordinal", "closed")
