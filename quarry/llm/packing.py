@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stored, text_of
 
 GROUP_PIECES = 20_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 
 
 class Encoder(dict):
