@@ -82,7 +82,8 @@ def mix(df: DataFrame, weights: dict[str, int], other: int = 1, source: str = "s
         rest += "*"
     share = weights | {rest: other}
     name = {c: fresh(df, c) for c in ("mix_source", "mix_start", "mix_block", "mix_slot", "mix_release",
-                                      "mix_deadline", "mix_size", "mix_bucket", "mix_key")}
+                                      "mix_deadline", "mix_size", "mix_bucket", "mix_key", "mix_s", "mix_b",
+                                      "mix_before", "mix_b0", "mix_b1", "mix_at", "mix_first", "mix_period")}
     col = lambda c: F.col(name[c])
     size = F.length("text") if size is None else size
     src = F.when(F.col(f"`{source}`").isin(list(weights)), F.col(f"`{source}`")).otherwise(F.lit(rest))
@@ -96,12 +97,13 @@ def mix(df: DataFrame, weights: dict[str, int], other: int = 1, source: str = "s
     rows = rows.withColumn(name["mix_bucket"], F.pmod(col("mix_key"), spread[col("mix_source")]))
     per = rows.groupBy(name["mix_source"], name["mix_bucket"]).agg(F.sum(name["mix_size"]).alias("total"))
     before = F.sum("total").over(Window.partitionBy(name["mix_source"]).orderBy(name["mix_bucket"])) - F.col("total")
-    per = per.select(col("mix_source").alias("_s"), col("mix_bucket").alias("_b"), before.alias("_before"))
+    per = per.select(col("mix_source").alias(name["mix_s"]), col("mix_bucket").alias(name["mix_b"]),
+                     before.alias(name["mix_before"]))
     inside = Window.partitionBy(name["mix_source"], name["mix_bucket"]).orderBy(name["mix_key"], f"`{id_col}`") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn(name["mix_start"], F.sum(name["mix_size"]).over(inside) - col("mix_size"))
-    rows = rows.join(per, (col("mix_source") == F.col("_s")) & (col("mix_bucket") == F.col("_b"))) \
-        .withColumn(name["mix_start"], col("mix_start") + F.col("_before")).drop("_s", "_b", "_before")
+    rows = rows.join(per, (col("mix_source") == col("mix_s")) & (col("mix_bucket") == col("mix_b"))) \
+        .withColumn(name["mix_start"], col("mix_start") + col("mix_before")).drop(*[name[c] for c in ("mix_s", "mix_b")])
     rows = rows.withColumn(name["mix_block"], F.least(
         F.floor(col("mix_start") / block), F.create_map(
             *[x for s, n in (blocks or {rest: 1}).items() for x in (F.lit(s), F.lit(n - 1))])[col("mix_source")]))
@@ -109,16 +111,18 @@ def mix(df: DataFrame, weights: dict[str, int], other: int = 1, source: str = "s
     flat = [(s, b0, steps[i + 1][0] if i + 1 < len(steps) else None, slot, p, at)
             for s, steps in plan.items() for i, (b0, slot, p, at) in enumerate(steps)]
     table = F.broadcast(spark.createDataFrame(  # at most one row for each source and phase
-        flat, "_s string, _b0 bigint, _b1 bigint, _slot bigint, _p int, _at array<int>"))
+        flat, f"`{name['mix_s']}` string, `{name['mix_b0']}` bigint, `{name['mix_b1']}` bigint, "
+              f"`{name['mix_first']}` bigint, `{name['mix_period']}` int, `{name['mix_at']}` array<int>"))
     k = col("mix_block")
-    rows = rows.join(table, (col("mix_source") == F.col("_s")) & (k >= F.col("_b0"))
-                     & (F.col("_b1").isNull() | (k < F.col("_b1"))))
-    e, i = F.size("_at"), k - F.col("_b0")
+    rows = rows.join(table, (col("mix_source") == col("mix_s")) & (k >= col("mix_b0"))
+                     & (col("mix_b1").isNull() | (k < col("mix_b1"))))
+    at, e, i, p, zero = col("mix_at"), F.size(col("mix_at")), k - col("mix_b0"), col("mix_period"), col("mix_first")
     out = rows.withColumns({
-        name["mix_slot"]: F.col("_slot") + F.floor(i / e) * F.col("_p") + F.get("_at", (i % e).cast("int")),
-        name["mix_release"]: F.col("_slot") + F.floor(i * F.col("_p") / e),
-        name["mix_deadline"]: F.col("_slot") + F.ceil((i + 1) * F.col("_p") / e)})
-    return out.drop(name["mix_size"], name["mix_bucket"], name["mix_key"], "_s", "_b0", "_b1", "_slot", "_p", "_at")
+        name["mix_slot"]: zero + F.floor(i / e) * p + F.get(at, (i % e).cast("int")),
+        name["mix_release"]: zero + F.floor(i * p / e),
+        name["mix_deadline"]: zero + F.ceil((i + 1) * p / e)})
+    new = ("mix_source", "mix_start", "mix_block", "mix_slot", "mix_release", "mix_deadline")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[col(c) for c in new])
 
 
 def mixed(df: DataFrame, weights: dict[str, int], other: int = 1, source: str = "source",

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import count_kind, digest, scratch, spans, text_of
+from quarry.llm.common import count_kind, digest, fresh, scratch, spans, text_of
 
 FOUND = "array<struct<start:int,end:int,match:string,kind:string>>"
 ASSIGN = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -134,17 +134,18 @@ def redact(df: DataFrame, text: str = "text", rules=RULES, mark: str = "[secret]
     ledger = ledger or scratch(df.sparkSession, "ledger")
     update(df, ledger, rules, text)
     hits = findings(df, ledger, rules, text, []).where(F.size("found") > 0).distinct()
-    hits = hits.select(F.col("blob").alias("_blob"), F.array_sort(F.transform(
-        "found", lambda s: F.struct(s["start"], s["end"]))).alias("_cut"))
+    blob, cut = fresh(df, "_blob"), fresh(df, "_cut")
+    hits = hits.select(F.col("blob").alias(blob), F.array_sort(F.transform(
+        "found", lambda s: F.struct(s["start"], s["end"]))).alias(cut))
     key = F.sha2(text_of(f"`{text}`"), 256)
-    got = df.join(hits, key == F.col("_blob"), "left")
+    got = df.join(hits, key == F.col(blob), "left")
     body = F.col(f"`{text}`")
     done = F.aggregate(
-        "_cut", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        cut, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(
             F.when(s["start"] >= a["at"], F.concat(
                 a["out"], F.substring(body, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
             .otherwise(a["out"]).alias("out"), s["end"].alias("at"))),
         lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))))
-    new = F.when(F.col("_cut").isNull(), body).otherwise(done)
+    new = F.when(F.col(cut).isNull(), body).otherwise(done)
     return got.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

@@ -106,14 +106,15 @@ def _cells(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        left, right = left.sort_values("id"), right.sort_values("id")
-        q, x = np.stack(left["v"].to_list()), np.stack(right["v"].to_list())
+        left, right = left.sort_values("id"), right.sort_values("x_id")
+        q, x = np.stack(left["v"].to_list()), np.stack(right["x_v"].to_list())
         a, b, s = search_cell(left["id"].to_numpy(np.int64), q, left["low"].to_numpy(np.float64),
-                              right["id"].to_numpy(np.int64), x, k)
+                              right["x_id"].to_numpy(np.int64), x, k)
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
     keys = ("dim", "qb", "cb")
-    return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInPandas(
+    other = vectors.select(*[F.col(c).alias(f"x_{c}") for c in (*keys, "id", "v")])
+    return queries.groupBy(*keys).cogroup(other.groupBy(*[f"x_{c}" for c in keys])).applyInPandas(
         work, "query_id bigint, vec_id bigint, score bigint")
 
 

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import fresh
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -45,7 +47,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "at", prefix: str = "list_") -> DataFrame:
     """``captures`` with host, pattern, verdict and number of active entries."""
-    new = {c: prefix + c for c in ("host", "pattern", "verdict", "active")}
+    new = {c: fresh(captures, prefix + c) for c in ("host", "pattern", "verdict", "active", "h", "a")}
     rows = captures.withColumn(new["host"], host_of(F.col(f"`{url}`")))
     pairs = rows.select(F.col(new["host"]).alias("host"), F.col(f"`{at}`").alias("at")) \
         .where((F.col("host") != "") & F.col("at").isNotNull()).distinct()
@@ -56,8 +58,8 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     best = hit.groupBy("host", "at").agg(
         F.max(F.struct(F.length("pattern").alias("n"), (F.col("action") == "block").alias("b"), "pattern", "action")).alias("m"),
         F.count("*").alias("c")).select(
-        F.col("host").alias("_h"), F.col("at").alias("_a"), F.col("m.pattern").alias(new["pattern"]),
+        F.col("host").alias(new["h"]), F.col("at").alias(new["a"]), F.col("m.pattern").alias(new["pattern"]),
         F.col("m.action").alias(new["verdict"]), F.col("c").alias(new["active"]))
-    out = rows.join(best, (rows[new["host"]] == best["_h"]) & (rows[at] == best["_a"]), "left").drop("_h", "_a")
+    out = rows.join(best, (rows[new["host"]] == best[new["h"]]) & (rows[at] == best[new["a"]]), "left").drop(new["h"], new["a"])
     return out.withColumns({new["verdict"]: F.coalesce(new["verdict"], F.lit("none")),
                             new["active"]: F.coalesce(new["active"], F.lit(0))})
