@@ -36,7 +36,7 @@ from quarry.llm.components import components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARITY = [f"p{i}" for i in range(8)]    # 64 hash ranges each, for the suffix filter
 BUCKETS, BUCKET_TOKENS = 256, 500_000   # of the screen: at least, and n-grams that one task counts
-HUB_ROUNDS = 5
+HUB_ROUNDS = 3
 MAP_BITS = 1 << 22
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -205,28 +205,32 @@ def postings(sets: DataFrame, num: int, den: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("o")) \
         .join(sets.select("rid", "n"), "rid").select("rid", "n", F.col("o.tok").alias("toks"), F.col("o.df").alias("dfs"))
 
+    types = {"tok": pa.int64(), "rid": pa.int64(), "n": pa.int32(), "rest": pa.int32(), "far": pa.float64()} \
+        | {c: pa.int64() for c in PARITY}
+
+    def prefix(rid, n, toks, dfs):
+        """The columns of one text's rows, or None."""
+        # N-grams that no other text holds come first and take up prefix places.
+        p = min(n - need(n, num, den) + 1 - (n - len(toks)), len(toks))
+        if p <= 0:
+            return None
+        part = (toks.view(np.uint64) >> np.uint64(64 - 9)).astype(np.int64)
+        odd = np.zeros((len(toks) + 1, len(PARITY)), np.uint64)
+        odd[np.arange(len(toks)), part >> 6] = np.uint64(1) << (part & 63).astype(np.uint64)
+        odd = np.bitwise_xor.accumulate(odd[::-1], axis=0)[::-1].view(np.int64)[1:p + 1]
+        return (toks[:p], np.full(p, rid), np.full(p, n), np.arange(len(toks) - 1, len(toks) - 1 - p, -1),
+                np.full(p, -np.log2(dfs).sum() / n), *odd.T)
+
     def make(batches):
         for batch in batches:
-            out = {k: [] for k in ("tok", "rid", "n", "rest", "far", *PARITY)}
-            for rid, n, toks, dfs in zip(*(batch.column(c).to_numpy(zero_copy_only=False)
-                                           for c in ("rid", "n", "toks", "dfs"))):
-                # N-grams that no other text holds come first and take up prefix places.
-                p = min(n - need(n, num, den) + 1 - (n - len(toks)), len(toks))
-                if p <= 0:
-                    continue
-                part = (np.asarray(toks).view(np.uint64) >> np.uint64(64 - 9)).astype(np.int64)
-                odd = np.zeros((len(toks) + 1, len(PARITY)), np.uint64)
-                odd[np.arange(len(toks)), part >> 6] = np.uint64(1) << (part & 63).astype(np.uint64)
-                odd = np.bitwise_xor.accumulate(odd[::-1], axis=0)[::-1].view(np.int64)
-                out["tok"] += list(toks[:p])
-                out["rid"] += [rid] * p
-                out["n"] += [n] * p
-                out["rest"] += range(len(toks) - 1, len(toks) - 1 - p, -1)
-                out["far"] += [float(-np.log2(dfs).sum() / n)] * p
-                for i, c in enumerate(PARITY):
-                    out[c] += list(odd[1:p + 1, i])
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()] + [pa.int64()] * len(PARITY)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                rows = [prefix(*r) for r in zip(*(part.column(c).to_numpy(zero_copy_only=False)
+                                                  for c in ("rid", "n", "toks", "dfs")))]
+                rows = [r for r in rows if r is not None]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(c), t) for c, t in zip(zip(*rows), types.values())], list(types))
 
     return order.mapInArrow(make, "tok bigint, rid bigint, n int, rest int, far double, "
                             + ", ".join(f"{c} bigint" for c in PARITY))
@@ -278,6 +282,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
                 break
             final = left <= rows or not news or turn == HUB_ROUNDS
             mark = stored(mark.join(live.select("tok"), "tok"), "lists")
+            post = mark.drop("comp")
         else:
             mark = mark.withColumn("comp", F.col("rid"))
         if final:

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stored, text_of
 
 GROUP_PIECES = 20_000
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000     # some 200 MB in each Python worker
+SHORT = 6                   # longer words are kept in their plain form only
 
 
 class Encoder(dict):
@@ -48,8 +49,11 @@ class Encoder(dict):
         elif len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         else:
-            ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, self.width).tobytes()
-        self[word] = ids
+            self[word] = ids = np.asarray(
+                self.tokenizer.encode(word, add_special_tokens=False).ids, self.width).tobytes()
+            return ids
+        if len(word) <= SHORT:
+            self[word] = ids
         return ids
 
     def text(self, text: str) -> bytes:
