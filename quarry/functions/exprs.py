@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,3 +80,15 @@ def word_count(c: Column) -> Column:
 def cell_text(c: Column) -> Column:
     """Cell as text, missing shown as the empty string."""
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def nan_as_missing(operator):
+    """Let an operator see NaN of its table as NULL, which Spark's functions skip."""
+    @wraps(operator)
+    def run(df, *args, **kwargs):
+        if any(isinstance(f.dataType, FRACTIONAL_TYPES) for f in df.schema.fields):
+            df = df.select(*[nan_to_null(col(f.name)).cast(f.dataType).alias(f.name)
+                             if isinstance(f.dataType, FRACTIONAL_TYPES) else col(f.name)
+                             for f in df.schema.fields])
+        return operator(df, *args, **kwargs)
+    return run

@@ -33,6 +33,7 @@ from quarry.session import checkpoint_dir
 
 DEFAULT_ACCURACY = 10000
 DEFAULT_BUCKETS = 1024
+BROADCAST_GROUPS = 20_000    # bounds of some hundred bytes each
 
 
 def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
@@ -66,9 +67,14 @@ def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequ
     # group) is therefore written once with a reliable checkpoint.
     checkpoint_dir(long_df.sparkSession)
     stats = stats.checkpoint(eager=True)
-    # One row per group: joined back on the keys (AQE broadcasts it when it measures small);
-    # without keys it is a single row, so the broadcast is bounded by construction.
-    joined = data.join(stats, keys) if keys else data.crossJoin(F.broadcast(stats))
+    # One row per group. Counted small, it is broadcast, so that no raw row is shuffled by a hot
+    # key; beyond that Spark joins both sides and splits skewed partitions. Without keys it is a
+    # single row.
+    if keys:
+        few = stats.count() <= BROADCAST_GROUPS
+        joined = data.join(F.broadcast(stats) if few else stats, keys)
+    else:
+        joined = data.crossJoin(F.broadcast(stats))
 
     lo_t, hi_t = F.col("_lo")[F.col("_c._t")], F.col("_hi")[F.col("_c._t")]
     cls = F.explode(F.array(*[

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import check_columns, col, numeric_columns, safe_div
+from quarry.functions.exprs import check_columns, col, nan_as_missing, numeric_columns, safe_div
 from quarry.functions.quantiles import quantiles_long
 
 # Aggregation names accepted by the chart and pivot requests.
@@ -44,6 +44,7 @@ def keys_present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(cond)
 
 
+@nan_as_missing
 def group_agg(df: DataFrame, x: str | Sequence[str], y: str, agg: str = "sum",
               color: str | None = None, alias: str | None = None) -> DataFrame:
     """Aggregate ``y`` per ``x`` (and ``color``): rows ``keys + [alias or y]``.
@@ -67,6 +68,7 @@ def group_agg(df: DataFrame, x: str | Sequence[str], y: str, agg: str = "sum",
     return base.groupBy(*[col(k) for k in keys]).agg(agg_expr(y, agg).alias(out))
 
 
+@nan_as_missing
 def value_counts(df: DataFrame, x: str, top_n: int | None = None,
                  name: str = "count") -> DataFrame:
     """Counts of each non-missing value, descending; ties ordered by value. ``top_n`` keeps
@@ -77,6 +79,7 @@ def value_counts(df: DataFrame, x: str, top_n: int | None = None,
     return vc.limit(top_n) if top_n else vc
 
 
+@nan_as_missing
 def shares(df: DataFrame, x: str, top_n: int | None = None) -> DataFrame:
     """Value counts with each slice's share of the slices shown (pie / treemap data)."""
     vc = value_counts(df, x, top_n)
@@ -87,6 +90,7 @@ def shares(df: DataFrame, x: str, top_n: int | None = None) -> DataFrame:
             .orderBy(F.desc("count"), col(x)))
 
 
+@nan_as_missing
 def top_n(df: DataFrame, x: str, y: str, agg: str = "sum", n: int = 10,
           alias: str | None = None) -> DataFrame:
     """Aggregate per x, keep the n largest (ties by x)."""
@@ -94,6 +98,7 @@ def top_n(df: DataFrame, x: str, y: str, agg: str = "sum", n: int = 10,
     return group_agg(df, x, y, agg, alias=out).orderBy(F.desc(out), col(x)).limit(n)
 
 
+@nan_as_missing
 def line(df: DataFrame, x: str, y: str, color: str | None = None,
          agg: str | None = None) -> DataFrame:
     """Line / area data: rows ordered by x (aggregated per x and colour when ``agg`` is given)."""
@@ -104,6 +109,7 @@ def line(df: DataFrame, x: str, y: str, color: str | None = None,
     return df.select(*[col(k) for k in keys], col(y)).orderBy(*[col(k) for k in keys])
 
 
+@nan_as_missing
 def crosstab(df: DataFrame, x: str, y: str, y_values: Sequence | None = None) -> DataFrame:
     """Counts of x by y with absent combinations as 0; missing keys dropped.
 
@@ -122,6 +128,7 @@ def crosstab(df: DataFrame, x: str, y: str, y_values: Sequence | None = None) ->
 PERIODS = ("year", "quarter", "month", "week", "day", "hour", "minute")
 
 
+@nan_as_missing
 def by_period(df: DataFrame, ts: str, unit: str = "day", y: str | None = None,
               agg: str = "count", alias: str | None = None) -> DataFrame:
     """Counts (or agg of y) per calendar period of a timestamp column."""
@@ -144,6 +151,7 @@ def word_counts(df: DataFrame, text: str, top_n: int | None = None) -> DataFrame
     return value_counts(words, "word", top_n)
 
 
+@nan_as_missing
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation in long form ``a, b, r`` (both orders and the
     diagonal); NULL when a side is constant (pandas gives NaN).
@@ -173,6 +181,7 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return fwd.unionByName(back)
 
 
+@nan_as_missing
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Square matrix: one row per column, one column per column (heat-map data)."""
     cols = list(cols or numeric_columns(df))
@@ -181,6 +190,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
             .orderBy(F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("column"))))
 
 
+@nan_as_missing
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Distinct pairs (a before b in column order) ranked by |r|, strongest first."""
     cols = list(cols or numeric_columns(df))

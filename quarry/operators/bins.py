@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import check_columns, col, nan_to_null
+from quarry.functions.exprs import NUMERIC_TYPES, check_columns, col, nan_to_null
 from quarry.functions.quantiles import quantiles_long
 
 
@@ -35,6 +35,10 @@ def histogram(df: DataFrame, x: str, bins: int = 30, color: str | None = None) -
     check_columns(df, [x, color])
     if bins < 1:
         raise ValueError("bins must be positive")
+    if not isinstance(df.schema[x].dataType, NUMERIC_TYPES):
+        # text has no bins: the counts of its values
+        return df.where(col(x).isNotNull()).groupBy(*([col(color)] if color else []), col(x)) \
+            .agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), col(x))
     rng = _range(df, x, bins, "_")
     v = nan_to_null(col(x).cast("double"))
     keys = [col(color)] if color else []
@@ -146,41 +150,25 @@ def violin(df: DataFrame, y: str, by: str | None = None, grid: int = 100,
 
 
 def points(df: DataFrame, cols: Sequence[str], color: str | None = None,
-           max_points: int | None = 5000, key: Sequence[str] | None = None,
+           max_points: int | None = None, key: Sequence[str] | None = None,
            seed: int = 42) -> DataFrame:
-    """Raw points for scatter / strip / pair / 3-D / parallel / rug charts.
+    """Raw points for scatter / strip / pair / 3-D / parallel / rug charts: all rows.
 
-    With ``max_points`` each colour group keeps at most that many rows, chosen by a seeded
-    hash of ``key`` (all columns by default), so the sample repeats exactly. Groups are
-    counted first; only rows under a per-group hash threshold (about twice the quota) reach
-    the ranking window, and groups the threshold left short are ranked in full, so the
-    result is exact and no window partition holds much more than the quota.
+    With ``max_points`` a sample: each colour group keeps at most that many rows, the first by a
+    seeded hash of ``key`` (all columns by default), so the sample repeats exactly. Every task
+    keeps that many rows of a group before the shuffle.
     """
     cols = list(cols)
     check_columns(df, cols + [color])
-    out_cols = cols + ([color] if color and color not in cols else [])
-    base = df.where(F.lit(True))
+    out_cols = [col(c) for c in cols + ([color] if color and color not in cols else [])]
     if not max_points:
-        return base.select(*[col(c) for c in out_cols])
+        return df.select(*out_cols)
     keycols = [col(c) for c in (key or df.columns)]
-    u = (F.xxhash64(F.lit(seed), *keycols).bitwiseAND(F.lit((1 << 53) - 1))
-         / float(1 << 53)).alias("_u")
-    h = base.select(*[col(c) for c in out_cols], u,
-                    *[c.alias(f"_k{i}") for i, c in enumerate(keycols)])
-    gname = [color] if color else []
-    counts = h.groupBy(*[col(g) for g in gname]).agg(F.count(F.lit(1)).alias("_cnt"))
-    thr = F.least(F.lit(1.0), (2.0 * max_points + 64) / F.col("_cnt"))
-    hc = h.join(counts, gname) if gname else h.crossJoin(F.broadcast(counts))
-    cand = hc.where(F.col("_u") < thr)
-    have = cand.groupBy(*[col(g) for g in gname]).agg(F.count(F.lit(1)).alias("_got"))
-    short = (counts.join(have, gname, "left")
-             .where(F.coalesce(F.col("_got"), F.lit(0)) < F.least(F.col("_cnt"), F.lit(max_points)))
-             .select(*[col(g) for g in gname], F.lit(True).alias("_short")))
-    full = hc.join(short, gname, "left_semi") if gname else hc.crossJoin(short).drop("_short")
-    pool = cand.join(short, gname, "left_anti") if gname else \
-        cand.join(short, F.lit(True), "left_anti")
-    pool = pool.unionByName(full)
-    w = Window.partitionBy(*[col(g) for g in gname]).orderBy("_u", *[f"_k{i}" for i in
-                                                                     range(len(keycols))])
-    return (pool.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_points)
-            .select(*[col(c) for c in out_cols]))
+    u = F.xxhash64(F.lit(seed), *keycols).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    if not color:
+        return df.orderBy(u, *keycols).limit(max_points).select(*out_cols)
+    w = Window.partitionBy(col(color)).orderBy(u, *keycols)
+    place = "_place"
+    while place in df.columns:
+        place = "_" + place
+    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) <= max_points).select(*out_cols)

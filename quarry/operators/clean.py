@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.exprs import (FRACTIONAL_TYPES, NUMERIC_TYPES, check_columns, col,
+from quarry.functions.exprs import (FRACTIONAL_TYPES, NUMERIC_TYPES, check_columns, col, nan_as_missing,
                                     nan_to_null, numeric_columns)
 from quarry.functions.quantiles import quantiles_long, stack_columns
 from quarry.operators.profile import mode_value
@@ -66,8 +66,7 @@ def fill_missing(df: DataFrame, c: str, strategy: str, value=None,
     if strategy == "mean":
         return _with_fill(df, c, df.agg(F.avg(x).alias("s")), T.DoubleType())
     if strategy == "median":
-        vals = df.select(F.lit(1).alias("_k"), x.alias("_v"))
-        med = quantiles_long(vals, ["_k"], "_v", [0.5]).select(F.col("q").alias("s"))
+        med = quantiles_long(df.select(x.alias("_v")), [], "_v", [0.5]).select(F.col("q").alias("s"))
         # an all-missing column has no median row: keep one NULL row so the fill is a no-op
         med = df.sparkSession.range(1).join(med, F.lit(True), "left").select("s")
         return _with_fill(df, c, med, T.DoubleType())
@@ -106,6 +105,7 @@ def fill_constant(df: DataFrame, c: str, value) -> DataFrame:
                        for y in df.columns])
 
 
+@nan_as_missing
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """Remove whole-row duplicates (equal rows are identical, so which one stays is moot).
     The number removed is ``profile.duplicate_count`` of the input."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import check_columns, col, numeric_columns
+from quarry.functions.exprs import check_columns, col, nan_as_missing, numeric_columns
 
 # Target types of the cast request.
 CAST_TYPES = ("datetime", "int64", "float64", "str", "category")
@@ -97,6 +97,7 @@ def numeric_projection(df: DataFrame, k: int, color: str | None = None) -> DataF
     return df.select(*[col(c) for c in num], *([col(color)] if color else []))
 
 
+@nan_as_missing
 def map_points(df: DataFrame, lat: str, lon: str, hover: str | None = None,
                size: str | None = None, grid: float | None = None) -> DataFrame:
     """Rows with both coordinates (plus label/size columns). With ``grid`` (degrees) the
@@ -114,6 +115,7 @@ def map_points(df: DataFrame, lat: str, lon: str, hover: str | None = None,
     return base.groupBy(cell_lat, cell_lon).agg(*aggs)
 
 
+@nan_as_missing
 def choropleth(df: DataFrame, iso: str, value: str, agg: str | None = None) -> DataFrame:
     """Rows with an area code and a value; with ``agg`` one row per code."""
     check_columns(df, [iso, value])

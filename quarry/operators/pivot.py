@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import cell_text, check_columns, col
+from quarry.functions.exprs import cell_text, check_columns, col, nan_as_missing
 from quarry.functions.quantiles import quantiles_long
 from quarry.operators.aggregate import AGGREGATIONS, agg_expr
 
@@ -54,6 +54,7 @@ def _median_levels(df: DataFrame, levels: list[list[str]], values: list[str]) ->
     return out
 
 
+@nan_as_missing
 def pivot(df: DataFrame, rows: Sequence[str], columns: Sequence[str] = (),
           values: Sequence[str] = (), agg: str = "sum", margins: bool = True,
           round_to: int | None = 2, as_text: bool = False,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.exprs import (FRACTIONAL_TYPES, adjusted_kurtosis, adjusted_skew,
+from quarry.functions.exprs import (FRACTIONAL_TYPES, adjusted_kurtosis, adjusted_skew, nan_as_missing,
                                     cell_text, check_columns, col, missing, nan_to_null,
                                     numeric_columns, word_count)
 from quarry.functions.kinds import TEXT_WORDS, _static_kind
@@ -149,6 +149,7 @@ def missing_total(df: DataFrame) -> DataFrame:
     return missing_counts(df).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_total"))
 
 
+@nan_as_missing
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (all but the first of each group of equal rows).
 
@@ -210,8 +211,8 @@ def central(df: DataFrame, c: str) -> DataFrame:
     x = _clean_value(df, c)
     vals = df.select(x.alias("v")).where(F.col("v").isNotNull())
     mean = vals.agg(F.avg(F.col("v").cast("double")).alias("mean"))
-    med = quantiles_long(vals.select(F.lit(1).alias("_k"), "v"), ["_k"], "v", [0.5]) \
-        .select(F.col("q").alias("median"))
+    med = df.sparkSession.range(1).join(
+        quantiles_long(vals, [], "v", [0.5]).select(F.col("q").alias("median")), F.lit(True), "left").drop("id")
     mode = mode_value(vals, "v").select(F.col("v").alias("mode"))
     # three one-row frames (mode may have none): left joins on a constant keep one row
     return mean.crossJoin(med).join(mode, F.lit(True), "left")

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import check_columns, col
+from quarry.functions.exprs import check_columns, col, nan_as_missing
 from quarry.session import checkpoint_dir
 
 _LOW_BITS = (1 << 33) - 1
@@ -86,6 +86,7 @@ def forward_fill(df: DataFrame, c: str, order_by: Sequence[str],
                         for y in df.columns])
 
 
+@nan_as_missing
 def rolling_mean(df: DataFrame, y: str, order_by: Sequence[str], n: int,
                  partition_by: Sequence[str] = (), min_periods: int | None = None,
                  name: str | None = None, chunk: int = 1_000_000,
@@ -118,6 +119,7 @@ def rolling_mean(df: DataFrame, y: str, order_by: Sequence[str], n: int,
     return out.where(~F.col("_copy")).select(*[col(c) for c in df.columns], name)
 
 
+@nan_as_missing
 def area_stack(df: DataFrame, x: str, y: str, color: str) -> DataFrame:
     """Stacked-area data: per x, the running total of y over colours (colour order).
 

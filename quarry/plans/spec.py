@@ -36,6 +36,10 @@ CHARTS = {
 }
 
 
+# Slices of a pie of counts when no number is asked for.
+PIE_SLICES = {"pie": 10, "pie chart": 12}
+
+
 @dataclass
 class ChartSpec:
     chart_type: str | None = None
@@ -58,7 +62,7 @@ def resolve(df: DataFrame, spec: ChartSpec | dict) -> ChartSpec:
                      s.aggregation or "sum", s.top_n)
 
 
-def run_spec(df: DataFrame, spec: ChartSpec | dict, max_points: int = 5000) -> DataFrame:
+def run_spec(df: DataFrame, spec: ChartSpec | dict, max_points: int | None = None) -> DataFrame:
     """The data of one chart."""
     s = resolve(df, spec)
     kind = CHARTS.get(s.chart_type.lower())
@@ -86,13 +90,20 @@ def run_spec(df: DataFrame, spec: ChartSpec | dict, max_points: int = 5000) -> D
         return W.area_stack(df, x, y, c) if c else A.line(df, x, y, agg="sum")
     if kind == "pie":
         if y is not None:
-            g = A.group_agg(df, x, y, agg)
-            return g.orderBy(F.desc(y), col(x)).limit(n or 10)
-        return A.shares(df, x, n or 10)
+            g = A.group_agg(df, x, y, agg).orderBy(F.desc(y), col(x))
+            return g.limit(n) if n else g
+        return A.shares(df, x, n or PIE_SLICES.get(s.chart_type.lower()))
     if kind == "scatter":
         if y is None:
             raise ValueError("Y column required for Scatter chart.")
-        return T.ols(df, x, y) if not c else B.points(df, [x, y], c, max_points)
+        if c:
+            return B.points(df, [x, y], c, max_points)
+        # every point with the fitted line's value at its x
+        line = F.broadcast(T.ols(df, x, y).select("slope", "intercept"))      # one row
+        fit = F.col("slope") * F.col("_p.x") + F.col("intercept")
+        return B.points(df, [x, y], None, max_points).select(
+            F.struct(col(x).alias("x"), col(y).alias("y")).alias("_p")).crossJoin(line) \
+            .select(F.col("_p.x").alias(x), F.col("_p.y").alias(y), fit.alias("fit"))
     if kind == "points":
         return B.points(df, [y or x], c, max_points)
     if kind in ("pair", "parallel", "scatter3d"):

@@ -21,6 +21,11 @@ _CANDIDATES = (("boolean", "boolean"), ("bigint", "bigint"), ("double", "double"
                ("timestamp", "timestamp"))
 
 
+# Quotes are doubled inside quoted cells, which may hold line breaks; spaces belong to the cell.
+# A file with line breaks in cells cannot be split: write many files for large tables.
+QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str],
              null_tokens: Sequence[str] = NULL_TOKENS, infer: bool = True,
              **options) -> DataFrame:
@@ -31,7 +36,8 @@ def read_csv(spark: SparkSession, path: str | Sequence[str],
     counting failed ``try_cast``s for all columns at once), else stays string. A token such
     as "NA" therefore no longer turns a number column into text.
     """
-    raw = spark.read.options(header=True, inferSchema=False, **options).csv(path)
+    raw = spark.read.options(**{**QUOTING, "header": True, "inferSchema": False, "multiLine": True,
+                                **options}).csv(path)
     tokens = list(null_tokens)
     clean = raw.select(*[F.when(~col(c).isin(tokens) & col(c).isNotNull(), col(c)).alias(c)
                          for c in raw.columns]) if tokens else raw
@@ -44,14 +50,18 @@ def read_csv(spark: SparkSession, path: str | Sequence[str],
             if name == "boolean":
                 bad = x.isNotNull() & ~F.lower(x).isin("true", "false")
             elif name == "timestamp":
-                bad = x.isNotNull() & F.try_to_timestamp(x).isNull()
+                # a time of day alone has no date and stays text
+                bad = x.isNotNull() & (F.try_to_timestamp(x).isNull() | ~x.rlike(r"^\s*\d{4}-\d"))
             else:
                 bad = x.isNotNull() & x.try_cast(t).isNull()
             checks.append(F.count_if(bad).alias(f"{name}_{i}"))
+        checks.append(F.count(x).alias(f"present_{i}"))
     fails = clean.agg(*checks).first() if checks else None
     out = []
     for i, c in enumerate(clean.columns):
         chosen = next((t for name, t in _CANDIDATES if fails[f"{name}_{i}"] == 0), None)
+        if fails[f"present_{i}"] == 0:
+            chosen = "double"       # an empty column
         if chosen == "timestamp":
             out.append(F.try_to_timestamp(col(c)).alias(c))
         elif chosen == "boolean":
@@ -65,7 +75,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str],
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header row, no index (one file per task)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(header=True, **QUOTING).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
