@@ -58,7 +58,16 @@ def op9(spark, sf_dir):
     return packing.pack(rows, 4096).withColumnRenamed("id", "doc_id")
 
 
-@register("op5_segment_top_k")
+@register("op5_segment_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
 def op5(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, k=10)
 
