@@ -67,7 +67,7 @@ def missing_shares(df: DataFrame) -> DataFrame:
     one = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)])
     rows = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"),
-                     (F.col(f"m{i}") * 100.0 / F.col("_rows")).alias("pct"))
+                     F.coalesce(F.try_divide(F.col(f"m{i}") * 100.0, F.col("_rows")), F.lit(0.0)).alias("pct"))
             for i, c in enumerate(df.columns)]
     return one.select(F.inline(F.array(*rows)))
 

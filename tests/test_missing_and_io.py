@@ -77,3 +77,9 @@ def test_quantiles_do_not_shuffle_rows_by_group(spark):
         assert "CartesianProduct" not in med
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_alerts_of_an_empty_table(holes):
+    from quarry.operators.alerts import alerts, recommend
+    assert alerts(holes.limit(0)).collect() is not None
+    assert recommend(holes.limit(0)).collect() is not None
