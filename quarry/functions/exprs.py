@@ -29,6 +29,18 @@ def check_columns(df: DataFrame, cols: Iterable[str | None]) -> None:
         raise ValueError(f"Columns not found: {absent}")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Helper column names that the table does not have (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for w in wanted:
+        name = "_" + w
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def dtype_of(df: DataFrame, c: str) -> T.DataType:
     return df.schema[c].dataType
 

@@ -8,7 +8,6 @@ mean/min/max stay NULL; ``count`` counts non-missing values.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,9 @@ from quarry.functions.quantiles import quantiles_long
 AGGREGATIONS = ("sum", "mean", "count", "min", "max", "median")
 
 
+CORRELATION_BLOCK = 8    # columns a side of one correlation aggregate
+
+
 def agg_expr(c: str | Column, how: str) -> Column:
     """Aggregate expression for one of AGGREGATIONS except median (see ``group_agg``)."""
     x = col(c)
@@ -109,19 +111,46 @@ def line(df: DataFrame, x: str, y: str, color: str | None = None,
     return df.select(*[col(k) for k in keys], col(y)).orderBy(*[col(k) for k in keys])
 
 
+def pivot_keys(df: DataFrame, columns: Sequence[str], code: Column) -> list[tuple[str, tuple]]:
+    """Distinct column keys in order, as (code, key values): those of a wide table, at most
+    ``spark.sql.pivotMaxValues`` (Spark's own bound for pivots; more raise)."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = (df.select(F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)]).alias("k"),
+                       code.alias("code")).distinct().limit(most + 1).orderBy("k").collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} column keys: use the long form")
+    return [(r["code"], tuple(r["k"])) for r in found]
+
+
 @nan_as_missing
 def crosstab(df: DataFrame, x: str, y: str, y_values: Sequence | None = None) -> DataFrame:
     """Counts of x by y with absent combinations as 0; missing keys dropped.
 
     Counts are aggregated on (x, y) first and then pivoted, so the pivot works on the small
-    counts table. ``y_values`` (the output columns) are read from the data when not given.
+    counts table. ``y_values`` (the output columns) are read from the data when not given, up to
+    Spark's bound for pivots; ``group_agg(df, x, y, "count", color=y)`` is the long form.
     """
+    from quarry.operators.pivot import key_code
     check_columns(df, [x, y])
-    pairs = keys_present(df, [x, y]).groupBy(col(x), col(y)).agg(F.count(F.lit(1)).alias("_n"))
-    if y_values is None:
-        y_values = [r[0] for r in pairs.select(col(y)).distinct().orderBy(col(y)).collect()]
-    out = pairs.groupBy(col(x)).pivot(y, list(y_values)).agg(F.first("_n"))
-    return out.fillna(0, subset=[str(v) for v in y_values]).orderBy(col(x))
+    t = df.schema[y].dataType
+    pairs = (keys_present(df, [x, y]).groupBy(col(x).alias("_x"), col(y).alias("_y"))
+             .agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_code", key_code([F.col("_y")], [t])))
+    keys = pivot_keys(pairs, ["_y"], F.col("_code"))
+    if y_values is not None:
+        wanted = list(y_values)
+        found = {k[0]: code for code, k in keys}
+        keys = [(found.get(v, ""), (v,)) for v in wanted]
+    out = pairs.groupBy("_x").pivot("_code", sorted({c for c, _ in keys})).agg(F.first("_n"))
+    cells, taken = [], {x.lower()}
+    for code, (v,) in keys:
+        name, n = str(v), 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{v} ({n})"
+        taken.add(name.lower())
+        cells.append(F.coalesce(F.col(f"`{code}`") if code else F.lit(None).cast("long"), F.lit(0)).alias(name))
+    return out.select(F.col("_x").alias(x), *cells).orderBy(col(x))
 
 
 # Period units understood by ``by_period`` (Spark date_trunc names).
@@ -151,34 +180,41 @@ def word_counts(df: DataFrame, text: str, top_n: int | None = None) -> DataFrame
     return value_counts(words, "word", top_n)
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Correlation over rows with both values; NULL when a side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    return safe_div(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 @nan_as_missing
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation in long form ``a, b, r`` (both orders and the
     diagonal); NULL when a side is constant (pandas gives NaN).
 
-    Each row is expanded to one (pair, x, y) entry per column pair present in it and
-    aggregated by pair: three aggregate functions (covariance and two deviations) keep the
-    stage inside whole-stage codegen whatever the number of columns, and the partial
-    aggregate leaves one row per pair and task before the shuffle."""
+    Pairs are computed in blocks of ``CORRELATION_BLOCK`` by ``CORRELATION_BLOCK`` columns: a
+    block is one aggregate of a row per task that reads only its columns, so no row is
+    multiplied and one block's aggregate stays small whatever the number of columns."""
     cols = list(cols or numeric_columns(df))
     check_columns(df, cols)
-    pairs = [(i, i) for i in range(len(cols))] + list(combinations(range(len(cols)), 2))
-    entries = F.array(*[F.struct(F.lit(k).alias("_k"), col(cols[i]).cast("double").alias("_x"),
-                                 col(cols[j]).cast("double").alias("_y"))
-                        for k, (i, j) in enumerate(pairs)])
-    x, y = F.col("_x"), F.col("_y")
-    r = (df.select(F.inline(entries)).where(x.isNotNull() & y.isNotNull())
-         .groupBy("_k").agg(safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-                            .alias("r")))
-    names = F.array(*[F.lit(c) for c in cols])
-    ia = F.array(*[F.lit(i) for i, _ in pairs])[F.col("_k")]
-    ib = F.array(*[F.lit(j) for _, j in pairs])[F.col("_k")]
-    # every pair appears even when it has no complete row
-    keys = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("_k"))
-    full = keys.join(r, "_k", "left")
-    fwd = full.select(names[ia].alias("a"), names[ib].alias("b"), "r")
-    back = full.where(ia != ib).select(names[ib].alias("a"), names[ia].alias("b"), "r")
-    return fwd.unionByName(back)
+    step = CORRELATION_BLOCK
+    starts = range(0, len(cols), step)
+    out = None
+    for a in starts:
+        for b in starts:
+            if b < a:
+                continue
+            pairs = [(i, j) for i in range(a, min(a + step, len(cols)))
+                     for j in range(b, min(b + step, len(cols))) if i <= j]
+            d = df.select(*[col(cols[i]).cast("double").alias(f"c{i}")
+                            for i in sorted({i for p in pairs for i in p})])
+            one = d.agg(*[_pearson(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in pairs])
+            rows = [F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
+                             F.col(f"r{i}_{j}").alias("r")) for i, j in pairs]
+            rows += [F.struct(F.lit(cols[j]).alias("a"), F.lit(cols[i]).alias("b"),
+                              F.col(f"r{i}_{j}").alias("r")) for i, j in pairs if i != j]
+            block = one.select(F.inline(F.array(*rows)))
+            out = block if out is None else out.unionByName(block)
+    return out if out is not None else df.sparkSession.createDataFrame([], "a string, b string, r double")
 
 
 @nan_as_missing

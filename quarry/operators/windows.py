@@ -12,85 +12,99 @@ the upper bits). The summary and the row-level branch must see the same ids, but
 planned as one exchange (column pruning makes the two sorts differ, and each range sort samples
 its own split points), so the sorted, id-tagged table is written once with a reliable
 ``checkpoint()`` to the folder named by ``spark.checkpoint.dir``: ids become stored columns,
-both branches read them, and a lost executor only re-reads checkpoint files. ``checkpoint=False``
-skips the write and is only safe when the sort's input fits one sample (small tables).
+both branches read them, and a lost executor only re-reads checkpoint files.
+
+Groups are contiguous after the sort, so only the first group of a sort partition can have
+begun in an earlier one: the values carried over borders are at most one row per sort partition
+(a number set by the shuffle settings, not by the data), which is why that table is broadcast.
+
+Rows equal in all of ``order_by`` have no order of their own; add a tie-break column there.
+Helper columns take names that the table does not have.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import check_columns, col, nan_as_missing
+from quarry.functions.exprs import check_columns, col, free_names, nan_as_missing, nan_to_null
 from quarry.session import checkpoint_dir
 
 _LOW_BITS = (1 << 33) - 1
 
 
-def _sorted_with_ids(df: DataFrame, keys: Sequence[str], checkpoint: bool) -> DataFrame:
-    s = (df.orderBy(*[col(k) for k in keys])
-         .withColumn("_id", F.monotonically_increasing_id())
-         .withColumn("_pid", F.shiftright(F.col("_id"), 33))
-         .withColumn("_loc", F.col("_id").bitwiseAND(F.lit(_LOW_BITS))))
-    if checkpoint:
-        checkpoint_dir(df.sparkSession)
-        s = s.checkpoint(eager=True)
-    return s
+def _sorted_with_ids(df: DataFrame, keys: Sequence[str], rid: str, pid: str) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return (df.orderBy(*[col(k) for k in keys])
+            .withColumn(rid, F.monotonically_increasing_id())
+            .withColumn(pid, F.shiftright(F.col(rid), 33))
+            .checkpoint(eager=True))
+
+
+def _carried(per_part: DataFrame, p: Sequence[str], pid: str, value: Column, name: str) -> DataFrame:
+    """Rows of ``per_part`` (one per sort partition and group) whose group began in an earlier
+    sort partition, with ``value`` over those earlier rows: at most one per sort partition."""
+    w = Window.partitionBy(*[col(k) for k in p]).orderBy(pid) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    out = per_part.select(pid, *[col(k) for k in p], value.over(w).alias(name))
+    return out.where(F.col(name).isNotNull())
+
+
+def _join_carried(rows: DataFrame, carried: DataFrame, p: Sequence[str], pid: str) -> DataFrame:
+    same = F.col("s." + pid) == F.col("c." + pid)
+    for k in p:
+        same = same & F.col(f"s.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
+    return rows.alias("s").join(F.broadcast(carried.alias("c")), same, "left")
 
 
 def ordered_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
-                  name: str = "row_index", checkpoint: bool = True) -> DataFrame:
+                  name: str = "row_index") -> DataFrame:
     """Add ``name``: 0-based position of each row in ``order_by`` order within its
-    ``partition_by`` group (a distributed ``row_number() - 1``)."""
+    ``partition_by`` group (a distributed ``row_number() - 1``); missing keys form a group."""
     p, o = list(partition_by), list(order_by)
     check_columns(df, p + o)
-    s = _sorted_with_ids(df, p + o, checkpoint)
-    # rows of one group are contiguous inside a sort partition: count and first position
-    part = s.groupBy("_pid", *[col(k) for k in p]).agg(F.count(F.lit(1)).alias("_cnt"),
-                                                        F.min("_loc").alias("_first"))
-    w = Window.partitionBy(*[col(k) for k in p]).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offs = part.select("_pid", *[col(k) for k in p], "_first",
-                       F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before"))
-    j = s.join(offs, ["_pid"] + p)
-    return j.select(*[col(c) for c in df.columns],
-                    (F.col("_before") + F.col("_loc") - F.col("_first")).alias(name))
+    rid, pid, at, n, before = free_names(df, "id", "pid", "at", "n", "before")
+    s = _sorted_with_ids(df, p + o, rid, pid)
+    if p:
+        w = Window.partitionBy(pid, *[col(k) for k in p]).orderBy(rid)
+        s = s.withColumn(at, F.row_number().over(w) - 1)
+    else:
+        s = s.withColumn(at, F.col(rid).bitwiseAND(F.lit(_LOW_BITS)))
+    per_part = s.groupBy(pid, *[col(k) for k in p]).agg(F.count(F.lit(1)).alias(n))
+    j = _join_carried(s, _carried(per_part, p, pid, F.sum(n), before), p, pid)
+    return j.select(*[F.col(f"s.`{c}`") for c in df.columns],
+                    (F.coalesce(F.col(before), F.lit(0)) + F.col(at)).cast("long").alias(name))
 
 
 def forward_fill(df: DataFrame, c: str, order_by: Sequence[str],
-                 partition_by: Sequence[str] = (), checkpoint: bool = True) -> DataFrame:
+                 partition_by: Sequence[str] = ()) -> DataFrame:
     """Fill missing cells of ``c`` with the last earlier non-missing value in ``order_by``
     order (within ``partition_by`` groups). Leading missing cells stay missing."""
     p, o = list(partition_by), list(order_by)
     if not o:
         raise ValueError("forward fill needs order_by (Spark rows have no order of their own)")
     check_columns(df, [c] + p + o)
-    x = F.nanvl(col(c), F.lit(None)) if dict(df.dtypes)[c] in ("double", "float") else col(c)
-    s = _sorted_with_ids(df.withColumn("_x", x), p + o, checkpoint)
-    # one row per (sort partition, group): its last non-missing value, if any
-    summary = (s.groupBy("_pid", *[col(k) for k in p])
-               .agg(F.max_by("_x", F.when(F.col("_x").isNotNull(), F.col("_id"))).alias("_upto")))
-    # carry into partition k: last value of an earlier partition of the same group
-    w = Window.partitionBy(*[col(k) for k in p]).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select("_pid", *[col(k) for k in p],
-                           F.last("_upto", ignorenulls=True).over(w).alias("_prev"))
-    within = Window.partitionBy("_pid", *[col(k) for k in p]).orderBy("_id") \
+    rid, pid, x, upto, prev, within = free_names(df, "id", "pid", "x", "upto", "prev", "within")
+    dt = df.schema[c].dataType
+    val = nan_to_null(col(c)).cast(dt) if dt.typeName() in ("double", "float") else col(c)
+    s = _sorted_with_ids(df.withColumn(x, val), p + o, rid, pid)
+    # last non-missing value of each (sort partition, group)
+    per_part = (s.groupBy(pid, *[col(k) for k in p])
+                .agg(F.max_by(x, F.when(F.col(x).isNotNull(), F.col(rid))).alias(upto)))
+    carried = _carried(per_part, p, pid, F.last(upto, ignorenulls=True), prev)
+    w = Window.partitionBy(pid, *[col(k) for k in p]).orderBy(rid) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    filled = s.withColumn("_in", F.last("_x", ignorenulls=True).over(within))
-    out = filled.join(carry, ["_pid"] + p, "left")
-    val = F.coalesce(F.col("_in"), F.col("_prev"))
-    return out.select(*[val.cast(df.schema[c].dataType).alias(y) if y == c else col(y)
-                        for y in df.columns])
+    out = _join_carried(s.withColumn(within, F.last(x, ignorenulls=True).over(w)), carried, p, pid)
+    filled = F.coalesce(F.col(within), F.col(prev)).cast(dt).alias(c)
+    return out.select(*[filled if y == c else F.col(f"s.`{y}`") for y in df.columns])
 
 
 @nan_as_missing
 def rolling_mean(df: DataFrame, y: str, order_by: Sequence[str], n: int,
                  partition_by: Sequence[str] = (), min_periods: int | None = None,
-                 name: str | None = None, chunk: int = 1_000_000,
-                 checkpoint: bool = True) -> DataFrame:
+                 name: str | None = None, chunk: int = 1_000_000) -> DataFrame:
     """Mean of the last ``n`` rows (current included) in ``order_by`` order.
 
     Like pandas' ``rolling(n, min_periods).mean()``: missing values are skipped, and fewer
@@ -106,17 +120,60 @@ def rolling_mean(df: DataFrame, y: str, order_by: Sequence[str], n: int,
     chunk = max(chunk, n)
     min_periods = n if min_periods is None else min_periods
     name = name or f"{y}_rolling_{n}"
-    idx = ordered_index(df, o, p, "_g", checkpoint)
-    idx = idx.withColumn("_chunk", F.floor(F.col("_g") / chunk)).withColumn("_copy", F.lit(False))
-    tail = (idx.where((F.col("_g") % chunk) >= chunk - (n - 1))
-            .withColumn("_chunk", F.col("_chunk") + 1).withColumn("_copy", F.lit(True))) \
+    at, part, copy = free_names(df, "at", "part", "copy")
+    idx = ordered_index(df, o, p, at)
+    idx = idx.withColumn(part, F.floor(F.col(at) / chunk)).withColumn(copy, F.lit(False))
+    tail = (idx.where((F.col(at) % chunk) >= chunk - (n - 1))
+            .withColumn(part, F.col(part) + 1).withColumn(copy, F.lit(True))) \
         if n > 1 else None
     both = idx.unionByName(tail) if tail is not None else idx
-    w = Window.partitionBy(*[col(k) for k in p], "_chunk").orderBy("_g") \
-        .rowsBetween(-(n - 1), 0)
+    w = Window.partitionBy(*[col(k) for k in p], part).orderBy(at).rowsBetween(-(n - 1), 0)
     v = col(y).cast("double")
     out = both.withColumn(name, F.when(F.count(v).over(w) >= min_periods, F.avg(v).over(w)))
-    return out.where(~F.col("_copy")).select(*[col(c) for c in df.columns], name)
+    return out.where(~F.col(copy)).select(*[col(c) for c in df.columns], col(name))
+
+
+@nan_as_missing
+def rolling_mean_time(df: DataFrame, y: str, ts: str, seconds: float,
+                      partition_by: Sequence[str] = (), min_periods: int = 1,
+                      name: str | None = None, spans: int = 64) -> DataFrame:
+    """Mean of ``y`` over the rows of the last ``seconds`` up to each row's time, itself included.
+
+    The frame is ``(t - seconds, t]``; rows of the same time share a frame, missing values are
+    skipped, and fewer than ``min_periods`` present values or a missing time give NULL. Rows are
+    summed per time first, so a time shared by many rows is one row of the window; the times are
+    cut into stretches of ``spans`` frames, each with a copy of the frame before it, so that no
+    task holds a whole group. The means return to the rows by a join on group and time, whose
+    skewed partitions Spark splits.
+    """
+    p = list(partition_by)
+    check_columns(df, [y, ts] + p)
+    if seconds <= 0:
+        raise ValueError("seconds must be positive")
+    span = int(round(seconds * 1_000_000))
+    name = name or f"{y}_rolling_{seconds:g}s"
+    t, part, copy, total, n = free_names(df, "t", "part", "copy", "total", "n")
+    v = col(y).cast("double")
+    gk = [free_names(df, f"g{i}")[0] for i in range(len(p))]
+    # a zone-less time counts from the zone-less epoch, whatever the session's zone
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, col(ts).cast("timestamp_ntz"))
+    rows = df.withColumn(t, micros)
+    cells = (rows.where(F.col(t).isNotNull())
+             .groupBy(*[col(k).alias(g) for k, g in zip(p, gk)], t)
+             .agg(F.sum(v).alias(total), F.count(v).alias(n))
+             .withColumn(part, F.floor(F.col(t) / (span * spans))).withColumn(copy, F.lit(False)))
+    tail = (cells.where(F.pmod(F.col(t), F.lit(span * spans)) > span * (spans - 1))
+            .withColumn(part, F.col(part) + 1).withColumn(copy, F.lit(True)))
+    w = Window.partitionBy(*gk, part).orderBy(t).rangeBetween(-(span - 1), 0)
+    count = F.sum(n).over(w)
+    means = (cells.unionByName(tail)
+             .withColumn(name, F.when(count >= max(min_periods, 1), F.sum(total).over(w) / count))
+             .where(~F.col(copy)).select(*gk, F.col(t).alias(part), col(name)))
+    same = F.col(t) == F.col(part)
+    for k, g in zip(p, gk):
+        same = same & col(k).eqNullSafe(F.col(g))
+    return rows.join(means, same, "left").select(*[col(c) for c in df.columns], col(name))
 
 
 @nan_as_missing
