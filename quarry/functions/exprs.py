@@ -84,6 +84,11 @@ def adjusted_kurtosis(c: Column) -> Column:
     return F.when(n >= 4, ((n + 1) * F.kurtosis(c) + 6) * (n - 1) / ((n - 2) * (n - 3)))
 
 
+def row_hash(seed: int, cols: Iterable[Column]) -> Column:
+    """Seeded hash that orders rows at random, the same on every run: MD5 of the cells' text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))
+
+
 def word_count(c: Column) -> Column:
     """Number of whitespace-separated words (blank text has none)."""
     return F.regexp_count(c, F.lit(r"\S+"))

@@ -36,6 +36,20 @@ DEFAULT_BUCKETS = 1024
 BROADCAST_GROUPS = 20_000    # bounds of some hundred bytes each
 
 
+def join_facts(data: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the facts of each row's group (one row per group) to the rows.
+
+    The facts are checkpointed and counted: up to ``BROADCAST_GROUPS`` of them are broadcast, so
+    that no row is shuffled by a hot key; beyond that Spark joins both sides and splits skewed
+    partitions. Without keys the facts are a single row."""
+    checkpoint_dir(data.sparkSession)
+    facts = facts.checkpoint(eager=True)
+    if not keys:
+        return data.crossJoin(F.broadcast(facts))
+    few = facts.count() <= BROADCAST_GROUPS
+    return data.join(F.broadcast(facts) if few else facts, list(keys))
+
+
 def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
                    accuracy: int = DEFAULT_ACCURACY, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Exact quantiles of ``value`` for each group of ``keys``.
@@ -63,18 +77,9 @@ def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequ
                      F.array(*[F.when(small, F.col("_mx")).otherwise(F.col("_b")[nt + t])
                                for t in range(nt)]).alias("_hi")))
     # The sketch's bounds can come out differently if the aggregate is recomputed (merge order
-    # of partial sketches), and two branches below depend on them: the table (one row per
-    # group) is therefore written once with a reliable checkpoint.
-    checkpoint_dir(long_df.sparkSession)
-    stats = stats.checkpoint(eager=True)
-    # One row per group. Counted small, it is broadcast, so that no raw row is shuffled by a hot
-    # key; beyond that Spark joins both sides and splits skewed partitions. Without keys it is a
-    # single row.
-    if keys:
-        few = stats.count() <= BROADCAST_GROUPS
-        joined = data.join(F.broadcast(stats) if few else stats, keys)
-    else:
-        joined = data.crossJoin(F.broadcast(stats))
+    # of partial sketches), and two branches below depend on them: join_facts writes the table
+    # (one row per group) once with a reliable checkpoint.
+    joined = join_facts(data, stats, keys)
 
     lo_t, hi_t = F.col("_lo")[F.col("_c._t")], F.col("_hi")[F.col("_c._t")]
     cls = F.explode(F.array(*[

@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import FRACTIONAL_TYPES, col, missing, nan_to_null, numeric_columns
+from quarry.functions.exprs import col, missing, nan_to_null, numeric_columns
 from quarry.functions.quantiles import quantiles_long, stack_columns
-from quarry.operators.profile import duplicate_count
+from quarry.operators.profile import constant_columns, duplicate_count
 
 # Alert thresholds.
 MIN_VALUES = 4
@@ -78,20 +78,21 @@ def alerts(df: DataFrame) -> DataFrame:
     num = numeric_checks(df).where(F.col("checked"))
     posmap = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
     pct1 = F.round(F.col("pct"), 1).cast("string")
-    out_a = num.where(F.col("outliers") > 0).select(
-        (posmap[F.col("column")] * 10).alias("order"),
-        F.when(F.col("pct") > OUTLIER_CRITICAL_PCT, "critical").otherwise("warning")
-        .alias("severity"),
-        "column", F.lit("Outliers (IQR)").alias("issue"),
-        F.concat(F.col("outliers").cast("string"), F.lit(" values ("), pct1,
-                 F.lit("%) outside IQR fence")).alias("detail"),
-        F.round(F.col("pct"), 4).alias("value"))
-    skew_a = num.where(F.abs(F.col("skew")) > SKEW_LIMIT).select(
-        (posmap[F.col("column")] * 10 + 1).alias("order"), F.lit("warning").alias("severity"),
-        "column", F.lit("High skewness").alias("issue"),
-        F.concat(F.lit("skew = "), F.round(F.col("skew"), 2).cast("string"),
-                 F.lit(" — consider log transform")).alias("detail"),
-        F.round(F.col("skew"), 4).alias("value"))
+    # both checks of a column from one row of the checks table
+    pair = F.array(
+        F.struct((posmap[F.col("column")] * 10).alias("order"),
+                 F.when(F.col("pct") > OUTLIER_CRITICAL_PCT, "critical").otherwise("warning")
+                 .alias("severity"),
+                 F.col("column"), F.lit("Outliers (IQR)").alias("issue"),
+                 F.concat(F.col("outliers").cast("string"), F.lit(" values ("), pct1,
+                          F.lit("%) outside IQR fence")).alias("detail"),
+                 F.when(F.col("outliers") > 0, F.round(F.col("pct"), 4)).alias("value")),
+        F.struct((posmap[F.col("column")] * 10 + 1).alias("order"), F.lit("warning").alias("severity"),
+                 F.col("column"), F.lit("High skewness").alias("issue"),
+                 F.concat(F.lit("skew = "), F.round(F.col("skew"), 2).cast("string"),
+                          F.lit(" — consider log transform")).alias("detail"),
+                 F.when(F.abs(F.col("skew")) > SKEW_LIMIT, F.round(F.col("skew"), 4)).alias("value")))
+    numeric = num.select(F.inline(pair)).where(F.col("value").isNotNull())
     ms = missing_shares(df)
     base = 10 * (len(pos) + 1)
     miss = ms.where(F.col("pct") > MISSING_WARNING_PCT).select(
@@ -107,7 +108,7 @@ def alerts(df: DataFrame) -> DataFrame:
         F.lit("Dataset").alias("column"), F.lit("Duplicates").alias("issue"),
         F.concat(F.col("duplicates").cast("string"), F.lit(" duplicate rows")).alias("detail"),
         F.col("duplicates").cast("double").alias("value"))
-    allr = out_a.unionByName(skew_a).unionByName(miss).unionByName(dup)
+    allr = numeric.unionByName(miss).unionByName(dup)
     return allr.orderBy("order").drop("order")
 
 
@@ -122,18 +123,10 @@ def recommend(df: DataFrame) -> DataFrame:
     """Per column: ``column, action, reason``: drop (missing > 30 % or constant), impute
     (missing > 5 %), flag (IQR outliers), else keep."""
     ms = missing_shares(df)
-    fields = [f.name for f in df.schema.fields]
-    mm = df.agg(*[F.min(nan_to_null(col(c)) if isinstance(df.schema[c].dataType, FRACTIONAL_TYPES)
-                        else col(c)).cast("string").alias(f"a{i}") for i, c in enumerate(fields)],
-                *[F.max(nan_to_null(col(c)) if isinstance(df.schema[c].dataType, FRACTIONAL_TYPES)
-                        else col(c)).cast("string").alias(f"b{i}") for i, c in enumerate(fields)])
-    const = mm.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 (F.col(f"a{i}").isNull() | (F.col(f"a{i}") == F.col(f"b{i}"))).alias("constant"))
-        for i, c in enumerate(fields)])))
+    const = constant_columns(df)
     num = numeric_checks(df).select("column", F.when(F.col("checked"), F.col("outliers"))
                                     .alias("outliers"))
-    j = ms.join(const, "column").join(num, "column", "left")
+    j = ms.join(const, "column", "left").join(num, "column", "left")
     action = (F.when(F.col("pct") > MISSING_CRITICAL_PCT, "drop")
               .when(F.col("constant"), "drop")
               .when(F.col("pct") > MISSING_WARNING_PCT, "impute")

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import NUMERIC_TYPES, check_columns, col, nan_to_null
-from quarry.functions.quantiles import quantiles_long
+from quarry.functions.exprs import NUMERIC_TYPES, check_columns, col, nan_to_null, row_hash
+from quarry.functions.quantiles import join_facts, quantiles_long
 
 
 def _bin(x: Column, lo: Column, w: Column, bins: int) -> Column:
@@ -76,8 +76,8 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, k: float = 1.5) -> D
     """Per group: ``n, min, q1, median, q3, max, lower_whisker, upper_whisker, outliers``.
 
     Whisker ends are the most extreme values inside the fences ``[q1 - k IQR, q3 + k IQR]``.
-    Quartiles come from the distributed exact quantile; the fences (one row per group) are
-    joined back for one more aggregate pass."""
+    Quartiles come from the distributed exact quantile; the fences (one row per group) go back
+    to the rows for one more aggregate pass."""
     check_columns(df, [y, by])
     keys = [by] if by else []
     data = df.select(*[col(c) for c in keys], nan_to_null(col(y).cast("double")).alias("_y")) \
@@ -92,7 +92,7 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, k: float = 1.5) -> D
     iqr = F.col("q3") - F.col("q1")
     fences = qw.select(*gk, "q1", "median", "q3", (F.col("q1") - k * iqr).alias("_lo"),
                        (F.col("q3") + k * iqr).alias("_hi"))
-    j = data.join(fences, gk) if gk else data.crossJoin(F.broadcast(fences))
+    j = join_facts(data, fences, gk)
     inside = (F.col("_y") >= F.col("_lo")) & (F.col("_y") <= F.col("_hi"))
     out = j.groupBy(*gk, "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"), F.min("_y").alias("min"), F.max("_y").alias("max"),
@@ -103,50 +103,54 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, k: float = 1.5) -> D
     return out.select(*([F.col("_g").alias(by)] if by else []), *cols)
 
 
-def violin(df: DataFrame, y: str, by: str | None = None, grid: int = 100,
-           fine_bins: int = 512) -> DataFrame:
-    """Gaussian kernel density of y per group on ``grid`` evenly spaced points.
+VIOLIN_STEPS = 4      # density points per bandwidth
+VIOLIN_REACH = 4      # bandwidths after which the kernel counts as 0
 
-    The rows are first reduced to ``fine_bins`` bin counts per group, so the kernel sum costs
-    groups x fine_bins x grid, independent of the row count. Bandwidth: Silverman's rule,
-    ``0.9 * min(sd, IQR / 1.34) * n^(-1/5)`` (sd when the IQR is 0). Rows ``[by,] y, density``.
+
+def violin(df: DataFrame, y: str, by: str | None = None, box: bool = False) -> DataFrame:
+    """Gaussian kernel density of y per group: rows ``[by,] y, density``.
+
+    Bandwidth: Silverman's rule, ``0.9 * min(sd, IQR / 1.34) * n^(-1/5)`` (sd when the IQR is 0;
+    1 for equal values). Rows are counted in bins a quarter of the bandwidth wide, whatever the
+    range, and each bin that holds rows adds its kernel to the points within four bandwidths;
+    points farther from all rows, where the density is 0, have no row. So the work follows the
+    bins that hold rows, and a distant outlier changes nothing elsewhere.
+
+    With ``box`` every row also carries ``q1, median, q3, lower_whisker, upper_whisker``.
     """
     check_columns(df, [y, by])
     keys = [by] if by else []
-    data = df.select(*[col(c) for c in keys], nan_to_null(col(y).cast("double")).alias("_y")) \
+    data = df.select(*[col(c).alias("_g") for c in keys], nan_to_null(col(y).cast("double")).alias("_y")) \
              .where(F.col("_y").isNotNull())
     if by:
-        data = data.where(col(by).isNotNull()).withColumnRenamed(by, "_g")
+        data = data.where(F.col("_g").isNotNull())
     gk = ["_g"] if by else []
     stats = data.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_y").alias("_lo"),
-                                  F.max("_y").alias("_hi"), F.stddev_samp("_y").alias("_sd"))
+                                  F.stddev_samp("_y").alias("_sd"))
     q = quantiles_long(data, gk, "_y", [0.25, 0.75])
     qi = q.groupBy(*gk).agg((F.max(F.when(F.col("p") == 0.75, F.col("q")))
                              - F.max(F.when(F.col("p") == 0.25, F.col("q")))).alias("_iqr"))
     sd = F.coalesce(F.col("_sd"), F.lit(0.0))
     spread = F.when((F.col("_iqr") > 0) & (F.col("_iqr") / 1.34 < sd), F.col("_iqr") / 1.34) \
         .otherwise(sd)
+    h = 0.9 * spread * F.pow(F.col("_n"), F.lit(-0.2))
     st = (stats.join(qi, gk) if gk else stats.crossJoin(qi)) \
-        .withColumn("_h", 0.9 * spread * F.pow(F.col("_n"), -0.2)) \
-        .withColumn("_h", F.when(F.col("_h") > 0, F.col("_h")).otherwise(F.lit(1.0))) \
-        .withColumn("_fw", (F.col("_hi") - F.col("_lo")) / fine_bins)
-    j = data.join(st, gk) if gk else data.crossJoin(F.broadcast(st))
-    fb = _bin(F.col("_y"), F.col("_lo"), F.col("_fw"), fine_bins)
-    binned = (j.groupBy(*gk, fb.alias("_b"), "_lo", "_fw", "_h", "_n")
-              .agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_center", F.col("_lo") + (F.col("_b") + 0.5) * F.col("_fw")))
-    # grid from lo - 3h to hi + 3h, one row per group and point (groups x grid rows)
-    pts = (st.select(*gk, "_lo", "_hi", "_h",
-                     F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_i"))
-           .withColumn("y", F.col("_lo") - 3 * F.col("_h") + F.col("_i")
-                       * (F.col("_hi") - F.col("_lo") + 6 * F.col("_h")) / max(grid - 1, 1))
-           .select(*gk, "_i", "y"))
-    pairs = pts.join(binned, gk) if gk else pts.crossJoin(binned)
-    z = (F.col("y") - F.col("_center")) / F.col("_h")
-    kern = F.col("_c") * F.exp(-0.5 * z * z) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
-    out = pairs.groupBy(*gk, "_i", "y").agg(F.sum(kern).alias("density"))
-    return out.select(*([F.col("_g").alias(by)] if by else []), "y", "density").orderBy(
-        *([by] if by else []), "y")
+        .select(*gk, "_n", "_lo", F.when(h > 0, h).otherwise(F.lit(1.0)).alias("_h"))
+    j = join_facts(data, st, gk)
+    b = F.floor((F.col("_y") - F.col("_lo")) / (F.col("_h") / VIOLIN_STEPS))
+    reach = VIOLIN_STEPS * VIOLIN_REACH
+    d = F.col("_d") / VIOLIN_STEPS
+    out = (j.groupBy(*gk, "_lo", "_h", "_n", b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+           .select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_d"))
+           .groupBy(*gk, "_lo", "_h", "_n", (F.col("_b") + F.col("_d")).alias("_i"))
+           .agg(F.sum(F.col("_c") * F.exp(-0.5 * d * d)).alias("_k"))
+           .select(*[F.col(g).alias(by) for g in gk],
+                   (F.col("_lo") + (F.col("_i") + 0.5) * F.col("_h") / VIOLIN_STEPS).alias("y"),
+                   (F.col("_k") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density")))
+    if box:
+        out = join_facts(out, box_stats(df, y, by).select(
+            *[col(c) for c in keys], "q1", "median", "q3", "lower_whisker", "upper_whisker"), keys)
+    return out.orderBy(*[col(c) for c in keys], "y")
 
 
 def points(df: DataFrame, cols: Sequence[str], color: str | None = None,
@@ -164,7 +168,7 @@ def points(df: DataFrame, cols: Sequence[str], color: str | None = None,
     if not max_points:
         return df.select(*out_cols)
     keycols = [col(c) for c in (key or df.columns)]
-    u = F.xxhash64(F.lit(seed), *keycols).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    u = row_hash(seed, keycols)
     if not color:
         return df.orderBy(u, *keycols).limit(max_points).select(*out_cols)
     w = Window.partitionBy(col(color)).orderBy(u, *keycols)

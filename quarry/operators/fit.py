@@ -183,42 +183,91 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
     return j.select(*[col(k) for k in keep], *z)
 
 
+def _start_centres(rows: DataFrame, d: int, k: int, seed: int) -> list[tuple]:
+    """k-means++ centres: each next row is drawn with a chance in proportion to its squared
+    distance from the nearest centre so far, by the smallest ``-ln(u) / distance`` where u is a
+    seeded hash of the row's coordinates. One aggregate a centre; the row order plays no part."""
+    zs = [F.col(f"_z{i}") for i in range(d)]
+    centres: list[tuple] = []
+    for j in range(k):
+        u = (F.xxhash64(F.lit(seed + j), *zs).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
+        dist = _nearest(zs, centres)[1] if centres else F.lit(1.0)
+        race = F.when(dist > 0, -F.log(u) / dist)
+        best = rows.agg(F.min_by(F.struct(*zs), F.struct(race.isNull(), race, *zs)).alias("z")).first()["z"]
+        if best is None:
+            break
+        centres.append(tuple(best))
+    return centres
+
+
+def _nearest(zs: list, centres: list[tuple]):
+    """Number of the nearest centre (first on ties) and the squared distance to it."""
+    ds = [sum((((z - F.lit(float(c))) * (z - F.lit(float(c)))) for z, c in zip(zs, centre)), F.lit(0.0))
+          for centre in centres]
+    least = F.least(*ds) if len(ds) > 1 else ds[0]
+    which = F.lit(len(ds) - 1)
+    for i in range(len(ds) - 2, -1, -1):
+        which = F.when(ds[i] <= least, F.lit(i)).otherwise(which)
+    return which, least
+
+
 def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, standardize_features: bool = True,
-           seed: int = 42, max_iter: int = 20) -> DataFrame:
+           seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """K-means on rows complete in ``features``; every column kept plus ``Cluster`` C1..Ck.
 
-    Spark ML's distributed k-means (k-means|| start). Labels are renumbered by the centres'
-    coordinates (lexicographic), so the same data always gets the same names."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
+    Lloyd's rounds from k-means++ centres, one aggregate of k rows a round, until the centres
+    move by no more than ``tol`` times the mean variance (squared, summed). Without that after
+    ``max_iter`` rounds a ValueError says so. Neither the start nor the rounds depend on the
+    layout of partitions, but for the last digits of sums. Clusters are numbered by their
+    centres' coordinates (lexicographic). Fewer distinct rows than k give fewer clusters; an
+    empty cluster keeps its centre."""
     features = list(features)
     if len(features) < 2:
-        raise ValueError("Need at least 2 feature columns.")
+        raise ValueError("k-means takes two features or more")
     if not 2 <= k <= 8:
         raise ValueError("k must be within 2..8")
     check_columns(df, features)
     comp = df.dropna(subset=features)
+    x = [col(c).cast("double") for c in features]
+    d = len(features)
+    st = comp.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
+                  *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(x)]).first()
     if standardize_features:
-        st = comp.agg(*[F.avg(col(c)).alias(f"_m{i}") for i, c in enumerate(features)],
-                      *[F.stddev_pop(col(c)).alias(f"_s{i}") for i, c in enumerate(features)])
-        comp = comp.crossJoin(F.broadcast(st))
-        zs = [F.coalesce(F.try_divide(col(c) - F.col(f"_m{i}"),
-                                      F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}"))), F.lit(0.0))
-              for i, c in enumerate(features)]
+        zs = [(v - F.lit(st[f"m{i}"])) / F.lit(st[f"s{i}"]) if st[f"s{i}"] else F.lit(0.0)
+              for i, v in enumerate(x)]
+        variance = sum(1.0 for i in range(d) if st[f"s{i}"]) / d
     else:
-        zs = [col(c).cast("double") for c in features]
-    fz = [f"_z{i}" for i in range(len(features))]
-    data = comp.select(*[col(c) for c in df.columns], *[z.alias(n) for z, n in zip(zs, fz)])
-    vec = VectorAssembler(inputCols=fz, outputCol="_features").transform(data)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features",
-                   predictionCol="_pred").fit(vec)
-    centres = [tuple(float(v) for v in c) for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: centres[i])
-    names = {i: f"C{rank + 1}" for rank, i in enumerate(order)}
-    mapping = F.create_map(*[x for i, nm in names.items() for x in (F.lit(i), F.lit(nm))])
-    out = model.transform(vec)
-    return out.select(*[col(c) for c in df.columns], mapping[F.col("_pred")].alias("Cluster"))
+        zs = x
+        variance = sum((st[f"s{i}"] or 0.0) ** 2 for i in range(d)) / d
+    # only the coordinates are read again each round, by all cores even of a file of one part
+    rows = comp.select(*[z.alias(f"_z{i}") for i, z in enumerate(zs)])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    rows = rows.persist()
+    try:
+        centres = sorted(set(_start_centres(rows, d, k, seed)))
+        cz = [F.col(f"_z{i}") for i in range(d)]
+        moved = 0.0
+        for _ in range(max_iter if centres else 0):
+            which, _dist = _nearest(cz, centres)
+            means = {r["w"]: tuple(r[f"c{i}"] for i in range(d)) for r in rows.groupBy(which.alias("w")).agg(
+                *[F.avg(z).alias(f"c{i}") for i, z in enumerate(cz)]).collect()}      # k rows
+            new = [means.get(i, c) for i, c in enumerate(centres)]
+            moved = sum((a - b) ** 2 for p, q in zip(centres, new) for a, b in zip(p, q))
+            centres = new
+            if moved <= tol * variance:
+                break
+        else:
+            if centres:
+                raise ValueError(f"k-means has not settled after {max_iter} rounds")
+    finally:
+        rows.unpersist()
+    if not centres:
+        return comp.withColumn("Cluster", F.lit(None).cast("string"))
+    names = F.array(*[F.lit(f"C{i + 1}") for i in range(len(centres))])
+    which, _dist = _nearest(zs, sorted(centres))
+    return comp.select(*[col(c) for c in df.columns], names[which].alias("Cluster"))
 
 
 def cluster_sizes(labelled: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.exprs import (FRACTIONAL_TYPES, adjusted_kurtosis, adjusted_skew, nan_as_missing,
+from quarry.functions.exprs import (FRACTIONAL_TYPES, NUMERIC_TYPES, adjusted_kurtosis, adjusted_skew, nan_as_missing,
                                     cell_text, check_columns, col, missing, nan_to_null,
-                                    numeric_columns, word_count)
+                                    numeric_columns, row_hash, word_count)
 from quarry.functions.kinds import TEXT_WORDS, _static_kind
 from quarry.functions.quantiles import quantiles_long, stack_columns
 
@@ -86,26 +86,51 @@ def _orderable(dt: T.DataType) -> bool:
     return not isinstance(dt, _UNORDERED)
 
 
+def _value_key(x, dt: T.DataType):
+    """Text that differs for different values: short texts themselves, else a hash."""
+    if isinstance(dt, T.StringType):
+        return F.when(F.length(x) <= 16, F.concat(F.lit("="), x)).otherwise(F.md5(x.cast("binary")))
+    if isinstance(dt, T.BinaryType):
+        return F.md5(x)
+    if isinstance(dt, FRACTIONAL_TYPES):
+        return (x + F.lit(0).cast(dt)).cast("string")      # -0.0 equals 0.0
+    if isinstance(dt, (T.ArrayType, T.StructType)):
+        return F.when(x.isNotNull(), F.md5(F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"})
+                                           .cast("binary")))
+    return x.cast("string")
+
+
 def profile(df: DataFrame, approx: bool = False, text_words: float = TEXT_WORDS) -> DataFrame:
     """One row per column: ``column, dtype, kind, non_null, missing_pct, unique``.
 
-    One aggregate pass computes non-missing counts, distinct counts (exact, or HyperLogLog++
-    with ``approx=True``) and mean word counts of string columns; rows are produced by
-    ``inline`` of that single row, so nothing is collected.
+    One aggregate pass computes non-missing counts and mean word counts of string columns (and
+    HyperLogLog++ distinct counts with ``approx=True``). Exact distinct counts come from narrow
+    (column, value key) entries that are combined map-side; the key of a text longer than 16
+    characters or of a nested value is its MD5, so that no long value is shuffled. Rows are
+    produced by ``inline``, so nothing is collected. Maps have no distinct count.
     """
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
+    entries = []
     for i, f in enumerate(fields):
         x = _clean_value(df, f.name)
         aggs.append(F.count(x).alias(f"n{i}"))
         if _orderable(f.dataType):
-            d = F.approx_count_distinct(x) if approx else F.count_distinct(x)
-        else:
-            d = F.lit(None).cast("long")
-        aggs.append(d.alias(f"d{i}"))
+            if approx:
+                aggs.append(F.approx_count_distinct(x).alias(f"d{i}"))
+            else:
+                entries.append(F.struct(F.lit(i).alias("i"), _value_key(x, f.dataType).alias("v")))
         if _static_kind(f.dataType) is None:
             aggs.append(F.avg(word_count(col(f.name))).alias(f"w{i}"))
     one = df.agg(*aggs)
+    if entries:
+        distinct = (df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
+                    .groupBy("i", "v").agg(F.lit(1).alias("one"))
+                    .groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+                    .agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("_distinct")))
+        one = one.crossJoin(F.broadcast(distinct))     # one row, an entry per column
+    unique = [(F.col(f"d{i}") if approx else F.coalesce(F.try_element_at("_distinct", F.lit(i)), F.lit(0)))
+              if _orderable(f.dataType) else F.lit(None).cast("long") for i, f in enumerate(fields)]
     rows = []
     for i, f in enumerate(fields):
         k = _static_kind(f.dataType)
@@ -117,7 +142,7 @@ def profile(df: DataFrame, approx: bool = False, text_words: float = TEXT_WORDS)
             F.coalesce(F.round(F.try_divide((F.col("_rows") - F.col(f"n{i}")) * 100.0,
                                             F.col("_rows")), 1), F.lit(0.0))
             .alias("missing_pct"),
-            F.col(f"d{i}").alias("unique")))
+            unique[i].alias("unique")))
     return one.select(F.inline(F.array(*rows)))
 
 
@@ -210,12 +235,15 @@ def central(df: DataFrame, c: str) -> DataFrame:
     check_columns(df, [c])
     x = _clean_value(df, c)
     vals = df.select(x.alias("v")).where(F.col("v").isNotNull())
-    mean = vals.agg(F.avg(F.col("v").cast("double")).alias("mean"))
-    med = df.sparkSession.range(1).join(
-        quantiles_long(vals, [], "v", [0.5]).select(F.col("q").alias("median")), F.lit(True), "left").drop("id")
-    mode = mode_value(vals, "v").select(F.col("v").alias("mode"))
-    # three one-row frames (mode may have none): left joins on a constant keep one row
-    return mean.crossJoin(med).join(mode, F.lit(True), "left")
+    if isinstance(df.schema[c].dataType, NUMERIC_TYPES):
+        mean = vals.agg(F.avg(F.col("v").cast("double")).alias("mean"))
+        med = quantiles_long(vals, [], "v", [0.5]).agg(F.max("q").alias("median"))
+    else:           # text, times and flags have only a mode
+        mean = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("mean"))
+        med = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("median"))
+    mode = mode_value(vals, "v").agg(F.max("v").alias("mode"))
+    # three one-row frames
+    return mean.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(mode))
 
 
 def mode_value(df: DataFrame, c: str) -> DataFrame:
@@ -244,7 +272,7 @@ def preview(df: DataFrame, n: int = 10, order_by: Sequence[str] | None = None,
             raise ValueError("tail needs order_by")
         s = df.orderBy(*[col(c).desc() for c in order_by])
     elif mode == "random":
-        s = df.orderBy(F.xxhash64(F.lit(seed), *[col(c) for c in df.columns]))
+        s = df.orderBy(row_hash(seed, [col(c) for c in df.columns]))
     else:
         raise ValueError(f"unknown preview mode {mode!r}")
     return s.limit(n).select(*[cell_text(col(c)).alias(c) for c in df.columns])

@@ -79,14 +79,14 @@ def run_spec(df: DataFrame, spec: ChartSpec | dict, max_points: int | None = Non
         return A.value_counts(df, x, n or 20)
     if kind == "line":
         if y is None:
-            raise ValueError("Y column required for Line chart.")
+            raise ValueError("a line chart needs y_col")
         g = A.group_agg(df, x, y, agg, c)
         if n:
             return g.orderBy(F.desc(y), col(x)).limit(n)
         return g.orderBy(col(x), *([col(c)] if c else []))
     if kind == "area":
         if y is None:
-            raise ValueError("Y column required for Area chart.")
+            raise ValueError("an area chart needs y_col")
         return W.area_stack(df, x, y, c) if c else A.line(df, x, y, agg="sum")
     if kind == "pie":
         if y is not None:
@@ -95,7 +95,7 @@ def run_spec(df: DataFrame, spec: ChartSpec | dict, max_points: int | None = Non
         return A.shares(df, x, n or PIE_SLICES.get(s.chart_type.lower()))
     if kind == "scatter":
         if y is None:
-            raise ValueError("Y column required for Scatter chart.")
+            raise ValueError("a scatter chart needs y_col")
         if c:
             return B.points(df, [x, y], c, max_points)
         # every point with the fitted line's value at its x
@@ -116,16 +116,16 @@ def run_spec(df: DataFrame, spec: ChartSpec | dict, max_points: int | None = Non
     if kind == "box":
         return B.box_stats(df, y or x, c)
     if kind == "violin":
-        return B.violin(df, y or x, c)
+        return B.violin(df, y or x, c, box=True)
     if kind == "hist2d":
         if y is None:
-            raise ValueError("Y column required.")
+            raise ValueError("this chart needs y_col")
         return B.hist2d(df, x, y, 20, 20, c)
     if kind == "corr":
         return A.correlation_matrix(df)
     if kind == "crosstab":
         if y is None:
-            raise ValueError("Y column required.")
+            raise ValueError("this chart needs y_col")
         return A.crosstab(df, x, y)
     raise ValueError(kind)
 
