@@ -110,14 +110,18 @@ def line(df: DataFrame, x: str, y: str, color: str | None = None,
 
 
 def pivot_keys(df: DataFrame, columns: Sequence[str], code: Column) -> list[tuple[str, tuple]]:
-    """Distinct column keys in order, as (code, key values): those of a wide table, at most
+    """Distinct column keys in order, as (code, labels): those of a wide table, at most
     ``spark.sql.pivotMaxValues`` (Spark's own bound for pivots; more raise)."""
     most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    times = ("timestamp", "timestamp_ntz", "date")
+    label = [(col(c).cast("string") if df.schema[c].dataType.typeName() in times else col(c)).alias(f"l{i}")
+             for i, c in enumerate(columns)]
     found = (df.select(F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)]).alias("k"),
-                       code.alias("code")).distinct().limit(most + 1).orderBy("k").collect())
+                       F.struct(*label).alias("label"), code.alias("code"))
+             .distinct().limit(most + 1).orderBy("k").select("code", "label").collect())
     if len(found) > most:
         raise ValueError(f"more than {most} column keys: use the long form")
-    return [(r["code"], tuple(r["k"])) for r in found]
+    return [(r["code"], tuple(r["label"])) for r in found]
 
 
 @nan_as_missing
@@ -128,18 +132,15 @@ def crosstab(df: DataFrame, x: str, y: str, y_values: Sequence | None = None) ->
     counts table. ``y_values`` (the output columns) are read from the data when not given, up to
     Spark's bound for pivots; ``group_agg(df, x, y, "count", color=y)`` is the long form.
     """
-    from quarry.operators.pivot import key_code
+    from quarry.operators.pivot import given_keys, key_code
     check_columns(df, [x, y])
     t = df.schema[y].dataType
     pairs = (keys_present(df, [x, y]).groupBy(col(x).alias("_x"), col(y).alias("_y"))
              .agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_code", key_code([F.col("_y")], [t])))
-    keys = pivot_keys(pairs, ["_y"], F.col("_code"))
-    if y_values is not None:
-        wanted = list(y_values)
-        found = {k[0]: code for code, k in keys}
-        keys = [(found.get(v, ""), (v,)) for v in wanted]
-    out = pairs.groupBy("_x").pivot("_code", sorted({c for c, _ in keys})).agg(F.first("_n"))
+    keys = pivot_keys(pairs, ["_y"], F.col("_code")) if y_values is None \
+        else given_keys(df.sparkSession, y_values, [t])
+    out = pairs.groupBy("_x").pivot("_code", [c for c, _ in keys]).agg(F.first("_n"))
     cells, taken = [], {x.lower()}
     for code, (v,) in keys:
         name, n = str(v), 1
@@ -147,7 +148,7 @@ def crosstab(df: DataFrame, x: str, y: str, y_values: Sequence | None = None) ->
             n += 1
             name = f"{v} ({n})"
         taken.add(name.lower())
-        cells.append(F.coalesce(F.col(f"`{code}`") if code else F.lit(None).cast("long"), F.lit(0)).alias(name))
+        cells.append(F.coalesce(F.col(f"`{code}`"), F.lit(0)).alias(name))
     return out.select(F.col("_x").alias(x), *cells).orderBy(col(x))
 
 

@@ -57,6 +57,14 @@ def density(df: DataFrame, x: str, bins: int = 40, color: str | None = None) ->
     return h.withColumn("density", F.col("count") / F.when(w > 0, w).otherwise(F.lit(1.0)))
 
 
+def rug(df: DataFrame, x: str, color: str | None = None) -> DataFrame:
+    """Marks of a density chart: ``[color,] x, count`` for each distinct value."""
+    check_columns(df, [x, color])
+    v = nan_to_null(col(x).cast("double"))
+    keys = [col(color)] if color else []
+    return df.where(v.isNotNull()).groupBy(*keys, v.alias(x)).agg(F.count(F.lit(1)).alias("count"))
+
+
 def hist2d(df: DataFrame, x: str, y: str, nx: int = 20, ny: int = 20,
            color: str | None = None) -> DataFrame:
     """Two-dimensional bin counts ``[color,] bx, by, count`` (heat-map / contour grid)."""

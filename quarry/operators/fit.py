@@ -186,11 +186,11 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
 def _start_centres(rows: DataFrame, d: int, k: int, seed: int) -> list[tuple]:
     """k-means++ centres: each next row is drawn with a chance in proportion to its squared
     distance from the nearest centre so far, by the smallest ``-ln(u) / distance`` where u is a
-    seeded hash of the row's coordinates. One aggregate a centre; the row order plays no part."""
+    seeded hash of the row's own values (``_h``). One aggregate a centre; row order plays no part."""
     zs = [F.col(f"_z{i}") for i in range(d)]
     centres: list[tuple] = []
     for j in range(k):
-        u = (F.xxhash64(F.lit(seed + j), *zs).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
+        u = (F.xxhash64(F.lit(seed + j), F.col("_h")).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
         dist = _nearest(zs, centres)[1] if centres else F.lit(1.0)
         race = F.when(dist > 0, -F.log(u) / dist)
         best = rows.agg(F.min_by(F.struct(*zs), F.struct(race.isNull(), race, *zs)).alias("z")).first()["z"]
@@ -240,7 +240,7 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, standardize_featu
         zs = x
         variance = sum((st[f"s{i}"] or 0.0) ** 2 for i in range(d)) / d
     # only the coordinates are read again each round, by all cores even of a file of one part
-    rows = comp.select(*[z.alias(f"_z{i}") for i, z in enumerate(zs)])
+    rows = comp.select(F.xxhash64(*x).alias("_h"), *[z.alias(f"_z{i}") for i, z in enumerate(zs)])
     cores = df.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() < cores:
         rows = rows.repartition(cores)

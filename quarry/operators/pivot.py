@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,14 @@ def key_code(cols: Sequence[Column], types: Sequence[T.DataType]) -> Column:
     return F.concat(*parts)
 
 
+def given_keys(spark: SparkSession, values: Sequence, types: Sequence[T.DataType]) -> list[tuple[str, tuple]]:
+    """(code, labels) of column keys named by the caller (tuples for several keys)."""
+    schema = T.StructType([T.StructField(f"k{i}", t) for i, t in enumerate(types)])
+    given = [tuple(k) if isinstance(k, (tuple, list)) else (k,) for k in values]
+    code = key_code([F.col(f"k{i}") for i in range(len(types))], types)
+    return [(spark.createDataFrame([k], schema).select(code).first()[0], k) for k in given]
+
+
 def _medians(base: DataFrame, rk: list[str], cks: list[str], vals: list[str],
              levels: dict[int, tuple[list[str], bool]]) -> DataFrame:
     """``_lvl`` + keys (NULL where rolled up) + one median per value, all levels in one run.
@@ -163,11 +171,7 @@ def pivot(df: DataFrame, rows: Sequence[str], columns: Sequence[str] = (),
             keys = pivot_keys(df.where(_present(rows + columns)), columns,
                               key_code([col(c) for c in columns], types))
         else:
-            schema = T.StructType([T.StructField(f"k{i}", t) for i, t in enumerate(types)])
-            given = [tuple(k) if isinstance(k, (tuple, list)) else (k,) for k in column_values]
-            coded = df.sparkSession.createDataFrame(given, schema).select(
-                key_code([F.col(f"k{i}") for i in range(len(types))], types)).collect()
-            keys = [(k[0], g) for k, g in zip(coded, given)]
+            keys = given_keys(df.sparkSession, column_values, types)
         keys = [(code, "_".join(str(x) for x in k)) for code, k in keys]
         if margins:
             keys.append((TOTAL_CODE, TOTAL))

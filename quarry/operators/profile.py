@@ -146,6 +146,13 @@ def profile(df: DataFrame, approx: bool = False, text_words: float = TEXT_WORDS)
     return one.select(F.inline(F.array(*rows)))
 
 
+def grouping_columns(df: DataFrame, low_cardinality: int = 20) -> DataFrame:
+    """Columns to group by: text, and any column of fewer than ``low_cardinality`` distinct
+    values, numbers too. Rows ``column, unique``."""
+    return profile(df).where((F.col("dtype") == "string") | (F.col("unique") < low_cardinality)) \
+        .select("column", "unique")
+
+
 def quality_table(df: DataFrame) -> DataFrame:
     """Quality sheet of the report: ``column, missing_pct, unique``."""
     return profile(df).select("column", "missing_pct", "unique")

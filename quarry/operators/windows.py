@@ -156,8 +156,11 @@ def rolling_mean_time(df: DataFrame, y: str, ts: str, seconds: float,
     v = col(y).cast("double")
     gk = [free_names(df, f"g{i}")[0] for i in range(len(p))]
     # a zone-less time counts from the zone-less epoch, whatever the session's zone
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    micros = F.timestamp_diff("MICROSECOND", epoch, col(ts).cast("timestamp_ntz"))
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        micros = F.timestamp_diff("MICROSECOND", epoch, col(ts))
+    else:
+        micros = F.unix_micros(col(ts).cast("timestamp"))
     rows = df.withColumn(t, micros)
     cells = (rows.where(F.col(t).isNotNull())
              .groupBy(*[col(k).alias(g) for k, g in zip(p, gk)], t)

@@ -76,4 +76,4 @@ lid AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_ext
 
 
 # Query groups register themselves on import.
-from quarry.plans import q_aggregate, q_profile, q_clean, q_pivot, q_charts  # noqa: E402,F401
+from quarry.plans import q_aggregate, q_profile, q_clean, q_pivot, q_charts, q_cases  # noqa: E402,F401

@@ -98,12 +98,28 @@ def q_box_stats_all(spark, sf):
                    {"q1": 6, "median": 6, "q3": 6})
 
 
-@register("violin")
+def violin_sql(src: str, y: str, by: str) -> str:
+    return f"""WITH st AS (SELECT {by}, count({y}) AS n, min({y}) AS lo, coalesce(stddev_samp({y}), 0) AS sd,
+  quantile_cont({y}, 0.75) - quantile_cont({y}, 0.25) AS iqr FROM {src} GROUP BY {by}),
+h0 AS (SELECT *, 0.9 * (CASE WHEN iqr > 0 AND iqr / 1.34 < sd THEN iqr / 1.34 ELSE sd END)
+  * pow(n, -0.2) AS h1 FROM st),
+h AS (SELECT *, CASE WHEN h1 > 0 THEN h1 ELSE 1.0 END AS h FROM h0),
+b AS (SELECT {by}, lo, h, n, CAST(floor(({y} - lo) / (h / 4)) AS BIGINT) AS b, count(*) AS c
+  FROM {src} JOIN h USING ({by}) GROUP BY ALL)
+SELECT {by}, round(lo + (b + d + 0.5) * h / 4, 6) AS y,
+  round(sum(c * exp(-0.5 * (d / 4.0) * (d / 4.0))) / (n * h * sqrt(2 * pi())), 8) AS density
+FROM b, range(-16, 17) r(d) GROUP BY {by}, lo, h, n, b + d"""
+
+
+@register("violin", violin_sql("events", "value", "event_type"))
 def q_violin(spark, sf):
-    return B.violin(table(spark, sf, "events"), "value", "event_type")
+    return rounded(B.violin(table(spark, sf, "events"), "value", "event_type"), {"y": 6, "density": 8})
 
 
-@register("points")
+@register("points", """
+SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem QUALIFY row_number() OVER (
+  PARTITION BY l_returnflag ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber)),
+  l_orderkey, l_linenumber) <= 500""")
 def q_points(spark, sf):
     return B.points(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"],
                     "l_returnflag", max_points=500, key=["l_orderkey", "l_linenumber"])
@@ -162,6 +178,32 @@ def q_trend_exponential(spark, sf):
     return _flat(T.trendline(_orders_xy(spark, sf), "x", "y", "exponential"))
 
 
+def _cubic_sql(last: str) -> str:
+    """Least-squares cubic by orthogonal polynomials of the standardised x."""
+    return f"""WITH d AS (SELECT o_totalprice AS x, o_totalprice * 0.9 + (o_orderkey % 1000) AS y FROM orders),
+m AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS yb, count(*) AS n, min(x) AS lo, max(x) AS hi FROM d),
+q1 AS (SELECT (x - mx) / sx AS p1, y FROM d, m),
+s1 AS (SELECT sum(p1 * p1 * p1) / sum(p1 * p1) AS a1, sum(p1 * p1) / count(*) AS b1 FROM q1),
+q2 AS (SELECT p1, y, (p1 - a1) * p1 - b1 AS p2 FROM q1, s1),
+s2 AS (SELECT sum(p1 * p2 * p2) / sum(p2 * p2) AS a2, sum(p2 * p2) / sum(p1 * p1) AS b2 FROM q2),
+q3 AS (SELECT p1, p2, y, (p1 - a2) * p2 - b2 * p1 AS p3 FROM q2, s2),
+c AS (SELECT sum(y * p1) / sum(p1 * p1) AS c1, sum(y * p2) / sum(p2 * p2) AS c2,
+  sum(y * p3) / sum(p3 * p3) AS c3 FROM q3),
+r AS (SELECT 1 - sum(pow(y - yb - c1 * p1 - c2 * p2 - c3 * p3, 2)) / sum(pow(y - yb, 2)) AS r2 FROM q3, c, m)
+{last}"""
+
+
+@register("trend_polynomial_curve", _cubic_sql("""
+, g AS (SELECT lo + (hi - lo) * i / 299 AS x, (lo + (hi - lo) * i / 299 - mx) / sx AS p1
+  FROM m, range(300) t(i))
+SELECT 'polynomial' AS kind, round(x, 6) AS x,
+  round(yb + c1 * p1 + c2 * ((p1 - a1) * p1 - b1)
+        + c3 * ((p1 - a2) * ((p1 - a1) * p1 - b1) - b2 * p1), 2) AS y FROM g, c, m, s1, s2"""))
+def q_trend_polynomial_curve(spark, sf):
+    c = T.trend_curve(T.trendline(_orders_xy(spark, sf), "x", "y", "polynomial", degree=3))
+    return rounded(c, {"x": 6, "y": 2})
+
+
 @register("trend_polynomial")
 def q_trend_polynomial(spark, sf):
     fit = T.trendline(_orders_xy(spark, sf), "x", "y", "polynomial", degree=3)
@@ -170,7 +212,12 @@ def q_trend_polynomial(spark, sf):
                                                 ",").alias("coefficients"), "r2")
 
 
-@register("trend_all")
+@register("trend_all", _cubic_sql("""
+, e AS (SELECT exp(regr_intercept(ln(y), x)) AS a, regr_slope(ln(y), x) AS b FROM d),
+er AS (SELECT 1 - sum(pow(y - a * exp(b * x), 2)) / sum(pow(y - yb, 2)) AS r2 FROM d, e, m)
+SELECT 'linear' AS kind, n, round((SELECT regr_r2(y, x) FROM d), 4) AS r2 FROM m
+UNION ALL SELECT 'polynomial', n, round(r2, 4) FROM m, r
+UNION ALL SELECT 'exponential', n, round(r2, 4) FROM m, er"""))
 def q_trend_all(spark, sf):
     fit = T.trendline(_orders_xy(spark, sf), "x", "y", "all")
     return fit.select("kind", "n", "r2")

@@ -159,7 +159,12 @@ def q_preview_tail(spark, sf):
     return P.preview(table(spark, sf, "orders"), 10, ["o_orderkey"], mode="tail")
 
 
-@register("preview_random")
+@register("preview_random", """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+       o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+       CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority
+FROM orders ORDER BY md5(concat_ws('|', '7', orders.o_orderkey, orders.o_custkey, orders.o_orderstatus,
+  orders.o_totalprice, orders.o_orderdate, orders.o_orderpriority)) LIMIT 20""")
 def q_preview_random(spark, sf):
     return P.preview(table(spark, sf, "orders"), 20, mode="random", seed=7)
 
