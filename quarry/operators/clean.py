@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.exprs import (FRACTIONAL_TYPES, NUMERIC_TYPES, check_columns, col, nan_as_missing,
+from quarry.functions.exprs import (FRACTIONAL_TYPES, NUMERIC_TYPES, check_columns, col, free_names, nan_as_missing,
                                     nan_to_null, numeric_columns)
 from quarry.functions.quantiles import quantiles_long, stack_columns
 from quarry.operators.profile import mode_value
@@ -42,19 +42,20 @@ def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _with_fill(df: DataFrame, c: str, stat: DataFrame, out_type: T.DataType) -> DataFrame:
+    fill, = free_names(df, "fill")
     filled = F.coalesce(nan_to_null(col(c)) if isinstance(df.schema[c].dataType, FRACTIONAL_TYPES)
-                        else col(c), F.col("_fill").cast(out_type)).cast(out_type)
-    return (df.crossJoin(F.broadcast(stat.select(F.col(stat.columns[0]).alias("_fill"))))
+                        else col(c), F.col(fill).cast(out_type)).cast(out_type)
+    return (df.crossJoin(F.broadcast(stat.select(F.col(stat.columns[0]).alias(fill))))
             .select(*[filled.alias(x) if x == c else col(x) for x in df.columns]))
 
 
 def fill_missing(df: DataFrame, c: str, strategy: str, value=None,
-                 order_by: Sequence[str] | None = None) -> DataFrame:
+                 order_by: Sequence[str] | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Fill the missing cells of ``c``.
 
     mean / median: numeric columns only, result is double (as pandas turns ints into floats);
     mode: most frequent value, smallest on ties, column unchanged if it has no value at all;
-    ffill: forward fill along ``order_by``; drop: drop those rows; constant: ``value``.
+    ffill: forward fill along ``order_by`` within ``partition_by``; drop: drop those rows; constant: ``value``.
     """
     check_columns(df, [c])
     if strategy not in FILL_STRATEGIES:
@@ -76,7 +77,7 @@ def fill_missing(df: DataFrame, c: str, strategy: str, value=None,
         return _with_fill(df, c, m, dt)
     if strategy == "ffill":
         from quarry.operators.windows import forward_fill
-        return forward_fill(df, c, order_by or [])
+        return forward_fill(df, c, order_by or [], partition_by)
     if strategy == "drop":
         return drop_missing(df, c)
     return fill_constant(df, c, value)
@@ -133,9 +134,10 @@ def outliers(df: DataFrame, c: str, k: float = 1.5, flag: str | None = None) ->
     With ``flag`` set, every row is kept and a boolean column of that name marks the
     outliers instead. The fence is one row, broadcast to the scan."""
     check_columns(df, [c])
-    f = F.broadcast(iqr_fences(df, [c], k).select("lower", "upper"))
+    lower, upper = free_names(df, "lower", "upper")
+    f = F.broadcast(iqr_fences(df, [c], k).select(F.col("lower").alias(lower), F.col("upper").alias(upper)))
     x = nan_to_null(col(c).cast("double"))
-    out = (x < F.col("lower")) | (x > F.col("upper"))
+    out = (x < F.col(lower)) | (x > F.col(upper))
     j = df.crossJoin(f)
     if flag:
         return j.select(*[col(y) for y in df.columns], F.coalesce(out, F.lit(False)).alias(flag))

@@ -25,6 +25,13 @@ def test_helper_names_keep_user_columns(spark):
     assert [(r["_id"], r["_at"]) for r in idx] == [("x1", 0), ("x2", 1), ("x3", 2)]
 
 
+def test_cleaning_keeps_columns_named_like_helpers(spark):
+    df = spark.createDataFrame([(float(i), i, -i) for i in range(20)] + [(1e6, 20, -20), (None, 21, -21)],
+                               "v double, lower int, _fill int")
+    assert [(r["lower"], r["_fill"]) for r in C.outliers(df, "v").collect()] == [(20, -20)]
+    assert [r["_fill"] for r in C.fill_missing(df, "v", "mode").where("lower = 21").collect()] == [-21]
+
+
 def test_ordered_index_counts_missing_groups(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, i int").repartition(5)
     out = {(r["g"], r["i"]): r["row_index"] for r in W.ordered_index(df, ["i"], ["g"]).collect()}
