@@ -1,8 +1,10 @@
 """N-gram Jaccard join: texts whose sets of word n-grams overlap by a threshold.
 
 1. Sets. Words are hashed in the JVM, n-grams and their distinct sorted sets in Arrow batches.
-2. Screen. A text of n n-grams can miss at most ``n - ceil(t n)`` of them in any partner. Of a
-   slightly longer run of its n-grams in hash order, more must therefore occur in another text.
+2. Screen. A text of n n-grams can miss at most ``n - ceil(t n)`` of them in any partner. Each
+   asks about a slightly longer run of its n-grams in hash order. Of two partners, the run that
+   ends first lies within the range of the other, so both see all of it but what is missed:
+   ``sure`` is the least that this leaves over all sizes a partner can have.
    Occurrences are counted in buckets of hashes; an n-gram seen twice in a batch is sent once, so
    a hot one costs an entry per batch. Texts that fail have no partner. Of survivors
    with the same set, a class, one representative goes on.
@@ -65,6 +67,21 @@ def need(n, num, den):
     return (num * n + den - 1) // den
 
 
+def run_of(n: int, num: int, den: int) -> int:
+    """How many of its n n-grams a text asks about."""
+    return min(n, 2 * (n - need(n, num, den)) + 4)
+
+
+def sure(n, num, den):
+    """Asked n-grams that a text of n has in common with those asked by any partner, at least.
+
+    A partner has ceil(t n) n-grams or more. A run less what can be missed of it,
+    ``min(ceil(t n), n - ceil(t n) + 4)``, grows with n, so the smallest partner bounds both runs.
+    """
+    least = need(n, num, den)
+    return min(need(least, num, den), least - need(least, num, den) + 4)
+
+
 def gram_sets(df: DataFrame, id_col: str, text: str, n: int, num: int, den: int, whole: bool) -> DataFrame:
     """rid (a number of the row), id, th (text hash), n, sig, and n-gram hashes: all as ``grams``,
     or 48 bits of those that the screen asks about as ``keys``."""
@@ -89,7 +106,7 @@ def gram_sets(df: DataFrame, id_col: str, text: str, n: int, num: int, den: int,
                     cols.append(pa.ListArray.from_arrays(
                         pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), pa.int64())))
                 else:
-                    cols.append(pa.array([_short(g[:2 * (len(g) - need(len(g), num, den)) + 4]) for g in sets],
+                    cols.append(pa.array([_short(g[:run_of(len(g), num, den)]) for g in sets],
                                          pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["rid", "id", "th", "n", "sig", "grams" if whole else "keys"])
 
@@ -177,9 +194,10 @@ def screen(asked: DataFrame, num: int, den: int) -> DataFrame:
     sent = asked.select("rid", "keys").mapInArrow(send, "bucket int, rids binary, keys binary, tally binary")
     hits = sent.groupBy("bucket").applyInArrow(count, "rid bigint, hits int") \
         .groupBy("rid").agg(F.sum("hits").alias("hits"))
-    miss = F.col("n") - F.floor((num * F.col("n") + den - 1) / den)
-    return asked.select("rid", "id", "th", "sig", "n", (F.length("keys") / 6).cast("int").alias("m")) \
-        .join(hits, "rid").where(F.col("hits") >= F.col("m") - miss).drop("m", "hits")
+    up = lambda n: F.floor((num * n + den - 1) / den)
+    least = up(F.col("n"))
+    return asked.select("rid", "id", "th", "sig", "n").join(hits, "rid") \
+        .where(F.col("hits") >= F.least(up(least), least - up(least) + 4)).drop("hits")
 
 
 def _likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

@@ -184,6 +184,27 @@ def test_jaccard_components(docs, n, num, den):
     assert {r.doc_id: r.n_shingles for r in got} == {r.doc_id: len(s) for r, s in zip(rows, sets)}
 
 
+@pytest.mark.parametrize("num,den", [(1, 2), (4, 5), (85, 100), (9, 10), (97, 100)])
+def test_screen_bound_holds_for_all_sizes(num, den):
+    for a in range(1, 400):
+        for b in range(a, a * den // num + 1):
+            s = -(-num * (a + b) // (num + den))        # the fewest common n-grams of a link
+            if s <= a:
+                seen = min(jaccard.run_of(a, num, den) - (a - s), jaccard.run_of(b, num, den) - (b - s))
+                assert seen >= max(jaccard.sure(a, num, den), jaccard.sure(b, num, den)) >= 1, (a, b, s)
+
+
+def test_isolated_links_of_one_more_word(spark):
+    rows = []
+    for i, n in enumerate([9, 9, 8, 10, 12, 20, 40] * 6):
+        w = [f"w{i}x{k}" for k in range(n)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, "more"] if i % 2 else ["more", *w]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    parts, _ = groups(df.collect(), 4, 85, 100)
+    got = {r.doc_id: r["first"].id for r in jaccard.join(df).collect()}
+    assert got == {rows[i][0]: min(rows[j][0] for j in p) for p in parts for i in p} and len(parts) < len(rows)
+
+
 def test_keep_one(docs, none):
     rows = docs.collect()
     parts, _ = groups(rows, 5, 4, 5)
