@@ -6,6 +6,10 @@ fits it best in all of residual tokens, residual documents and residual attentio
 of squared lengths): the smallest weighted norm of what stays free, or the largest weighted dot
 product of need and free room. A group wastes at most about one sequence, whatever its size.
 
+With ``order``, groups are consecutive ranges of the rows' order, of ``GROUP_SEQUENCES`` sequences'
+tokens each; sequences are numbered by the mean place of their tokens, and pieces lie in them in
+order. So what holds for ranges of the rows holds for ranges of sequences.
+
 Texts are read once; only piece rows (no ids) are shuffled.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; ties go
@@ -19,12 +23,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, text_of
 
 GROUP_PIECES = 20_000
+GROUP_SEQUENCES = 128       # of ordered rows: half a million tokens, some 33 blocks of the mixture
 CACHE_WORDS = 1_000_000     # some 200 MB in each Python worker
 SHORT = 6                   # longer words are kept in their plain form only
 
@@ -74,9 +79,11 @@ def encoder(path: str, width: str = "<u4", ordinary: bool = False) -> Encoder:
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text",
-           limit: int = 4096, end_id: int = 1) -> DataFrame:
-    """id, piece, start, length, ids_crc32 of each piece of each row."""
-    src = df.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("text"))
+           limit: int = 4096, end_id: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """id, piece, start, length, ids_crc32 and the ``keep`` columns of each piece of each row."""
+    keep = keep or []
+    src = df.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("text"),
+                    *[F.col(f"`{k}`") for k in keep])
     end = np.asarray([end_id], "<u4").tobytes()
 
     def make(batches):
@@ -92,13 +99,15 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()),
-                 pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["id", "piece", "start", "length", "ids_crc32"])
+                [batch.column("id").take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *[batch.column(k).take(at) for k in keep]],
+                ["id", "piece", "start", "length", "ids_crc32", *keep])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(make, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    more = "".join(f", `{k}` {src.schema[k].dataType.simpleString()}" for k in keep)
+    return src.mapInArrow(make, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{more}")
 
 
 def best_fit(length: np.ndarray, caps: tuple[float, float, float], weights: tuple[float, float, float],
@@ -133,21 +142,48 @@ def best_fit(length: np.ndarray, caps: tuple[float, float, float], weights: tupl
     return bins, offset
 
 
+def _places(rows: DataFrame, file: str, row: str) -> DataFrame:
+    """Add _at, the tokens before each piece in the order of file, row and piece."""
+    inside = Window.partitionBy(file).orderBy(row, "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = rows.groupBy(file).agg(F.sum("length").alias("_total"))
+    # A row for each file, which is what one task wrote.
+    before = F.sum("_total").over(Window.orderBy(file)) - F.col("_total")
+    per = per.select(F.col(file).alias("_of"), before.alias("_before"))
+    rows = rows.withColumn("_at", F.sum("length").over(inside) - F.col("length"))
+    return rows.join(per, F.col(file) == F.col("_of")) \
+        .withColumn("_at", F.col("_at") + F.col("_before")).drop("_of", "_before")
+
+
 def pack(rows: DataFrame, limit: int = 4096, max_docs: int | None = None, max_attention: float | None = None,
-         weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm") -> DataFrame:
-    """Add sequence_id and offset to piece rows (``pieces``)."""
+         weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm",
+         order: tuple[str, str] | None = None) -> DataFrame:
+    """Add sequence_id and offset to piece rows (``pieces``). ``order`` names two columns, the file
+    and the row in it, whose order the sequences follow; the result has neither."""
     rows = stored(rows, "pieces")
     caps = (float(limit), float(max_docs or limit), float(max_attention or limit * limit))
-    groups = max(1, rows.count() // GROUP_PIECES)
-    # The stored rows' numbers spread them evenly, whatever their ids are.
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    keep = [f for f in rows.schema if f.name not in (order or ())]
+    if order:
+        dealt = _places(rows, *order).withColumn("g", F.floor(F.col("_at") / (limit * GROUP_SEQUENCES))).drop(*order)
+    else:
+        groups = max(1, rows.count() // GROUP_PIECES)
+        # The stored rows' numbers spread them evenly, whatever their ids are.
+        dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    by = ["_at"] if order else ["id", "piece"]
 
     def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["id", "piece"], kind="stable", ignore_index=True)
-        b, at = best_fit(part["length"].to_numpy(), caps, weights, rule)
+        part = part.sort_values(by, kind="stable", ignore_index=True)
+        length = part["length"].to_numpy()
+        b, at = best_fit(length, caps, weights, rule)
+        if order:
+            place = (part["_at"].to_numpy() - part["_at"].iloc[0] + length / 2) * length
+            mean = np.bincount(b, place) / np.bincount(b, length)
+            rank = np.empty(len(mean), np.int64)
+            rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+            b = rank[b]
+            at = pd.Series(length).groupby(b).cumsum().to_numpy() - length
         part["sequence_id"] = (int(key[0]) << 32) + b
         part["offset"] = at
-        return part.drop(columns="g")
+        return part[[f.name for f in keep] + ["sequence_id", "offset"]]
 
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, sequence_id bigint, offset bigint"
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in keep)}, sequence_id bigint, offset bigint"
     return dealt.groupBy("g").applyInPandas(fill, schema)

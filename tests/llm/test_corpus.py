@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quarry.llm import jaccard, mixing, packing, pii, quality, secret_scan, tokens, topk, url_lists, warc
 from quarry.llm.common import scratch
 from quarry.llm.queries import OTHER, TOKENIZER, WEIGHTS
@@ -282,6 +283,36 @@ def test_best_fit_keeps_every_capacity(lengths, docs_cap, rule):
         assert list(at[order]) == [0, *np.cumsum(n[order])[:-1]]
 
 
+def test_sequences_follow_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_SEQUENCES", 16)
+    rows = [(i, prose(rnd.randint(100, 400)), "en", f"src{i % 2}", 1, "z", 1, 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    sizes = [len(r[1]) for r in rows]
+    for weights in ({"src0": 3, "src1": 1}, {"src0": 1, "src1": 3}):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        out = scratch(spark, "mix")
+        corpus_pipeline.mix(spark, docs, "").write.parquet(out)
+        got = corpus_pipeline.pack(spark, spark.read.parquet(out), "").collect()
+        assert sorted(r.doc_id for r in got if r.piece == 0) == list(range(1200))
+        first, seqs = {}, sorted({r.sequence_id for r in got})
+        for r in got:
+            first.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for s in first.values():
+            end = 0
+            for a, n in sorted(s):
+                assert a == end
+                end += n
+            assert end <= 4096
+        assert len(seqs) <= sum(r.length for r in got) / 4096 * 1.1 + 1
+        # Until the heavier source runs out, each half of that stretch holds three parts of it to one.
+        much = "src0" if weights["src0"] == 3 else "src1"
+        stretch = int(len(seqs) * 4 / 3 * sum(n for r, n in zip(rows, sizes) if r[3] == much) / sum(sizes))
+        for lo in (0, stretch // 2):
+            mine = set(seqs[lo:lo + stretch // 2])
+            tokens_of = {s: sum(r.length for r in got if r.sequence_id in mine and rows[r.doc_id][3] == s) for s in ("src0", "src1")}
+            assert abs(tokens_of[much] / sum(tokens_of.values()) - 0.75) < 0.12
+
+
 def test_token_scan(spark, docs, none, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK_TOKENS", 50)
     folder = scratch(spark, "tokens")
