@@ -26,8 +26,9 @@ from quarry.llm.common import SPACES, small, stored, text_of, words
 
 SCALE = 256                       # statistics are held as integers of 1/256
 DIMS = ("x1", "x2", "x3", "x4")
-# Spread below which a statistic is taken as regular variation of prose.
-FLOOR = (0.05, 0.05, 0.1, 0.1)
+# Spread taken where the estimate has less, against singular matrices (most texts hold no symbol or
+# repetition at all): one unit of x1; one symbol, line or window more in an ordinary text.
+FLOOR = (1 / SCALE, 0.02, 0.1, 0.1)
 SUPPORT = 0.75                    # share of rows in the covered half-sample
 TAIL = 1e-6                       # chi-square tail beyond which a text is an outlier
 PRIOR = 50                        # words of ordinary prose mixed in, which steadies short texts
@@ -89,16 +90,14 @@ def _vector() -> list[Column]:
 
 
 def _cholesky(est: DataFrame) -> DataFrame:
-    """Lower factor l_ij of the covariance c_ij (i >= j) with the variance floors added."""
+    """Lower factor l_ij of the covariance c_ij (i >= j); a variance left over below the floor is raised to it."""
     p = len(DIMS)
     for j in range(p):
         for i in range(j, p):
             v = F.col(f"c{i}{j}")
-            if i == j:
-                v = v + F.lit((FLOOR[i] * SCALE) ** 2)
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            v = F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l{j}{j}")
+            v = F.sqrt(F.greatest(v, F.lit((FLOOR[i] * SCALE) ** 2))) if i == j else v / F.col(f"l{j}{j}")
             est = est.withColumn(f"l{i}{j}", v)
     p_all = [f"l{i}{j}" for j in range(p) for i in range(j, p)]
     det = F.lit(0.0)

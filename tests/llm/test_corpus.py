@@ -89,6 +89,15 @@ def test_quality_rejects_outliers_and_keeps_prose(spark):
     assert all(got[i] for i in range(400)) and not any(got[1000 + i] for i in range(20))
 
 
+def test_quality_rejects_some_symbols_among_prose(spark):
+    rows = [(i, prose(rnd.randint(60, 300)), "en", "a", 1, "z", 1, 1) for i in range(400)]
+    rows += [(1000 + i, " | ".join(prose(3) for _ in range(60)), "en", "a", 1, "z", 1, 1) for i in range(20)]
+    shares = [t.count("|") / sum(map(len, t.split())) for _, t, *_ in rows[400:]]
+    assert 0.05 < min(shares) and max(shares) < 0.12
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] for i in range(400)) and not any(got[1000 + i] for i in range(20))
+
+
 def test_quality_stage_keeps_columns(docs, none):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and all(not stats(r.text)[5] for r in kept.collect())
