@@ -4,13 +4,18 @@ Fixed expressions find e-mail and IP addresses, card and phone numbers. They are
 words around them are lexical patterns. Patterns and instances (seeds, and other words that hold
 digits or an at sign) form a graph, scored in turns: a pattern by the share of its distinct
 instances that are trusted, an instance by its patterns together. Instances that reach
-``accept`` in patterns that do, but that no expression finds, are reported as kind "context".
+``accept`` count as seeds in the next turn, so patterns around them alone come in too; the turns
+start anew as long as any does. Instances that reach ``accept`` in patterns that do, but that no
+expression finds, are reported as kind "context".
+
+An instance that no expression finds is one word of at least four characters, with a digit or an at
+sign in it: names and identifiers of letters alone or of several words are not looked for.
 
 Texts are read once; the graph holds a row for each distinct (pattern, instance), aggregated
 before it is shuffled.
 
 Defined cases: a null text is empty; repeated rows each get their spans; a pattern needs
-``support`` distinct seeds; an empty table gives an empty result; further columns are ignored.
+``support`` distinct seeds or accepted instances; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,18 +135,29 @@ def extract(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return stored(src.mapInArrow(make, f"{kinds}, _rid bigint, _base array<{span}>, _occ array<{occ}>"), "pii")
 
 
-def scores(occ: DataFrame, turns: int, support: int) -> tuple[DataFrame, DataFrame]:
-    """(pattern, conf) and (inst, score) after the turns."""
+def scores(occ: DataFrame, turns: int, support: int, accept: float) -> tuple[DataFrame, DataFrame]:
+    """(pattern, conf) and (inst, score) after ``turns`` turns that bring no new pattern, the one
+    that brings the last included."""
     edges = occ.select("inst", "seed", F.explode(F.array("p1", "p2")).alias("pattern")).where(F.col("pattern") != "") \
         .groupBy("pattern", "inst").agg(F.max("seed").alias("seed"))
-    # Only patterns with enough seeds can be trusted or pass trust on.
-    strong = edges.groupBy("pattern").agg(F.count_if("seed").alias("c")).where(F.col("c") >= support).select("pattern")
-    edges = stored(edges.join(strong, "pattern"), "graph")
-    inst = edges.groupBy("inst").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(turns):
-        pattern = edges.join(inst, "inst").groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("conf"))
-        pattern = stored(pattern, "patterns")
+    # A pattern of fewer instances never has enough to trust. Every other may get them.
+    some = edges.groupBy("pattern").agg(F.count("*").alias("c")).where(F.col("c") >= support).select("pattern")
+    edges = stored(edges.join(some, "pattern"), "graph")
+    seeds = edges.groupBy("inst").agg(F.max("seed").alias("seed")).where("seed").select("inst")
+    edges = stored(edges.drop("seed").join(seeds.withColumn("seed", F.lit(True)), "inst", "left")
+                   .withColumn("seed", F.coalesce("seed", F.lit(False))), "graph")
+    inst, known, same = None, 0, 0
+    while same < turns:
+        scored = edges.withColumn("score", F.lit(0.0)) if inst is None else \
+            edges.join(inst.select("inst", "score"), "inst", "left")
+        score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+        pattern = scored.withColumn("score", score).groupBy("pattern").agg(
+            (F.sum("score") / (F.count("*") + 1)).alias("conf"),
+            F.count_if(F.col("score") >= accept).alias("c")).where(F.col("c") >= support)
+        pattern = stored(pattern.select("pattern", "conf"), "patterns")
+        # Scores only rise from turn to turn, so patterns stay once they are in.
+        now = pattern.count()
+        known, same = now, same + 1 if now == known and inst is not None else 1
         inst = edges.join(pattern, "pattern").groupBy("inst").agg(
             F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("conf", F.lit(0.999999)))).alias("miss"))
         inst = stored(inst.select("inst", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("miss")).alias("score")), "instances")
@@ -154,7 +170,7 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, turns
     keep = ["doc_id"] if keep is None else keep
     rows = extract(df, text, keep)
     occ = rows.select("_rid", F.explode("_occ").alias("o")).select("_rid", "o.*")
-    pattern, inst = scores(occ, turns, support)
+    pattern, inst = scores(occ, turns, support, accept)
     good = inst.where(F.col("score") >= accept).select("inst")
     trusted = pattern.where(F.col("conf") >= accept).select("pattern")
     seen = occ.where(~F.col("seed")).join(good, "inst") \

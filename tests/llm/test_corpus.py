@@ -363,6 +363,17 @@ def test_pii_finds_by_context(spark):
     assert all(got[i].startswith("phone:") and "context" not in got[i] for i in range(40))
 
 
+def test_pii_follows_found_instances(spark):
+    rows = [(i, f"{prose(8)} please call +1 (555) 555-{1000 + i} today {prose(5)}") for i in range(40)]
+    rows += [(100 + i, f"x please call ext-50{i:03d} today y") for i in range(12)]
+    rows += [(200 + i, f"his badge no ext-50{i:03d} here z") for i in range(12)]
+    rows += [(300 + i, f"his badge no id-70{i:03d} here z") for i in range(2)]
+    rows += [(400 + i, f"a desk key id-70{i % 2:03d} lost z") for i in range(2)]
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(spark.createDataFrame(rows, "doc_id int, text string"))).collect()}
+    assert all(got[100 + i] == "context:14:23" and got[200 + i] == "context:13:22" for i in range(12))
+    assert all(got[300 + i] == "context:13:21" and got[400 + i] == "" for i in range(2))
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
