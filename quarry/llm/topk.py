@@ -9,14 +9,16 @@ so the inner product (|q|^2 + |x|^2 - d^2) / 2 is at most sum of m (mean_q mean_
 Pairs whose bound falls below the query's k-th best so far go, coarse segments first; the rest
 get exact integer scores.
 
-Queries and vectors are dealt into blocks by a hash of their id; each pair of a query block and a
+Queries and vectors are dealt into blocks by a hash of their row number; each pair of a query block and a
 vector block is one cell, worked on in slices of bounded size. The first vector block, a random
 part of all, gives every query a k-th best to start from.
 
-Defined cases: vectors that are null, empty or hold a null or non-finite component take no part;
-of rows with the same id the greatest vector counts; vectors are compared with those of their own
-length; ties go to the smaller id; an empty table gives an empty result; scores must fit in 64
-bits; further columns are ignored.
+Defined cases: vectors that are null or hold a null or non-finite component take no part, and
+rows without an id neither; every other row is a candidate for each query of another id, also if
+its id or its vector is repeated, and rows of a repeated query id are ranked together; vectors are
+compared with those of their own length (empty ones score 0 among themselves); ties go to the
+smaller id; an empty table gives an empty result; scores must fit in 64 bits; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,15 +38,17 @@ RESOLUTIONS = (1, 4, 16)
 def scaled(df: DataFrame, id_col: str, vec: str, scale: int) -> DataFrame:
     """id, v: floor(scale * component) as long."""
     v = F.col(f"`{vec}`")
-    good = v.isNotNull() & (F.size(v) > 0) & F.forall(
+    good = v.isNotNull() & F.forall(
         v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = df.where(F.col(f"`{id_col}`").isNotNull()).where(F.coalesce(good, F.lit(False)))
     ints = F.transform(v, lambda x: F.floor(x.cast("double") * scale))
-    return rows.select(F.col(f"`{id_col}`").alias("id"), ints.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
+    return rows.select(F.col(f"`{id_col}`").alias("id"), ints.alias("v"))
 
 
 def _statistics(x: np.ndarray, parts: int) -> np.ndarray:
     """sqrt(m) mean and sqrt(m) deviation of each segment, side by side."""
+    if not x.shape[1]:
+        return np.zeros((len(x), 1))
     cuts = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int)
     m = np.diff(cuts)
     total = np.add.reduceat(x, cuts[:-1], axis=1)
@@ -124,9 +128,11 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec: str = "embedding
 
     ``is_query`` maps the id column to a condition.
     """
-    rows = stored(scaled(df, id_col, vec, scale).withColumn("dim", F.size("v")), "vectors")
+    # Rows are dealt by their number, so that a repeated id spreads over the blocks.
+    rows = stored(scaled(df, id_col, vec, scale).withColumns(
+        {"dim": F.size("v"), "n": F.monotonically_increasing_id()}), "vectors")
     ask = rows.where(is_query(F.col("id")))
-    h = F.xxhash64("id")
+    h = F.xxhash64("n")
     nq, nx = ask.count() // QUERY_BLOCK + 1, rows.count() // VECTOR_BLOCK + 1
     queries = ask.withColumn("qb", F.pmod(h, F.lit(nq)).cast("int"))
     vectors = rows.withColumn("cb", F.pmod(F.shiftright(h, 8), F.lit(nx)).cast("int")) \

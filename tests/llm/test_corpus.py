@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import jaccard, mixing, packing, pii, quality, secret_scan, tokens, topk, url_lists, warc
+from quarry.llm import encoder, jaccard, mixing, packing, pii, quality, secret_scan, tokens, topk, url_lists, warc
 from quarry.llm.common import scratch
 from quarry.llm.queries import OTHER, TOKENIZER, WEIGHTS
 
@@ -280,6 +280,28 @@ def test_pieces_and_packing(docs, none):
     assert packing.pack(packing.pieces(none, TOKENIZER)).count() == 0
 
 
+WORDY = st.sampled_from([*"aAeEiİIıßẞŸÉ'.,;|<>_-0129²½\u0301\u0307\n\t  \u0085Σς中é😀ªſɐȺ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>",
+                         "<|startoftext|>", "<|", "|>", "'s", "'LL", "word", "Word.", "İ,", "aİ."])
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(WORDY, max_size=12))
+def test_encoder_is_the_tokenizer(parts):
+    text, tok = "".join(parts), encoder.encoder(TOKENIZER)
+    assert tok.known
+    for t in (text, text):      # the second time from kept words
+        assert np.frombuffer(tok.text(t), "<u4").tolist() == tok.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_gives_its_words_up(monkeypatch):
+    monkeypatch.setattr(encoder, "MEMORY", 5000)
+    tok = encoder.Encoder(TOKENIZER)
+    for i in range(200):
+        t = f"{prose(30)} {'long' * 40}{i} item-{i}."
+        assert np.frombuffer(tok.text(t), "<u4").tolist() == tok.tokenizer.encode(t, add_special_tokens=False).ids
+        assert tok.kept < 5000 + 100 * 400 and all(len(w) <= encoder.LONGEST for w in tok)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60), st.integers(1, 9), st.sampled_from(["norm", "dot"]))
 def test_best_fit_keeps_every_capacity(lengths, docs_cap, rule):
@@ -405,16 +427,20 @@ def test_top_k(spark, monkeypatch):
     gen = np.random.default_rng(3)
     vecs = {i: gen.normal(size=12).round(1).tolist() for i in range(0, 400, 2)}
     vecs |= {i: vecs[0] for i in range(401, 420)}           # ties
-    rows = [(i, v, 0) for i, v in vecs.items()] + [(0, vecs[0], 0), (501, None, 0), (503, [1.0, None] * 6, 0),
+    rows = [(i, v, 0) for i, v in vecs.items()] + [(501, None, 0), (503, [1.0, None] * 6, 0), (None, vecs[0], 0),
                                                    (505, [float("nan")] * 12, 0), (507, [1.0] * 3, 0), (509, [], 0)]
+    # Repeated ids: of a query with the same and another vector, of a candidate, and many times.
+    rows += [(0, vecs[0], 0), (0, vecs[2], 0), (7, vecs[0], 0), (7, vecs[4], 0), (600, [], 0), (601, [], 0)]
+    rows += [(9, [9.0 + i % 3, *vecs[0][1:]], 0) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, v int")
     got = sorted(map(tuple, topk.top_k(df, lambda i: i % 100 == 0).collect()))
-    ints = {i: np.floor(np.asarray(v, np.float32).astype(float) * 1024).astype(np.int64) for i, v in vecs.items()}
+    ints = [(i, np.floor(np.asarray(v, np.float32).astype(float) * 1024).astype(np.int64)) for i, v, _ in rows
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in ints if i % 100 == 0):
-        best = sorted((-int(ints[q] @ x), i) for i, x in ints.items() if i != q)[:10]
+    for q in {i for i, _ in ints if i % 100 == 0}:
+        best = sorted((-int(a @ x), i) for j, a in ints if j == q for i, x in ints if i != q and len(x) == len(a))[:10]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == sorted(want)
+    assert got == sorted(want) and (600, 1, 509, 0) in got and sum(r[2] == 9 for r in got) > 10
     assert topk.top_k(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
