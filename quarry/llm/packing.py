@@ -27,55 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, text_of
+from quarry.llm.encoder import encoder
 
 GROUP_PIECES = 20_000
 GROUP_SEQUENCES = 128       # of ordered rows: half a million tokens, some 33 blocks of the mixture
-CACHE_WORDS = 1_000_000     # some 200 MB in each Python worker
-SHORT = 6                   # longer words are kept in their plain form only
-
-
-class Encoder(dict):
-    """Token ids of white-space-separated words as bytes of type ``width``, kept between texts.
-
-    The tokenizer handles words one by one, so a text's ids are those of its words. Capital
-    letters and a closing point or comma are taken off here, which keeps the table small.
-    """
-
-    def __init__(self, path: str, width: str = "<u4", ordinary: bool = False):
-        from tokenizers import Tokenizer
-        super().__init__()
-        self.tokenizer, self.width = Tokenizer.from_file(path), width
-        self.tokenizer.encode_special_tokens = ordinary     # special tokens in a text are plain text
-
-    def __missing__(self, word: str) -> bytes:
-        low = word.lower() if word and max(word) < "İ" else word
-        if low != word:
-            ids = self[low]
-        elif len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            self[word] = ids = np.asarray(
-                self.tokenizer.encode(word, add_special_tokens=False).ids, self.width).tobytes()
-            return ids
-        if len(word) <= SHORT:
-            self[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder(path: str, width: str = "<u4", ordinary: bool = False) -> Encoder:
-    """One for each worker process."""
-    key = path, width, ordinary
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(*key)
-    return _ENCODERS[key]
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text",

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import fs_path, stored, text_of
-from quarry.llm.packing import encoder
+from quarry.llm.encoder import encoder
 
 WIDTH = 2
 FILE_TOKENS = 4_000_000
