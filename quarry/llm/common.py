@@ -47,6 +47,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """Deal few rows that each stand for much work (a file, a block) evenly over tasks: one a
+    task, or several beyond ``most`` tasks. Without a number Spark would join such small tasks."""
+    return df.repartition(max(1, min(df.count(), most)))
+
+
 def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

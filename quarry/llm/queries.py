@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import jaccard, mixing, packing, pii, quality, secret_scan, tokens, topk, url_lists, warc
+from quarry.llm import bitplanes, jaccard, mixing, packing, pii, quality, secret_scan, tokens, topk, url_lists, vafile, warc
 from quarry.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -130,3 +130,44 @@ def op7(spark, sf_dir):
     got = tokens.scan(spark, folder, separator=49_407)
     return got.join(who, ["stream", "ordinal"], "left").select(
         F.col("id").alias("doc_id"), "n_tokens", "stream", "ordinal", "closed")
+
+
+@register("op11_bit_planes")
+def op11(spark, sf_dir):
+    folder = scratch(spark, "planes")
+    bitplanes.write(table(spark, sf_dir, "documents"), folder, TOKENIZER, end_id=2)
+    return bitplanes.read(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+def kmeans_sql(dim: int = 64, k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """The rounds one after another; sums are huge integers, floored exactly."""
+    out = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1)::INT AS c, v AS m FROM v WHERE vec_id IS NOT NULL
+  ORDER BY sha256('{seed}:' || vec_id), v LIMIT {k})"""]
+    for t in range(rounds + 1):
+        out.append(f"""
+a{t} AS MATERIALIZED (
+  SELECT r, first(vec_id) AS vec_id, first(v) AS v, min(struct_pack(d := d, c := c)) AS b FROM (
+    SELECT r, vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM v, c{t}) GROUP BY r)""")
+        if t < rounds:
+            out.append(f"""
+c{t + 1} AS MATERIALIZED (
+  SELECT c, coalesce(n.m, o.m) AS m FROM c{t} o LEFT JOIN (
+    SELECT c, list((((s - (s % n + n) % n) // n)::BIGINT) ORDER BY i) AS m FROM (
+      SELECT b.c AS c, i, sum(v[i]::HUGEINT)::HUGEINT AS s, count(*) AS n FROM a{t}, range(1, {dim + 1}) g(i) GROUP BY ALL)
+    GROUP BY c) n USING (c))""")
+    return ",".join(out) + f"""
+SELECT vec_id, b.c AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.c))::BIGINT AS cluster_inertia,
+       (sum(b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON b.c = c{rounds}.c
+"""
+
+
+@register("op13_va_file_clusters", kmeans_sql())
+def op13(spark, sf_dir):
+    return vafile.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
