@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bitplanes, jaccard, mixing, packing, pii, quality, secret_scan, tokens, topk, url_lists, vafile, warc
+from quarry.llm import bitplanes, jaccard, mixing, packing, phrases, pii, quality, secret_scan, tokens, topk, url_lists, vafile, warc
 from quarry.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -139,6 +139,41 @@ def op11(spark, sf_dir):
     return bitplanes.read(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+PHRASE_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 5) g(m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cut AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, k, lf.f AS l, rf.f AS r, ((2000000::HUGEINT * a) // (lf.f::HUGEINT + rf.f))::BIGINT AS score
+  FROM cut JOIN f lf ON lf.lang = cut.lang AND lf.phrase = x JOIN f rf ON rf.lang = cut.lang AND rf.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+over AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS over
+  FROM (SELECT *, unnest(range(1, m - n + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS n FROM c WHERE m > 2)) GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN over o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE o.over IS NULL OR 100 * o.over < 80 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::INT AS rank, phrase, a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@register("op12_phrase_fingerprints", PHRASE_SQL)
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def kmeans_sql(dim: int = 64, k: int = 8, rounds: int = 10, seed: int = 3) -> str:
     """The rounds one after another; sums are huge integers, floored exactly."""
     out = [f"""
