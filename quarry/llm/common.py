@@ -47,6 +47,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored_tidy(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, and Spark drops the shuffle files of the run as soon as the table is written: the
+    next step's shuffle finds the disks free."""
+    spark = df.sparkSession
+    was = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    try:
+        return stored(df, name)
+    finally:
+        spark.conf.set(TIDY, was)
+
+
 def dealt(df: DataFrame, most: int = 20_000) -> DataFrame:
     """Deal few rows that each stand for much work (a file, a block) evenly over tasks: one a
     task, or several beyond ``most`` tasks. Without a number Spark would join such small tasks."""

@@ -16,8 +16,8 @@ a result.
 
 Defined cases: a null text is empty, a null language is ``und``; a piece has no phrase longer than
 itself; repeated rows count each; an empty table gives an empty result; further columns are
-ignored. A slice is at least one document; its arrays take some 30 bytes for each byte of a slice
-and 40 for each word of a document.
+ignored. A slice is at least one document; its arrays take some 10 bytes for each byte of the
+slice and 100 for each word.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import stored, stored_tidy
 
 SLICE = 4_000_000           # bytes of text whose fingerprints are counted together
+HASHED = 400_000            # bytes whose prefix sums are held at once
 MAP_BITS = 2 ** 28
 LONGEST = 4                 # words of a phrase
 SALTS = 64
@@ -89,22 +90,22 @@ class Words:
         after = np.concatenate([inside[1:], [False]]) & ~first[1:]
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
-        self.piece = np.cumsum((kind == 2) | first[:-1], dtype=np.int64)[self.start]
+        self.piece = np.searchsorted(np.flatnonzero((kind == 2) | first[:-1]), self.start, side="right")
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         self.hash = np.zeros(len(self.start), np.uint64)
-        for a, z, lo, hi in self._runs(len(data)):
+        for a, z, lo, hi in self._runs():
             sums = prefix(self.low[lo:hi].astype(np.uint64) + np.uint64(1), BASE)
             s, e = self.start[a:z] - lo, self.end[a:z] - lo
             self.hash[a:z] = (sums[e] - sums[s]) * powers(BASE, hi - lo + 1)[1][s]
         self.hash = mixed(self.hash ^ (self.end - self.start).astype(np.uint64))
         self.word = self._identities()
 
-    def _runs(self, size: int):
-        """Runs of words (first, last, first byte, last byte) of about a slice's bytes."""
+    def _runs(self):
+        """Runs of words (first, last, first byte, last byte) of some ``HASHED`` bytes."""
         a = 0
         while a < len(self.start):
             lo = int(self.start[a])
-            z = max(a + 1, int(np.searchsorted(self.end, lo + SLICE, side="right")))
+            z = max(a + 1, int(np.searchsorted(self.end, lo + HASHED, side="right")))
             yield a, z, lo, int(self.end[z - 1])
             a = z
 
@@ -234,7 +235,7 @@ def frequent(found: DataFrame, least: int) -> DataFrame:
     """The pointers whose fingerprint's counts add up to ``least``. A hot fingerprint has one row
     for each slice."""
     total = F.sum("cnt").over(Window.partitionBy("fp"))
-    return stored(found.withColumn("total", total).where(F.col("total") >= least).drop("total"), "pointers")
+    return stored_tidy(found.withColumn("total", total).where(F.col("total") >= least).drop("total"), "pointers")
 
 
 def bit_map(found: DataFrame, n: int) -> bytes:
@@ -271,7 +272,7 @@ def materialise(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                  pa.array(out["f"], pa.int64())], ["lang", "n", "phrase", "f"])
 
     got = rows.mapInArrow(cut, "lang string, n int, phrase string, f bigint")
-    return stored(got.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
+    return stored_tidy(got.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
 
 
 def count_phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 30) -> DataFrame:

@@ -83,8 +83,8 @@ def words(texts):
 @given(st.lists(st.text(st.sampled_from([*"aAbB .,\t\né0"]), max_size=25), min_size=1, max_size=6), st.integers(1, 40), st.booleans())
 def test_slice_counts_are_exact(texts, run_bytes, collide):
     """All n-grams of a slice, also when hashes collide all the time."""
-    old = phrases.SLICE, phrases.mixed
-    phrases.SLICE = run_bytes
+    old = phrases.HASHED, phrases.mixed
+    phrases.HASHED = run_bytes
     if collide:
         phrases.mixed = lambda x: x & np.uint64(3)
     try:
@@ -100,7 +100,7 @@ def test_slice_counts_are_exact(texts, run_bytes, collide):
         want, _ = count([("en", t) for t in texts], 1)
         assert got == {" ".join(k[1]): v for k, v in want.items()}
     finally:
-        phrases.SLICE, phrases.mixed = old
+        phrases.HASHED, phrases.mixed = old
 
 
 def test_fingerprints_do_not_depend_on_place():
