@@ -27,16 +27,18 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, stored_tidy
 
-SLICE = 4_000_000           # bytes of text whose fingerprints are counted together
+SLICE = 8_000_000           # bytes of text whose fingerprints are counted together
 HASHED = 400_000            # bytes whose prefix sums are held at once
 MAP_BITS = 2 ** 28
 LONGEST = 4                 # words of a phrase
 SALTS = 64
+CUT = 200_000               # phrases of an output batch
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93      # odd, so that they have inverses
 POINTER = "n int, fp bigint, cnt bigint, row bigint, at int, size int"
 
@@ -90,8 +92,8 @@ class Words:
         after = np.concatenate([inside[1:], [False]]) & ~first[1:]
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
-        self.piece = np.searchsorted(np.flatnonzero((kind == 2) | first[:-1]), self.start, side="right")
-        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        self.piece = np.searchsorted(np.flatnonzero((kind == 2) | first[:-1]), self.start, side="right").astype(np.int32)
+        self.doc = (np.searchsorted(offsets, self.start, side="right") - 1).astype(np.int32)
         self.hash = np.zeros(len(self.start), np.uint64)
         for a, z, lo, hi in self._runs():
             sums = prefix(self.low[lo:hi].astype(np.uint64) + np.uint64(1), BASE)
@@ -113,7 +115,7 @@ class Words:
         """A number for each word, equal exactly where the bytes are."""
         code, first = grouped(self.hash)
         length = self.end - self.start
-        out = code.astype(np.int64)
+        out = code.astype(np.int32)
         rest = self._differ(np.arange(len(code)), first[code], length)
         names = len(first)
         texts: dict[bytes, int] = {}
@@ -176,6 +178,13 @@ def _held(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds of the texts, their bytes)."""
+    kind = np.int32 if pa.types.is_string(text.type) else np.int64
+    place = np.frombuffer(text.buffers()[1], kind)[text.offset:text.offset + len(text) + 1].astype(np.int64)
+    return place, np.frombuffer(text.buffers()[2] or b"", np.uint8)
+
+
 def pointers(docs: DataFrame, sizes: tuple[int, ...], maps: dict[int, bytes]) -> DataFrame:
     """Counts and pointers by slice of the n-grams of the given sizes whose words (and pairs) the
     maps hold. With size 1, rows with n = 0 count all words of a language."""
@@ -184,9 +193,7 @@ def pointers(docs: DataFrame, sizes: tuple[int, ...], maps: dict[int, bytes]) ->
         for batch in batches:
             text, lang = batch.column("text"), batch.column("lang")
             rows = batch.column("row").to_numpy()
-            place = np.frombuffer(text.buffers()[1], np.int32 if pa.types.is_string(text.type) else np.int64)[
-                text.offset:text.offset + len(text) + 1].astype(np.int64)
-            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+            place, data = _bytes_of(text)
             code, names = pd.factorize(lang.to_numpy(zero_copy_only=False))
             salts = np.array([int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little") for s in names], np.uint64)
             a = 0
@@ -258,18 +265,31 @@ def materialise(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            out = {"lang": [], "n": [], "phrase": [], "f": []}
-            for lang, text, p in zip(*(b.column(c) for c in ("lang", "text", "p"))):
-                raw, lang = text.as_py().encode(), lang.as_py()
-                for x in p.as_py():
-                    part = raw[x["at"]:x["at"] + x["size"]].lower()     # of bytes: A to Z alone
-                    out["lang"].append(lang)
-                    out["n"].append(x["n"])
-                    out["phrase"].append(b" ".join(filter(None, part.replace(b"\t", b" ").split(b" "))))
-                    out["f"].append(x["cnt"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["lang"], pa.string()), pa.array(out["n"], pa.int32()), pa.array(out["phrase"], pa.binary()).cast(pa.string()),
-                 pa.array(out["f"], pa.int64())], ["lang", "n", "phrase", "f"])
+            text, p = b.column("text"), b.column("p")
+            place, data = _bytes_of(text)
+            low = LOWER[data]
+            doc = np.repeat(np.arange(len(b)), np.diff(p.offsets.to_numpy()))
+            x = p.flatten()
+            field = lambda k: x.field(k).to_numpy(zero_copy_only=False)
+            start, size = place[doc] + field("at"), field("size").astype(np.int64)
+            # Phrases with a tab or two blanks in a row are joined again, all others are cut out as they are.
+            blank = np.flatnonzero((low == 9) | (low == 32))
+            blank = blank[(low[blank] == 9) | (low[np.minimum(blank + 1, len(low) - 1)] == 32)]
+            odd = np.flatnonzero(np.searchsorted(blank, start) < np.searchsorted(blank, start + size))
+            for a in range(0, len(doc), CUT):
+                z = min(a + CUT, len(doc))
+                ends = np.concatenate([[0], np.cumsum(size[a:z])])
+                at = np.arange(ends[-1]) + np.repeat(start[a:z] - ends[:-1], size[a:z])
+                phrase = pa.StringArray.from_buffers(z - a, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(low[at]))
+                mine = odd[(odd >= a) & (odd < z)]
+                if len(mine):
+                    parts = [b" ".join(low[start[i]:start[i] + size[i]].tobytes().replace(b"\t", b" ").split()).decode() for i in mine]
+                    mask = np.zeros(z - a, bool)
+                    mask[mine - a] = True
+                    phrase = pc.replace_with_mask(phrase, pa.array(mask), pa.array(parts, pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("lang").take(pa.array(doc[a:z])), x.field("n").slice(a, z - a), phrase, x.field("cnt").slice(a, z - a)],
+                    ["lang", "n", "phrase", "f"])
 
     got = rows.mapInArrow(cut, "lang string, n int, phrase string, f bigint")
     return stored_tidy(got.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
