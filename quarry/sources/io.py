@@ -22,22 +22,44 @@ _CANDIDATES = (("boolean", "boolean"), ("bigint", "bigint"), ("double", "double"
 
 
 # Quotes are doubled inside quoted cells, which may hold line breaks; spaces belong to the cell.
-# A file with line breaks in cells cannot be split: write many files for large tables.
 QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+# Options that the reader by splits knows; with any other, each file is read by one task.
+_SPLIT_OPTIONS = {"sep", "delimiter", "header", "multiLine", "nullValue", "emptyValue", "mode"}
+
+
+def _read_cells(spark: SparkSession, path: str | Sequence[str], options: dict) -> DataFrame:
+    """All cells as text. Files are read by splits, also where cells hold line breaks; a first
+    read takes the column names alone."""
+    given = {**QUOTING, "header": True, "inferSchema": False, "multiLine": True, **options}
+    whole = spark.read.options(**given).csv(path)
+    sep = options.get("sep", options.get("delimiter", ","))
+    plain = set(options) <= _SPLIT_OPTIONS and given["header"] is True and given["multiLine"] is True and len(sep) == 1
+    if not plain or not whole.columns:
+        return whole
+    from quarry.sources.records import records
+    rows = records(spark, path, sep)
+    cells = {k: str(v).lower() if isinstance(v, bool) else v for k, v in given.items() if k not in ("header", "inferSchema", "multiLine")}
+    parsed = F.from_csv("record", ", ".join(f"c{i} string" for i in range(len(whole.columns))), cells)
+    return rows.select(parsed.alias("r")).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(whole.columns)])
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str],
              null_tokens: Sequence[str] = NULL_TOKENS, infer: bool = True,
              **options) -> DataFrame:
     """CSV with a header row from any Hadoop file-system path or URI (file, hdfs, s3a, abfs).
 
+    Large files are read by many tasks, also where quoted cells hold line breaks (``records``);
+    files are UTF-8 and lines end in a line feed, with or without a carriage return. Options of
+    the CSV source other than separator, null and empty value read each file as a whole.
+
     Cells equal to a null token become NULL. With ``infer`` each column takes the narrowest
     of boolean, bigint, double, timestamp that every present value parses as (one aggregate
     counting failed ``try_cast``s for all columns at once), else stays string. A token such
     as "NA" therefore no longer turns a number column into text.
     """
-    raw = spark.read.options(**{**QUOTING, "header": True, "inferSchema": False, "multiLine": True,
-                                **options}).csv(path)
+    raw = _read_cells(spark, path, options)
     tokens = list(null_tokens)
     clean = raw.select(*[F.when(~col(c).isin(tokens) & col(c).isNotNull(), col(c)).alias(c)
                          for c in raw.columns]) if tokens else raw
