@@ -133,18 +133,40 @@ def rolling_mean(df: DataFrame, y: str, order_by: Sequence[str], n: int,
     return out.where(~F.col(copy)).select(*[col(c) for c in df.columns], col(name))
 
 
+def _pieces_of(lo: Column, hi: Column, levels: int) -> Column:
+    """The blocks ``lo`` to ``hi - 1`` as array<struct<level, k>>: at most two for each level, where
+    (level, k) stands for the blocks from ``k * 2 ** level`` to ``(k + 1) * 2 ** level - 1``."""
+    def step(acc, level):
+        left = (acc["lo"] % 2 == 1) & (acc["lo"] < acc["hi"])
+        lo = acc["lo"] + left.cast("long")
+        right = (acc["hi"] % 2 == 1) & (lo < acc["hi"])
+        hi = acc["hi"] - right.cast("long")
+        node = lambda k: F.struct(level.alias("level"), k.alias("k"))
+        none = F.array().cast("array<struct<level:int,k:bigint>>")
+        got = F.concat(acc["got"], F.when(left, F.array(node(acc["lo"]))).otherwise(none),
+                       F.when(right, F.array(node(hi))).otherwise(none))
+        return F.struct(F.shiftright(lo, 1).alias("lo"), F.shiftright(hi, 1).alias("hi"), got.alias("got"))
+    start = F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"),
+                     F.array().cast("array<struct<level:int,k:bigint>>").alias("got"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["got"])
+
+
 @nan_as_missing
 def rolling_mean_time(df: DataFrame, y: str, ts: str, seconds: float,
                       partition_by: Sequence[str] = (), min_periods: int = 1,
-                      name: str | None = None, spans: int = 64) -> DataFrame:
+                      name: str | None = None, block: int = 256, spans: int | None = None) -> DataFrame:
     """Mean of ``y`` over the rows of the last ``seconds`` up to each row's time, itself included.
 
     The frame is ``(t - seconds, t]``; rows of the same time share a frame, missing values are
-    skipped, and fewer than ``min_periods`` present values or a missing time give NULL. Rows are
-    summed per time first, so a time shared by many rows is one row of the window; the times are
-    cut into stretches of ``spans`` frames, each with a copy of the frame before it, so that no
-    task holds a whole group. The means return to the rows by a join on group and time, whose
-    skewed partitions Spark splits.
+    skipped, and fewer than ``min_periods`` present values or a missing time give NULL.
+
+    Rows are summed per time first. Times and the starts of their frames are then numbered in one
+    range sort, which turns each frame into a run of row numbers. Numbers are cut into blocks of
+    ``block`` rows: a frame is the end of one block, whole blocks, and the beginning of another
+    (or lies inside one). Whole blocks come from a table of sums over 1, 2, 4, ... blocks, so that
+    no task holds more than a block or a slice of the sort, however many rows a frame spans, and
+    sums are never differences of larger ones. The means return to the rows by a join on group and
+    time, whose skewed partitions Spark splits. ``spans``, of an earlier version, has no effect.
     """
     p = list(partition_by)
     check_columns(df, [y, ts] + p)
@@ -152,9 +174,9 @@ def rolling_mean_time(df: DataFrame, y: str, ts: str, seconds: float,
         raise ValueError("seconds must be positive")
     span = int(round(seconds * 1_000_000))
     name = name or f"{y}_rolling_{seconds:g}s"
-    t, part, copy, total, n = free_names(df, "t", "part", "copy", "total", "n")
+    t, mark = free_names(df, "t", "mark")
     v = col(y).cast("double")
-    gk = [free_names(df, f"g{i}")[0] for i in range(len(p))]
+    gk = [f"g{i}" for i in range(len(p))]
     # a zone-less time counts from the zone-less epoch, whatever the session's zone
     if df.schema[ts].dataType.typeName() == "timestamp_ntz":
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -163,22 +185,72 @@ def rolling_mean_time(df: DataFrame, y: str, ts: str, seconds: float,
         micros = F.unix_micros(col(ts).cast("timestamp"))
     rows = df.withColumn(t, micros)
     cells = (rows.where(F.col(t).isNotNull())
-             .groupBy(*[col(k).alias(g) for k, g in zip(p, gk)], t)
-             .agg(F.sum(v).alias(total), F.count(v).alias(n))
-             .withColumn(part, F.floor(F.col(t) / (span * spans))).withColumn(copy, F.lit(False)))
-    tail = (cells.where(F.pmod(F.col(t), F.lit(span * spans)) > span * (spans - 1))
-            .withColumn(part, F.col(part) + 1).withColumn(copy, F.lit(True)))
-    w = Window.partitionBy(*gk, part).orderBy(t).rangeBetween(-(span - 1), 0)
-    count = F.sum(n).over(w)
-    means = (cells.unionByName(tail)
-             .withColumn(name, F.when(count >= max(min_periods, 1), F.sum(total).over(w) / count))
-             .where(~F.col(copy)).select(*gk, F.col(t).alias(part), col(name)))
-    same = F.col(t) == F.col(part)
+             .groupBy(*[col(k).alias(g) for k, g in zip(p, gk)], F.col(t).alias("t"))
+             .agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.count(v).alias("n")))
+    f = _frames(cells, gk, span).withColumn("b", F.floor(F.col("i") / block)) \
+        .withColumn("first", F.floor(F.col("lo") / block)).checkpoint(eager=True)
+    here = Window.partitionBy(*gk, "b")
+    up = here.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    down = here.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    near = here.orderBy("t").rangeBetween(-(span - 1), 0)
+    s = f.select("*", *[F.sum(c).over(w).alias(f"{c}_{k}") for c in ("total", "n")
+                        for k, w in (("up", up), ("down", down), ("near", near))])
+
+    def join(left: DataFrame, right: DataFrame, on: dict) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+        same = F.lit(True)
+        for g in gk:
+            same = same & F.col(g).eqNullSafe(F.col(f"r_{g}"))
+        for a, z in on.items():
+            same = same & (F.col(a) == F.col(f"r_{z}"))
+        return left.join(right, same, "left").drop(*[f"r_{c}" for c in (*gk, *on.values())])
+
+    # the rest of the block in which the frame begins
+    ends = s.select(*gk, "i", F.col("total_down").alias("total_end"), F.col("n_down").alias("n_end"))
+    s = join(s.withColumn("from", F.when(F.col("b") > F.col("first"), F.col("lo"))), ends, {"from": "i"})
+    most = f.agg(F.max(F.col("b") - F.col("first")).alias("w"), F.max("b").alias("b")).first()
+    total, n = F.col("total_up") + F.coalesce("r_total_end", F.lit(0.0)), F.col("n_up") + F.coalesce("r_n_end", F.lit(0))
+    if (most["w"] or 0) > 1:
+        levels = int(most["b"]).bit_length()
+        nodes = f.groupBy(*gk, "b").agg(F.sum("total").alias("total"), F.sum("n").alias("n")) \
+            .select(*gk, "total", "n", "b", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")) \
+            .groupBy(*gk, "level", F.expr("shiftright(b, level)").alias("k")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        runs = f.where(F.col("b") - F.col("first") > 1).select(*gk, "first", "b").distinct()
+        parts = runs.select("*", F.explode(_pieces_of(F.col("first") + 1, F.col("b"), levels)).alias("p")) \
+            .select(*gk, "first", "b", "p.level", "p.k")
+        whole = join(parts, nodes, {"level": "level", "k": "k"}) \
+            .groupBy(*gk, "first", "b").agg(F.sum("r_total").alias("total_mid"), F.sum("r_n").alias("n_mid"))
+        s = join(s, whole, {"first": "first", "b": "b"})
+        total, n = total + F.coalesce("r_total_mid", F.lit(0.0)), n + F.coalesce("r_n_mid", F.lit(0))
+    one = F.col("b") == F.col("first")
+    total, n = F.when(one, F.col("total_near")).otherwise(total), F.when(one, F.col("n_near")).otherwise(n)
+    means = s.select(*[F.col(g).alias(f"{mark}_{g}") for g in gk], F.col("t").alias(mark),
+                     F.when(n >= max(min_periods, 1), total / n).alias(name))
+    same = F.col(t) == F.col(mark)
     for k, g in zip(p, gk):
-        same = same & col(k).eqNullSafe(F.col(g))
+        same = same & col(k).eqNullSafe(F.col(f"{mark}_{g}"))
     return rows.join(means, same, "left").select(*[col(c) for c in df.columns], col(name))
 
 
+def _frames(cells: DataFrame, gk: list[str], span: int) -> DataFrame:
+    """gk, t, total, n, i, lo of cells (gk, t, total, n): the cell's number in its group by time and
+    that of the first cell later than ``t - span``."""
+    ends = cells.select(*gk, "t", F.col("t").alias("time"), F.lit(False).alias("ask"), "total", "n")
+    asks = cells.select(*gk, "t", (F.col("t") - span).alias("time"), F.lit(True).alias("ask"),
+                        F.lit(None).cast("double").alias("total"), F.lit(None).cast("bigint").alias("n"))
+    s = _sorted_with_ids(ends.unionByName(asks), gk + ["time", "ask"], "rid", "pid")
+    one = (~F.col("ask")).cast("long")
+    w = Window.partitionBy("pid", *gk).orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("at", F.sum(one).over(w))
+    per_part = s.groupBy("pid", *gk).agg(F.sum(one).alias("cells"))
+    j = _join_carried(s, _carried(per_part, gk, "pid", F.sum("cells"), "before"), gk, "pid")
+    upto = F.coalesce("before", F.lit(0)) + F.col("at")
+    ask = F.col("ask")
+    return j.select(*[F.col(f"s.{g}").alias(g) for g in gk], "t", "ask", "total", "n", upto.alias("upto")) \
+        .groupBy(*gk, "t").agg(F.max("total").alias("total"), F.max("n").alias("n"),
+                               (F.max(F.when(~ask, F.col("upto"))) - 1).alias("i"), F.max(F.when(ask, F.col("upto"))).alias("lo"))
+
+
 @nan_as_missing
 def area_stack(df: DataFrame, x: str, y: str, color: str) -> DataFrame:
     """Stacked-area data: per x, the running total of y over colours (colour order).
