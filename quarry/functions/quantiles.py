@@ -1,31 +1,31 @@
-"""Exact quantiles with linear interpolation, computed without one huge group buffer.
+"""Exact quantiles with linear interpolation, by radix selection over all groups and targets at once.
 
 Spark's exact ``percentile`` merges a map of every distinct value of a group in one task; on a
-column of 10^12 distinct doubles that does not fit. Here the exact answer is found in three
-distributed steps:
-
-1. one aggregate per group: row count ``n`` and, from ``percentile_approx`` (a bounded sketch),
-   a value interval ``[L, U]`` around every target whose rank error bound guarantees that the
-   target order statistics fall inside it;
-2. one pass that classifies each value per target as "below L" (only counted) or "inside"
-   (grouped by value, so a value repeated a billion times is one row after the map-side
-   combine); values above ``U`` are dropped;
-3. exact ranks inside the thin slice (about ``8 n / accuracy`` values): the slice is cut into
-   ``buckets`` equal-width value buckets; the bucket counts (a small table) locate the bucket
-   of each target rank, and only that bucket's values are ranked by a window, so no task sorts
-   more than about ``8 n / (accuracy * buckets)`` distinct values (a narrow quantile interval
-   has nearly uniform density; repeated values are one row each).
-
-Small groups (fewer than ``2 * accuracy`` values) use their whole range as the slice.
+column of 10^12 distinct doubles that does not fit. Here each value has an order-preserving whole
+number, the bits of the double (``ordered_bits``), and selection goes down its digits:
+
+1. values are counted by group and by sign, exponent and the first bits of the mantissa, with the
+   least and greatest value of each bucket; running counts over a group's buckets place each
+   target rank in one of them;
+2. a rank whose bucket holds one distinct value, or that asks for the bucket's least or greatest
+   one, is answered; the others' buckets are counted by the next bits, until each holds few values;
+3. the values of what is left are counted by value and ranked.
+
+Counts are summed map-side, so a hot group or a hot value is a few rows of the shuffle. No task
+sees more than the buckets of a group or the values of one small bucket, whatever the values'
+density: a spike of distinct values in a narrow interval is cut by the next digits. Every group
+takes this path, and it ends after 52 bits of the mantissa at the latest. Whole numbers and prices
+are mostly answered by the first count.
+
 The interpolation is ``x_lo + (x_hi - x_lo) * frac`` at position ``p * (n - 1)``, which is
-what pandas, NumPy and DuckDB's ``quantile_cont`` compute.
+what pandas, NumPy and DuckDB's ``quantile_cont`` compute. Rows with a missing key have no group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import col
@@ -50,87 +50,91 @@ def join_facts(data: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFr
     return data.join(F.broadcast(facts) if few else facts, list(keys))
 
 
+def ordered_bits(v: Column) -> Column:
+    """A bigint that orders like the double ``v``: its bits, negated for negative numbers."""
+    a = F.abs(v)
+    e = F.coalesce(F.floor(F.log2(a)), F.lit(-1022))        # the logarithm may round across a power of two
+    e = F.least(F.greatest(e, F.lit(-1022)), F.lit(1023)).cast("double")
+    two = F.lit(2.0)
+    e = F.when(F.pow(two, e) > a, F.greatest(e - 1, F.lit(-1022.0))).when(F.pow(two, e + 1) <= a, e + 1).otherwise(e)
+    whole = (e + 1022).cast("bigint") * F.lit(1 << 52) + (a / F.pow(two, e) * float(1 << 52)).cast("bigint")
+    bits = F.when(a == float("inf"), F.lit(2047 << 52)).otherwise(whole)
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+def _at(shift: int) -> Column:
+    return F.shiftright(ordered_bits(F.col("_v")), shift)
+
+
+def _inside(counts: DataFrame, keys: list[str], by: list[str], digit: str) -> DataFrame:
+    """Add the running count before each bucket within what ``keys`` and ``by`` name."""
+    w = Window.partitionBy(*[col(k) for k in keys], *by).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+
+
 def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
                    accuracy: int = DEFAULT_ACCURACY, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Exact quantiles of ``value`` for each group of ``keys``.
 
     ``long_df`` holds ``keys`` and ``value``; missing values are ignored. Returns
-    ``keys + [p, q]`` with one row per group and target.
+    ``keys + [p, q]`` with one row per group and target. Buckets of up to ``20 * accuracy``
+    values are ranked at once; each level cuts a bucket into ``buckets`` (a power of two) parts.
     """
     keys = list(keys)
     ps = [float(p) for p in ps]
-    nt = len(ps)
-    margin = 4.0 / accuracy
-    lo_ps = [max(0.0, p - margin) for p in ps]
-    hi_ps = [min(1.0, p + margin) for p in ps]
+    kc = [col(k) for k in keys]
+    checkpoint_dir(long_df.sparkSession)
     v = F.col("_v")
-    data = long_df.select(*[col(k) for k in keys], col(value).cast("double").alias("_v")) \
-                  .where(v.isNotNull() & ~F.isnan(v))
-
-    small = F.col("_n") < 2 * accuracy
-    stats = (data.groupBy(*keys)
-             .agg(F.count(v).alias("_n"), F.min(v).alias("_mn"), F.max(v).alias("_mx"),
-                  F.percentile_approx(v, lo_ps + hi_ps, accuracy).alias("_b"))
-             .select(*keys, "_n",
-                     F.array(*[F.when(small, F.col("_mn")).otherwise(F.col("_b")[t])
-                               for t in range(nt)]).alias("_lo"),
-                     F.array(*[F.when(small, F.col("_mx")).otherwise(F.col("_b")[nt + t])
-                               for t in range(nt)]).alias("_hi")))
-    # The sketch's bounds can come out differently if the aggregate is recomputed (merge order
-    # of partial sketches), and two branches below depend on them: join_facts writes the table
-    # (one row per group) once with a reliable checkpoint.
-    joined = join_facts(data, stats, keys)
-
-    lo_t, hi_t = F.col("_lo")[F.col("_c._t")], F.col("_hi")[F.col("_c._t")]
-    cls = F.explode(F.array(*[
-        F.struct(F.lit(t).alias("_t"),
-                 (v < F.col("_lo")[t]).alias("_below"),
-                 F.when((v >= F.col("_lo")[t]) & (v <= F.col("_hi")[t]), v).alias("_sv"))
-        for t in range(nt)])).alias("_c")
-    # bucket of a slice value: equal widths over [L, U]; -1 marks the "below" count
-    width = hi_t - lo_t
-    bucket = F.when(F.col("_c._sv").isNull(), F.lit(-1)).otherwise(
-        F.when(width > 0, F.least(F.floor((F.col("_c._sv") - lo_t) / width * buckets),
-                                  F.lit(buckets - 1))).otherwise(F.lit(0))).cast("int")
-    marks = (joined.select(*keys, "_n", cls, bucket.alias("_bk"))
-             .select(*keys, "_n", "_c.*", "_bk")
-             .where(F.col("_below") | F.col("_sv").isNotNull())
-             .groupBy(*keys, "_n", "_t", "_bk", "_sv").agg(F.count(F.lit(1)).alias("_cnt")))
-
-    p_arr = F.array(*[F.lit(p) for p in ps])
-    pos = p_arr[F.col("_t")] * (F.col("_n") - 1)
-    # level 1: counts per bucket (at most buckets + 1 rows per group and target) and the
-    # running count before each bucket; keep the buckets that hold the two target ranks
-    wb = Window.partitionBy(*keys, "_t").orderBy("_bk") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    per_bucket = (marks.groupBy(*keys, "_n", "_t", "_bk").agg(F.sum("_cnt").alias("_bc"))
-                  .withColumn("_bstart", F.sum("_bc").over(wb) - F.col("_bc"))
-                  .where(F.col("_bk") >= 0)
-                  .withColumn("_pos", pos)
-                  .where(((F.col("_bstart") <= F.floor("_pos"))
-                          & (F.floor("_pos") < F.col("_bstart") + F.col("_bc")))
-                         | ((F.col("_bstart") <= F.ceil("_pos"))
-                            & (F.ceil("_pos") < F.col("_bstart") + F.col("_bc"))))
-                  .select(*keys, "_t", "_bk", "_bstart"))
-    # level 2: rank only the values of those buckets (a few per group and target)
-    w = Window.partitionBy(*keys, "_t", "_bk").orderBy("_sv") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (marks.where(F.col("_bk") >= 0).join(per_bucket, keys + ["_t", "_bk"])
-              .withColumn("_p", p_arr[F.col("_t")])
-              .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
-              .withColumn("_rlo", F.floor("_pos"))
-              .withColumn("_rhi", F.ceil("_pos"))
-              .withColumn("_lt", F.col("_bstart") + F.sum("_cnt").over(w) - F.col("_cnt")))
-    hit_lo = (F.col("_lt") <= F.col("_rlo")) & (F.col("_rlo") < F.col("_lt") + F.col("_cnt"))
-    hit_hi = (F.col("_lt") <= F.col("_rhi")) & (F.col("_rhi") < F.col("_lt") + F.col("_cnt"))
-    picked = (ranked.where(hit_lo | hit_hi)
-              .groupBy(*keys, "_t", "_p", "_pos", "_rlo")
-              .agg(F.max(F.when(hit_lo, F.col("_sv"))).alias("_xlo"),
-                   F.max(F.when(hit_hi, F.col("_sv"))).alias("_xhi")))
-    return picked.select(
-        *keys, F.col("_p").alias("p"),
-        (F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * (F.col("_pos") - F.col("_rlo")))
-        .alias("q"))
+    data = long_df.select(*kc, (col(value).cast("double") + 0.0).alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    for k in kc:
+        data = data.where(k.isNotNull())
+    bits = max(1, buckets.bit_length() - 1)
+    shift = 52 - min(bits, 52)
+    facts = [F.count(F.lit(1)).alias("_c"), F.min(v).alias("_mn"), F.max(v).alias("_mx")]
+
+    counts = _inside(data.groupBy(*kc, _at(shift).alias("_d")).agg(*facts), keys, [], "_d") \
+        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*kc)))
+    # both order statistics of each target; a rank falls into one bucket of its group
+    ranks = F.array(*[F.struct(F.lit(t).alias("_t"), F.lit(side).alias("_s"),
+                               fn(F.lit(p) * (F.col("_n") - 1)).cast("bigint").alias("_r"))
+                      for t, p in enumerate(ps) for side, fn in ((0, F.floor), (1, F.ceil))])
+    mine = F.filter(ranks, lambda r: (r["_r"] >= F.col("_before")) & (r["_r"] < F.col("_before") + F.col("_c")))
+    found = counts.select(*kc, "_n", "_d", "_c", "_mn", "_mx", "_before", F.explode(mine).alias("_x")) \
+        .select(*kc, "_n", "_x._t", "_x._s", "_d", "_c", "_mn", "_mx", (F.col("_x._r") - F.col("_before")).alias("_r"))
+    least = F.col("_mn")
+    answer = F.when((least == F.col("_mx")) | (F.col("_r") == 0), least).when(F.col("_r") == F.col("_c") - 1, F.col("_mx"))
+    found = found.withColumn("_a", answer).checkpoint(eager=True)
+    done = found.where(F.col("_a").isNotNull()).select(*kc, "_n", "_t", "_s", "_a")
+    left = found.where(F.col("_a").isNull())
+    while True:
+        most = left.agg(F.max("_c")).first()[0]
+        if most is None:
+            break
+        asked = left.groupBy(*kc).agg(F.collect_set("_d").alias("_want"))    # two for each target at most
+        old = _at(shift)
+        part = join_facts(data, asked, keys).where(F.array_contains("_want", old)).withColumn("_d", old)
+        targets = left.select(*kc, "_n", "_t", "_s", "_d", "_r")
+        if most <= 20 * accuracy:
+            last = _inside(part.groupBy(*kc, "_d", "_v").agg(F.count(F.lit(1)).alias("_c")), keys, ["_d"], "_v")
+            hit = (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))
+            done = done.unionByName(last.join(targets, [*keys, "_d"]).where(hit)
+                                    .select(*kc, "_n", "_t", "_s", F.col("_v").alias("_a")))
+            break
+        shift = max(0, shift - bits)
+        finer = _inside(part.groupBy(*kc, "_d", _at(shift).alias("_e")).agg(*facts), keys, ["_d"], "_e")
+        hit = (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))
+        found = finer.join(targets, [*keys, "_d"]).where(hit) \
+            .select(*kc, "_n", "_t", "_s", F.col("_e").alias("_d"), "_c", "_mn", "_mx", (F.col("_r") - F.col("_before")).alias("_r")) \
+            .withColumn("_a", answer).checkpoint(eager=True)
+        done = done.unionByName(found.where(F.col("_a").isNotNull()).select(*kc, "_n", "_t", "_s", "_a"))
+        left = found.where(F.col("_a").isNull())
+
+    both = done.groupBy(*kc, "_n", "_t").agg(F.max(F.when(F.col("_s") == 0, F.col("_a"))).alias("_lo"),
+                                             F.max(F.when(F.col("_s") == 1, F.col("_a"))).alias("_hi"))
+    p = F.array(*[F.lit(x) for x in ps])[F.col("_t")]
+    pos = p * (F.col("_n") - 1)
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))
+    return both.select(*kc, p.alias("p"), F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(q).alias("q"))
 
 
 def stack_columns(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
