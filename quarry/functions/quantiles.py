@@ -4,11 +4,12 @@ Spark's exact ``percentile`` merges a map of every distinct value of a group in
 column of 10^12 distinct doubles that does not fit. Here each value has an order-preserving whole
 number, the bits of the double (``ordered_bits``), and selection goes down its digits:
 
-1. values are counted by group and by sign, exponent and the first bits of the mantissa, with the
-   least and greatest value of each bucket; running counts over a group's buckets place each
-   target rank in one of them;
+1. values are counted by group and by sign and scaled logarithm, which grows with the value and is
+   cheap, with the least and greatest value of each bucket; running counts over a group's buckets
+   place each target rank in one of them;
 2. a rank whose bucket holds one distinct value, or that asks for the bucket's least or greatest
-   one, is answered; the others' buckets are counted by the next bits, until each holds few values;
+   one, is answered; large buckets of the others are counted by the bits of the mantissa, some at
+   a time, until each holds few values;
 3. the values of what is left are counted by value and ranked.
 
 Counts are summed map-side, so a hot group or a hot value is a few rows of the shuffle. No task
@@ -62,8 +63,19 @@ def ordered_bits(v: Column) -> Column:
     return F.when(v < 0, -bits).otherwise(bits)
 
 
-def _at(shift: int) -> Column:
-    return F.shiftright(ordered_bits(F.col("_v")), shift)
+def _coarse(parts: int) -> Column:
+    """A whole number that grows with the value: its sign and logarithm, ``parts`` for each power of
+    two. Java's logarithm never falls where its argument grows."""
+    v = F.col("_v")
+    a = F.abs(v)
+    size = F.when(a == float("inf"), F.lit(2048)).otherwise(F.coalesce(F.log2(a), F.lit(-1075.0)) + 1075.0)
+    return F.floor(F.when(v < 0, -1.0 - size).otherwise(size) * parts)
+
+
+def _digit(parts: int, shift: int | None) -> Column:
+    """The bucket of a value: by its logarithm, and below that by its bits down to ``shift``."""
+    low = F.lit(0).cast("bigint") if shift is None else F.shiftright(ordered_bits(F.col("_v")), shift)
+    return F.struct(_coarse(parts).alias("log"), low.alias("bits"))
 
 
 def _inside(counts: DataFrame, keys: list[str], by: list[str], digit: str) -> DataFrame:
@@ -89,10 +101,10 @@ def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequ
     for k in kc:
         data = data.where(k.isNotNull())
     bits = max(1, buckets.bit_length() - 1)
-    shift = 52 - min(bits, 52)
+    shift = None
     facts = [F.count(F.lit(1)).alias("_c"), F.min(v).alias("_mn"), F.max(v).alias("_mx")]
 
-    counts = _inside(data.groupBy(*kc, _at(shift).alias("_d")).agg(*facts), keys, [], "_d") \
+    counts = _inside(data.groupBy(*kc, _digit(buckets, shift).alias("_d")).agg(*facts), keys, [], "_d") \
         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*kc)))
     # both order statistics of each target; a rank falls into one bucket of its group
     ranks = F.array(*[F.struct(F.lit(t).alias("_t"), F.lit(side).alias("_s"),
@@ -111,8 +123,7 @@ def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequ
         if most is None:
             break
         asked = left.groupBy(*kc).agg(F.collect_set("_d").alias("_want"))    # two for each target at most
-        old = _at(shift)
-        part = join_facts(data, asked, keys).where(F.array_contains("_want", old)).withColumn("_d", old)
+        part = join_facts(data, asked, keys).withColumn("_d", _digit(buckets, shift)).where(F.array_contains("_want", F.col("_d")))
         targets = left.select(*kc, "_n", "_t", "_s", "_d", "_r")
         if most <= 20 * accuracy:
             last = _inside(part.groupBy(*kc, "_d", "_v").agg(F.count(F.lit(1)).alias("_c")), keys, ["_d"], "_v")
@@ -120,8 +131,8 @@ def quantiles_long(long_df: DataFrame, keys: Sequence[str], value: str, ps: Sequ
             done = done.unionByName(last.join(targets, [*keys, "_d"]).where(hit)
                                     .select(*kc, "_n", "_t", "_s", F.col("_v").alias("_a")))
             break
-        shift = max(0, shift - bits)
-        finer = _inside(part.groupBy(*kc, "_d", _at(shift).alias("_e")).agg(*facts), keys, ["_d"], "_e")
+        shift = max(0, (52 if shift is None else shift) - bits)
+        finer = _inside(part.groupBy(*kc, "_d", _digit(buckets, shift).alias("_e")).agg(*facts), keys, ["_d"], "_e")
         hit = (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))
         found = finer.join(targets, [*keys, "_d"]).where(hit) \
             .select(*kc, "_n", "_t", "_s", F.col("_e").alias("_d"), "_c", "_mn", "_mx", (F.col("_r") - F.col("_before")).alias("_r")) \
