@@ -15,9 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import NUMERIC_TYPES, check_columns, col, nan_to_null, row_hash
+from quarry.functions.exprs import NUMERIC_TYPES, check_columns, col, free_names, nan_to_null, row_hash
 from quarry.functions.quantiles import join_facts, quantiles_long
 
+POINT_PARTS = 64        # parts of a colour that are ranked on their own first
+
 
 def _bin(x: Column, lo: Column, w: Column, bins: int) -> Column:
     return F.when(w > 0, F.least(F.floor((x - lo) / w), F.lit(bins - 1))).otherwise(0) \
@@ -167,8 +169,9 @@ def points(df: DataFrame, cols: Sequence[str], color: str | None = None,
     """Raw points for scatter / strip / pair / 3-D / parallel / rug charts: all rows.
 
     With ``max_points`` a sample: each colour group keeps at most that many rows, the first by a
-    seeded hash of ``key`` (all columns by default), so the sample repeats exactly. Every task
-    keeps that many rows of a group before the shuffle.
+    seeded hash of ``key`` (all columns by default), so the sample repeats exactly. The rows of a
+    colour are first ranked in ``POINT_PARTS`` parts, whatever ``max_points`` is, and the firsts of
+    the parts then together, so no task gets a whole colour.
     """
     cols = list(cols)
     check_columns(df, cols + [color])
@@ -179,8 +182,9 @@ def points(df: DataFrame, cols: Sequence[str], color: str | None = None,
     u = row_hash(seed, keycols)
     if not color:
         return df.orderBy(u, *keycols).limit(max_points).select(*out_cols)
-    w = Window.partitionBy(col(color)).orderBy(u, *keycols)
-    place = "_place"
-    while place in df.columns:
-        place = "_" + place
-    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) <= max_points).select(*out_cols)
+    place, part = free_names(df, "place", "part")
+    out = df.withColumn(part, F.monotonically_increasing_id() % POINT_PARTS)
+    for by in ([col(color), part], [col(color)]):
+        w = Window.partitionBy(*by).orderBy(u, *keycols)
+        out = out.withColumn(place, F.row_number().over(w)).where(F.col(place) <= max_points)
+    return out.select(*out_cols)

@@ -39,7 +39,8 @@ def cast_column(df: DataFrame, c: str, new_type: str, formats: Sequence[str] = (
 
     ``int64`` refuses values with a fraction (pandas raises "cannot safely cast") unless
     ``allow_fraction`` truncates them; that check is one ``count_if`` job. ``datetime``
-    tries ISO first, then each of ``formats``. ``str`` keeps missing as NULL.
+    tries ISO first, then each of ``formats``; a time of day alone has no date and becomes NULL
+    unless a format takes it. ``str`` keeps missing as NULL.
     """
     check_columns(df, [c])
     if new_type not in CAST_TYPES:
@@ -47,9 +48,8 @@ def cast_column(df: DataFrame, c: str, new_type: str, formats: Sequence[str] = (
     x = col(c)
     if new_type == "datetime":
         s = x.cast("string")
-        out = F.coalesce(F.try_to_timestamp(s),
-                         *[F.try_to_timestamp(s, F.lit(f)) for f in formats]) \
-            if formats else F.try_to_timestamp(s)
+        iso = F.when(~s.rlike(r"^\s*T?\d{1,2}:"), F.try_to_timestamp(s))
+        out = F.coalesce(iso, *[F.try_to_timestamp(s, F.lit(f)) for f in formats]) if formats else iso
     elif new_type == "int64":
         if not allow_fraction:
             d = x.cast("string").try_cast("double")

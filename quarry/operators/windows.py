@@ -261,3 +261,21 @@ def area_stack(df: DataFrame, x: str, y: str, color: str) -> DataFrame:
     g = group_agg(df, x, y, "sum", color)
     w = Window.partitionBy(col(x)).orderBy(col(color)).rowsBetween(Window.unboundedPreceding, 0)
     return g.withColumn("stacked", F.sum(col(y)).over(w))
+
+
+@nan_as_missing
+def area_rows(df: DataFrame, x: str, y: str, color: str) -> DataFrame:
+    """Every row of a stacked-area chart, by x and colour, with ``stacked``: the row's y on top of
+    all y of the colours before its own at this x (a missing y is drawn at no height).
+
+    Only one row per x and colour enters the window; the heights come back by a join whose skewed
+    partitions Spark splits."""
+    check_columns(df, [x, y, color])
+    under, kx, kc, total = free_names(df, "under", "x", "c", "total")
+    w = Window.partitionBy(kx).orderBy(kc).rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(col(x).alias(kx), col(color).alias(kc)).agg(F.sum(col(y)).alias(total)) \
+        .withColumn(under, F.sum(total).over(w)).drop(total)
+    same = col(x).eqNullSafe(F.col(kx)) & col(color).eqNullSafe(F.col(kc))
+    rows = df.select(*dict.fromkeys([x, color, y])).join(base, same)
+    out = [col(c) for c in dict.fromkeys([x, color, y])]
+    return rows.select(*out, (col(y) + F.coalesce(under, F.lit(0))).alias("stacked")).orderBy(col(x), col(color))

@@ -160,17 +160,19 @@ _chart("bar_top_n", "part", _spec("Bar", "p_brand", "p_retailprice", top=7),
        "SELECT p_brand, round(sum(p_retailprice), 2) AS p_retailprice FROM part GROUP BY p_brand "
        "ORDER BY 2 DESC, 1 LIMIT 7", {"p_retailprice": 2})
 _chart("line", "orders", _spec("Line", "o_orderdate", "o_totalprice", agg="mean"),
-       "SELECT o_orderdate, round(avg(o_totalprice), 8) AS o_totalprice FROM orders GROUP BY o_orderdate",
-       {"o_totalprice": 8})
+       "SELECT o_orderdate, o_totalprice FROM orders")
 _chart("line_color", "orders", _spec("Line Chart", "o_orderdate", "o_totalprice", "o_orderstatus", "max"),
-       "SELECT o_orderdate, o_orderstatus, max(o_totalprice) AS o_totalprice FROM orders GROUP BY ALL")
+       "SELECT o_orderdate, o_orderstatus, o_totalprice FROM orders")
+_chart("line_top_n", "orders", _spec("Line", "o_orderdate", "o_totalprice", agg="mean", top=12),
+       "SELECT o_orderdate, round(avg(o_totalprice), 8) AS o_totalprice FROM orders GROUP BY o_orderdate "
+       "ORDER BY avg(o_totalprice) DESC, o_orderdate LIMIT 12", {"o_totalprice": 8})
 _chart("area", "orders", _spec("Area", "o_orderdate", "o_totalprice"),
-       "SELECT o_orderdate, round(sum(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY o_orderdate",
-       {"o_totalprice": 2})
+       "SELECT o_orderdate, o_totalprice FROM orders")
 _chart("area_color", "orders", _spec("Area Chart", "o_orderdate", "o_totalprice", "o_orderstatus"),
-       "SELECT o_orderdate, o_orderstatus, round(v, 2) AS o_totalprice, round(sum(v) OVER (PARTITION BY "
-       "o_orderdate ORDER BY o_orderstatus), 2) AS stacked FROM (SELECT o_orderdate, o_orderstatus, "
-       "sum(o_totalprice) AS v FROM orders GROUP BY ALL)", {"o_totalprice": 2, "stacked": 2})
+       "SELECT o_orderdate, o_orderstatus, o_totalprice, round(o_totalprice + coalesce(under, 0), 2) AS stacked FROM orders "
+       "JOIN (SELECT o_orderdate, o_orderstatus, sum(v) OVER (PARTITION BY o_orderdate ORDER BY o_orderstatus "
+       "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS under FROM (SELECT o_orderdate, o_orderstatus, "
+       "sum(o_totalprice) AS v FROM orders GROUP BY ALL)) USING (o_orderdate, o_orderstatus)", {"stacked": 2})
 
 
 def _pie_sql(limit: str) -> str:

@@ -80,14 +80,14 @@ def run_spec(df: DataFrame, spec: ChartSpec | dict, max_points: int | None = Non
     if kind == "line":
         if y is None:
             raise ValueError("a line chart needs y_col")
-        g = A.group_agg(df, x, y, agg, c)
-        if n:
-            return g.orderBy(F.desc(y), col(x)).limit(n)
-        return g.orderBy(col(x), *([col(c)] if c else []))
+        # every row; only a top-N is aggregated
+        return A.top_n(df, x, y, agg, n).orderBy(col(x)) if n else A.line(df, x, y, c)
     if kind == "area":
         if y is None:
             raise ValueError("an area chart needs y_col")
-        return W.area_stack(df, x, y, c) if c else A.line(df, x, y, agg="sum")
+        if n:
+            return A.top_n(df, x, y, agg, n).orderBy(col(x))
+        return W.area_rows(df, x, y, c) if c else A.line(df, x, y)
     if kind == "pie":
         if y is not None:
             g = A.group_agg(df, x, y, agg).orderBy(F.desc(y), col(x))
