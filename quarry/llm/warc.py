@@ -9,12 +9,16 @@ back at the offsets of the merged index.
 A payload that others share is written once, as the response of the smallest id; the others are
 revisits that refer to it. Who refers to whom is found on (id, digest) rows alone.
 
+Records have the fields that the standard demands of their type: record ids made of file and
+place, dates, target URIs, the HTTP head before a payload (a revisit has the head alone) and a
+revisit's profile. Page ids are in fields of their own.
+
 Files are written under another name and moved when whole, and a repeated task writes the same
 file again, so lost executors do no harm.
 
 Defined cases: a null html is an empty payload; null URLs sort first; null ids refer to the
 smallest id of their payload; repeated rows are a record each; an empty table gives an empty
-result; further columns are ignored.
+result; further columns are ignored. A page without a URL has the target ``urn:page:`` and its id.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ import gzip
 import hashlib
 import itertools
 import re
+import time
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -35,6 +41,9 @@ from quarry.llm.common import fs_path, scratch, stored
 
 ENTRY = "file string, offset bigint, length bigint, url_key string, ts bigint, id bigint"
 RANGE_ROWS = 50_000
+# Fixed value: the standard's name of a revisit with the same payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+PAGE, REFERS = "X-Page-ID", "X-Refers-To-Page-ID"       # page ids, in fields of their own
 
 
 def url_key(url: str | None) -> str:
@@ -86,8 +95,18 @@ def _record(kind: str, headers: list[tuple[str, str]], body: bytes) -> bytes:
     return gzip.compress(f"WARC/1.1\r\n{head}\r\n".encode() + body + b"\r\n\r\n", 4, mtime=0)
 
 
+def _date(ts: int) -> str:
+    """Seconds since 1970 as the standard writes times; others than of the years 1970 to 9999 are cut to them."""
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(min(max(ts, 0), 253_402_300_799)))
+
+
+def _record_id(*what) -> str:
+    """The same for the same record however often its task runs."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '/'.join(map(str, what)))}>"
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and body of one record."""
+    """Headers and block of one record."""
     raw = zlib.decompress(data, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
@@ -134,18 +153,21 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
             for r in batch.to_pylist():
                 if out is None:
                     out = fs.open_output_stream(part)
-                    info = _record("warcinfo", [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+                    info = _record("warcinfo", [
+                        ("WARC-Record-ID", _record_id(folder, name)), ("WARC-Date", _date(r["ts"] or 0)), ("WARC-Filename", name),
+                        ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                     out.write(info)
                     at = len(info)
-                who = lambda i: f"<urn:page:{'' if i is None else i}>"
                 date = r["ts"] or 0
-                heads = [("WARC-Record-ID", who(r["id"])), ("WARC-Target-URI", _clean(r["url"])), ("WARC-Timestamp", str(date)),
+                heads = [("WARC-Record-ID", _record_id(folder, name, at)), ("WARC-Date", _date(date)),
+                         ("WARC-Target-URI", _clean(r["url"]) or f"urn:page:{r['id']}"),
                          ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(r["sha"])).decode()),
-                         ("WARC-Payload-Length", str(r["size"]))]
+                         ("Content-Type", "application/http; msgtype=response"), (PAGE, "" if r["id"] is None else str(r["id"]))]
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r['size']}\r\n\r\n".encode()
                 if r["body"] is None:
-                    data = _record("revisit", [*heads, ("WARC-Refers-To", who(r["refers"]))], b"")
+                    data = _record("revisit", [*heads, ("WARC-Profile", PROFILE), (REFERS, str(r["refers"]))], http)
                 else:
-                    data = _record("response", heads, r["body"])
+                    data = _record("response", heads, http + r["body"])
                 out.write(data)
                 entries.append((url_key(r["url"]), date, r["id"], name, at, len(data)))
                 at += len(data)
@@ -199,16 +221,17 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                         file.close()
                     name, file = f, fs.open_input_file(f"{path}/{f}")
                 head, body = parse(file.read_at(n, o))
-                num = lambda k: int(head[k][10:-1]) if len(head.get(k, "")) > 11 else None
+                num = lambda k: int(head[k]) if head.get(k) else None
                 kind = head["WARC-Type"]
                 digest = head["WARC-Payload-Digest"][5:]
+                http, _, body = body.partition(b"\r\n\r\n")
                 if kind == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                     raise ValueError(f"payload of {head['WARC-Record-ID']} does not match its digest")
-                out["page_id"].append(num("WARC-Record-ID"))
-                out["payload_bytes"].append(len(body) if kind == "response" else int(head["WARC-Payload-Length"]))
+                out["page_id"].append(num(PAGE))
+                out["payload_bytes"].append(len(body) if kind == "response" else int(http.rpartition(b" ")[2]))
                 out["payload_digest"].append(digest)
                 out["record_type"].append(kind)
-                out["refers_to"].append(num("WARC-Refers-To"))
+                out["refers_to"].append(num(REFERS))
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(out.values(), types)] + [b.column(c) for c in ("url_key", "ts", "part", "pos")],
