@@ -9,6 +9,9 @@ A verdict depends on host and fetch time alone, so captures are first reduced to
 (aggregated before the shuffle: a hot host costs one row for each time); verdicts are joined
 back on small rows.
 
+Hosts and patterns are compared in lower case and without a final dot; an IP address is covered by
+itself alone.
+
 Defined cases: URLs without a host, null URLs and null times have the verdict "none"; entries
 with a null field are left out; of entries at one time "remove" counts; repeated rows are judged
 each; an empty table gives an empty result; clashing columns of the captures are kept, the new
@@ -25,20 +28,26 @@ from quarry.llm.common import fresh
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+def plain_host(host: Column) -> Column:
+    """Lower case, without blanks around and the root's final dot."""
+    return F.regexp_replace(F.lower(F.trim(host)), r"[.]$", "")
+
+
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+    return plain_host(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
 def covering(host: Column) -> Column:
-    """The host and its parent domains of two labels or more."""
+    """The host and its parent domains of two labels or more; an IP address has no parents."""
     labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
-                       lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
+                          lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(F.regexp_like(host, F.lit(r"^[0-9]+([.][0-9]+){3}$")), F.array(host)).otherwise(parents)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, start, end) of entries (pattern, action, op, at); end is null if open."""
-    good = entries.dropna(subset=["pattern", "action", "op", "at"])
+    good = entries.dropna(subset=["pattern", "action", "op", "at"]).withColumn("pattern", plain_host(F.col("pattern")))
     last = good.groupBy("pattern", "action", "at").agg(F.max(F.col("op") == "remove").alias("gone"))
     w = Window.partitionBy("pattern", "action").orderBy("at")
     return last.withColumn("end", F.lead("at").over(w)).where(~F.col("gone")) \

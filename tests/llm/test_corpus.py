@@ -1,6 +1,7 @@
 """Corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows,
 empty tables and clashing extra columns."""
 
+import base64
 import hashlib
 import itertools
 import random
@@ -11,12 +12,13 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quarry.llm import encoder, jaccard, mixing, packing, pii, quality, secret_scan, tokens, topk, url_lists, warc
-from quarry.llm.common import scratch
+from quarry.llm.common import fs_path, scratch
 from quarry.llm.queries import OTHER, TOKENIZER, WEIGHTS
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, _h int, _cut int"
@@ -419,6 +421,15 @@ def test_url_lists_as_of(spark):
     assert url_lists.judge(caps, ents.limit(0)).where("list_verdict <> 'none'").count() == 0
 
 
+def test_url_lists_compare_plain_hosts(spark):
+    caps = spark.createDataFrame([(1, "http://www.Example.com./a", 1), (2, "http://1.2.3.4/", 1), (3, "http://x.3.4/", 1),
+                                  (4, "http://b.org/" + "p" * 100_000, 1), (5, "http://./", 1)], "page_id int, url string, at int")
+    ents = spark.createDataFrame([("Example.COM", "block", "add", 0), ("3.4", "block", "add", 0), ("B.org.", "allow", "add", 0),
+                                  ("b.ORG", "allow", "remove", 9), ("1.2.3.4", "allow", "add", 0)], "pattern string, action string, op string, at int")
+    got = [(r.page_id, r.list_pattern, r.list_verdict, r.list_active) for r in url_lists.judge(caps, ents).orderBy("page_id").collect()]
+    assert got == [(1, "example.com", "block", 1), (2, "1.2.3.4", "allow", 1), (3, "3.4", "block", 1), (4, "b.org", "allow", 1), (5, None, "none", 0)]
+
+
 # ---- search
 
 def test_top_k(spark, monkeypatch):
@@ -472,3 +483,41 @@ def test_warc_round_trip(spark):
     order = [(r.url_key, r.ts) for r in sorted(got, key=lambda r: (r.part, r.pos))]
     assert order == sorted(order)
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_records_are_standard(spark):
+    """Every record of the files, read one gzip member after another, has its type's mandatory fields."""
+    rows = [(i, f"http://h{i}.org/", "same" if i % 2 else f"<p>{i}</p>") for i in range(1, 9)] + [(3, "http://h3.org/", "same"), (None, None, None)]
+    folder = scratch(spark, "warc")
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2), folder, ts=F.lit(1_700_000_000))
+    fs, path = fs_path(folder)
+    ids, kinds = [], {}
+    for info in fs.get_file_info(FileSelector(path)):
+        if not info.path.endswith(".warc.gz"):
+            continue
+        data, first = fs.open_input_file(info.path).read(), True
+        while data:
+            member = zlib.decompressobj(31)
+            raw = member.decompress(data)
+            data = member.unused_data
+            assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
+            head, block = raw.split(b"\r\n\r\n", 1)
+            h = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert int(h["Content-Length"]) == len(block) - 4 and re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", h["WARC-Record-ID"])
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"])
+            ids.append(h["WARC-Record-ID"])
+            kind = h["WARC-Type"]
+            kinds[kind] = kinds.get(kind, 0) + 1
+            assert (kind == "warcinfo") == first
+            first = False
+            if kind == "warcinfo":
+                assert h["Content-Type"] == "application/warc-fields" and h["WARC-Filename"]
+            else:
+                assert re.match("[a-z]+:.", h["WARC-Target-URI"]) and h["Content-Type"] == "application/http; msgtype=response"
+                http, _, payload = block[:-4].partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200 OK\r\n")
+                if kind == "revisit":
+                    assert h["WARC-Profile"].endswith("/identical-payload-digest") and not payload
+                else:
+                    assert h["WARC-Payload-Digest"][5:] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    assert len(set(ids)) == len(ids) and kinds["response"] + kinds["revisit"] == len(rows) and kinds["revisit"] == 4
