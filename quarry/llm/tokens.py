@@ -4,8 +4,9 @@ Token files hold 16-bit ids, documents one after another, each closed by a separ
 says where a document starts. Files of a stream follow each other, and documents run across
 them. The scan reads blocks of fixed size in any order, finds the separators of a block at once,
 and keeps per block the number of separators, the tokens before the first and after the last,
-and the counts in between. A prefix scan over these block rows gives each block its first
-document's number and the tokens carried into it, which stitches documents across blocks.
+and the counts in between. A prefix scan over these block rows (without the counts in between, in
+two levels) gives each block its first document's number and the tokens carried into it, which
+stitches documents across blocks.
 
 Files are written under another name and moved when whole; a repeated task writes the same again.
 
@@ -28,6 +29,7 @@ from quarry.llm.encoder import encoder
 WIDTH = 2
 FILE_TOKENS = 4_000_000
 BLOCK_TOKENS = 500_000
+RUN_BLOCKS = 1024
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, separator: int, id_col: str = "doc_id",
@@ -104,15 +106,28 @@ def scan(spark: SparkSession, folder: str, separator: int) -> DataFrame:
 
     got = stored(blocks.mapInArrow(look, "stream int, file int, block bigint, tokens bigint, seps bigint, head bigint, "
                                          "tail bigint, between array<bigint>"), "blocks")
-    w = Window.partitionBy("stream").orderBy("file", "block")
+    # In two levels over narrow rows: within runs of a file's blocks, and over one row for each run.
+    key = ["stream", "file", "run"]
+    w = Window.partitionBy(*key).orderBy("block")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("stream")
-    # Where the last separator before the block ends, in tokens from the stream's start.
-    got = got.withColumn("end", F.sum("tokens").over(w)) \
-        .withColumn("last", F.when(F.col("seps") > 0, F.col("end") - F.col("tail"))) \
-        .withColumn("first", F.coalesce(F.sum("seps").over(before), F.lit(0))) \
-        .withColumn("carry", F.col("end") - F.col("tokens") - F.coalesce(F.max("last").over(before), F.lit(0))) \
-        .withColumn("final", F.col("end") == F.max("end").over(whole))
+    rows = got.drop("between").withColumn("run", F.floor(F.col("block") / RUN_BLOCKS)) \
+        .withColumn("upto", F.sum("tokens").over(w)) \
+        .withColumn("last", F.when(F.col("seps") > 0, F.col("upto") - F.col("tail"))) \
+        .withColumn("seen", F.coalesce(F.sum("seps").over(before), F.lit(0))) \
+        .withColumn("cut", F.max("last").over(before))
+    w = Window.partitionBy("stream").orderBy("file", "run")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(*key).agg(F.sum("tokens").alias("t"), F.sum("seps").alias("s"), F.max("last").alias("l")) \
+        .withColumn("base", F.coalesce(F.sum("t").over(before), F.lit(0))) \
+        .withColumn("seps0", F.coalesce(F.sum("s").over(before), F.lit(0))) \
+        .withColumn("cut0", F.max(F.col("base") + F.col("l")).over(before)) \
+        .withColumn("whole", F.sum("t").over(Window.partitionBy("stream"))).drop("t", "s", "l")
+    # Where the block ends, in tokens from the stream's start, and what runs into it since the last separator.
+    rows = rows.join(runs, key).select(
+        "stream", "file", "block", (F.col("seps0") + F.col("seen")).alias("first"),
+        (F.col("base") + F.col("upto") - F.col("tokens") - F.coalesce(F.col("base") + F.col("cut"), F.col("cut0"), F.lit(0))).alias("carry"),
+        (F.col("base") + F.col("upto") == F.col("whole")).alias("final"))
+    got = got.join(rows, ["stream", "file", "block"])
     inside = F.when(F.col("seps") > 0, F.concat(F.array(F.col("carry") + F.col("head")), F.col("between"))) \
         .otherwise(F.array().cast("array<bigint>"))
     closed = got.select("stream", "first", F.posexplode(inside).alias("i", "n_tokens")) \

@@ -364,6 +364,21 @@ def test_token_scan_of_files_not_ours(spark, tmp_path):
     assert got == [(3, 0, 2, True), (3, 1, 0, True), (3, 2, 4, True), (3, 3, 1, False)]
 
 
+def test_token_scan_of_one_large_stream(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_TOKENS", 7)
+    monkeypatch.setattr(tokens, "RUN_BLOCKS", 3)
+    gen = random.Random(2)
+    ids = [gen.choice([9, 1, 2, 3, 4]) if i % 400 < 250 else 5 for i in range(5000)]
+    cuts = [0, 1300, 1301, 1301, 4000, 5000]
+    for k, (a, z) in enumerate(itertools.pairwise(cuts)):
+        (tmp_path / f"stream-000001-{k:06d}.bin").write_bytes(np.asarray(ids[a:z], "<u2").tobytes())
+    ends = [-1, *[i for i, x in enumerate(ids) if x == 9]]
+    want = [(1, k, z - a - 1, True) for k, (a, z) in enumerate(itertools.pairwise(ends))]
+    if ends[-1] < len(ids) - 1:
+        want.append((1, len(want), len(ids) - 1 - ends[-1], False))
+    assert sorted(map(tuple, tokens.scan(spark, f"file://{tmp_path}", 9).collect())) == want
+
+
 # ---- personal data
 
 def test_pii_base_spans(docs, none):
