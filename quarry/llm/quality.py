@@ -1,18 +1,21 @@
 """Quality rules: robust multivariate outliers.
 
 Each text becomes a vector of transformed statistics (word length, symbols, repeated lines,
-repeated words). Per language and source, a minimum-covariance-determinant estimate gives centre
-and scatter of the regular texts; a text whose Mahalanobis distance exceeds the cut-off is
-rejected, beside those that fail the two fixed base rules.
+repeated words). Minimum-covariance-determinant estimates give centre and scatter of the regular
+texts, per language and source, per language, and of all. A language's estimate is drawn towards
+that of all texts, and a source's towards its language's, by the weight of ``prior`` texts: the
+share of a group's own estimate grows with its size, n / (n + prior), and there is no size at which
+the rule changes. A text whose Mahalanobis distance exceeds the cut-off is rejected, beside those
+that fail the two fixed base rules.
 
 Everything is DataFrame expressions. The texts are read once; the estimates then work on a table
 of distinct integer vectors with their counts, so a hot source is one small set of counted
 vectors, and all sums are sums of integers (equal in any order of rows).
 
 Defined cases: a null or empty text has no words and fails; null languages or sources are groups
-of their own; groups under ``min_rows`` texts are pooled by language, then all together, and
-with fewer still the outlier rule keeps everything; repeated rows are judged alike, each row
-once; an empty table gives an empty result; further columns are ignored.
+of their own; a group of few texts, also a language, is judged mostly by the wider estimate, a lone
+text by that of all; repeated rows are judged alike, each row once; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +25,21 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, small, stored, text_of, words
+from quarry.llm.common import BROADCAST_ROWS, SPACES, small, stored, text_of, words
 
 SCALE = 256                       # statistics are held as integers of 1/256
 DIMS = ("x1", "x2", "x3", "x4")
+PAIRS = [(i, j) for j in range(len(DIMS)) for i in range(j, len(DIMS))]
 # Spread taken where the estimate has less, against singular matrices (most texts hold no symbol or
-# repetition at all): one unit of x1; one symbol, line or window more in an ordinary text.
-FLOOR = (1 / SCALE, 0.02, 0.1, 0.1)
+# repetition at all): one unit of x1; one symbol in 2500 characters; one repeated line among 25; one
+# repeated window (ten words) in 300. x3 and x4 are plain shares, as a root would make one repeat
+# in an ordinary text nearly as much as a fifth of all words.
+FLOOR = (1 / SCALE, 0.02, 1 / 35, 1 / 35)
 SUPPORT = 0.75                    # share of rows in the covered half-sample
 TAIL = 1e-6                       # chi-square tail beyond which a text is an outlier
 PRIOR = 50                        # words of ordinary prose mixed in, which steadies short texts
+STEPS = 8                         # concentration steps, at most
+PRIOR_TEXTS = 100                 # texts that the wider estimate stands for in a narrower one
 
 
 def _chi2_cdf(x: float, dof: int) -> float:
@@ -84,13 +92,13 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
 def _vector() -> list[Column]:
     n, c = F.col("n_words"), F.col("word_chars")
     xs = (F.log((c + 5 * PRIOR) / (n + PRIOR)), F.sqrt(F.col("n_symbols") / (c + 5 * PRIOR)),
-          F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 10)),
-          F.sqrt(F.col("n_repeat_words") / (n + PRIOR)))
+          F.col("n_dup_lines") / (F.col("n_lines") + 10), F.col("n_repeat_words") / (n + PRIOR))
     return [F.round(x * SCALE).cast("long").alias(d) for x, d in zip(xs, DIMS)]
 
 
 def _cholesky(est: DataFrame) -> DataFrame:
-    """Lower factor l_ij of the covariance c_ij (i >= j); a variance left over below the floor is raised to it."""
+    """Add the lower factor l_ij of the covariance c_ij (i >= j), a variance left over below the floor
+    being raised to it, and logdet."""
     p = len(DIMS)
     for j in range(p):
         for i in range(j, p):
@@ -99,11 +107,7 @@ def _cholesky(est: DataFrame) -> DataFrame:
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             v = F.sqrt(F.greatest(v, F.lit((FLOOR[i] * SCALE) ** 2))) if i == j else v / F.col(f"l{j}{j}")
             est = est.withColumn(f"l{i}{j}", v)
-    p_all = [f"l{i}{j}" for j in range(p) for i in range(j, p)]
-    det = F.lit(0.0)
-    for i in range(p):
-        det = det + F.log(f"l{i}{i}")
-    return est.select("g", "start", *[f"m{i}" for i in range(p)], *p_all, det.alias("logdet"))
+    return est.withColumn("logdet", sum((F.log(f"l{i}{i}") for i in range(1, p)), F.log("l00")))
 
 
 def _distance() -> Column:
@@ -117,33 +121,35 @@ def _distance() -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def _moments(v: DataFrame) -> DataFrame:
-    """Mean and covariance of counted integer vectors, per group and start."""
-    p, w = len(DIMS), F.col("n")
-    wide = F.lit(1).cast("decimal(20,0)")
-    sums = [F.sum(w).alias("s")]
-    sums += [F.sum(F.col(d) * w * wide).cast("double").alias(f"s{i}") for i, d in enumerate(DIMS)]
-    sums += [F.sum(F.col(DIMS[i]) * F.col(DIMS[j]) * w * wide).cast("double").alias(f"s{i}{j}")
-             for j in range(p) for i in range(j, p)]
-    a = v.groupBy("g", "start").agg(*sums)
-    m = {i: F.col(f"s{i}") / F.col("s") for i in range(p)}
-    return a.select("g", "start", *[m[i].alias(f"m{i}") for i in range(p)],
-                    *[(F.col(f"s{i}{j}") / F.col("s") - m[i] * m[j]).alias(f"c{i}{j}")
-                      for j in range(p) for i in range(j, p)])
+def _sums(v: DataFrame, *by: str) -> DataFrame:
+    """Counts, sums s_i and sums of products s_ij of counted integer vectors (statistics are below
+    5000 units, so 64 bits hold the sums of 3e11 texts; beyond, Spark raises)."""
+    w = F.col("n")
+    return v.groupBy("g", "start", *by).agg(
+        F.sum(w).alias("s"), *[F.sum(F.col(d) * w).alias(f"s{i}") for i, d in enumerate(DIMS)],
+        *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j]) * w).alias(f"s{i}{j}") for i, j in PAIRS])
 
 
-def estimates(vectors: DataFrame, steps: int = 6) -> DataFrame:
-    """Minimum-covariance-determinant estimate per group g of counted vectors (g, x1.., n).
+def _moments(sums: DataFrame) -> DataFrame:
+    """Mean and covariance per group and start."""
+    s, m = F.col("s"), {i: F.col(f"s{i}").cast("double") / F.col("s") for i in range(len(DIMS))}
+    return sums.select("g", "start", *[m[i].alias(f"m{i}") for i in m],
+                       *[(F.col(f"s{i}{j}").cast("double") / s - m[i] * m[j]).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Minimum-covariance-determinant estimate (m_i, c_ij) per group g of counted vectors (g, x1.., n).
 
     Two deterministic starts (median and median deviation; mean and covariance) are improved by
     concentration steps: each keeps the SUPPORT share of rows nearest to the present estimate
-    and estimates again from those. The start that ends with the smaller determinant wins.
+    and estimates again from those, until none changes or ``steps`` are done. The start that ends with the smaller
+    determinant wins.
     """
     p = len(DIMS)
     off = [F.lit(0.0).alias(f"c{i}{j}") for j in range(p) for i in range(j + 1, p)]
     # Statistics are integers of a bounded range: the exact percentile keeps a bounded count map.
-    med = vectors.groupBy("g").agg(*[F.percentile(d, F.lit(0.5), F.col("n")).alias(f"m{i}")
-                                     for i, d in enumerate(DIMS)])
+    med = stored(vectors.groupBy("g").agg(*[F.percentile(d, F.lit(0.5), F.col("n")).alias(f"m{i}")
+                                            for i, d in enumerate(DIMS)]), "medians")
     dev = vectors.join(small(med), "g")
     mad = dev.groupBy("g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
@@ -151,27 +157,47 @@ def estimates(vectors: DataFrame, steps: int = 6) -> DataFrame:
           .alias(f"c{i}{i}") for i, d in enumerate(DIMS)])
     first = mad.select("g", F.lit(0).alias("start"), *[f"m{i}" for i in range(p)],
                        *[f"c{i}{i}" for i in range(p)], *off)
-    second = _moments(vectors.withColumn("start", F.lit(1)))
+    second = _moments(_sums(vectors.withColumn("start", F.lit(1))))
     est = stored(_cholesky(first.unionByName(second)), "mcd")
     # The covariance of the nearest share is too small by a known factor.
     q = _chi2_quantile(SUPPORT, p)
     factor = SUPPORT / _chi2_cdf(q, p + 2)
+    few = est.count() <= BROADCAST_ROWS         # a row for each group and start, in every step
+    last = None
     for _ in range(steps):
-        d = vectors.join(small(est), "g").withColumn(
+        d = vectors.join(F.broadcast(est) if few else est, "g").withColumn(
             "b", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * 64).cast("int"))
-        cells = d.groupBy("g", "start", "b").agg(F.sum("n").alias("n"))
-        run = F.sum("n").over(_by("g", "start").orderBy("b"))
-        total = F.sum("n").over(_by("g", "start"))
-        cut = cells.select("g", "start", "b", run.alias("run"), total.alias("all")) \
-            .where(F.col("run") >= F.lit(SUPPORT) * F.col("all")).groupBy("g", "start").agg(F.min("b").alias("cut"))
-        near = d.join(small(cut), ["g", "start"]).where(F.col("b") <= F.col("cut"))
-        new = _moments(near)
-        for j in range(p):
-            for i in range(j, p):
-                new = new.withColumn(f"c{i}{j}", F.col(f"c{i}{j}") * factor)
+        # One pass: sums by distance, of which the nearest are taken together.
+        cells = _sums(d, "b")
+        before = F.sum("s").over(_by("g", "start").orderBy("b")) - F.col("s")
+        total = F.sum("s").over(_by("g", "start"))
+        near = cells.withColumns({"_run": before, "_all": total}).where(F.col("_run") < F.lit(SUPPORT) * F.col("_all"))
+        names = [c for c in cells.columns if c not in ("g", "start", "b")]
+        new = _moments(near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in names]))
+        new = new.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * factor for i, j in PAIRS})
         est = stored(_cholesky(new), "mcd")
+        # Sums of integers: an estimate that stands still is the same to the last bit.
+        now = est.agg(F.sum(F.xxhash64(*est.columns).cast("decimal(38,0)"))).first()[0]
+        if now == last:
+            break
+        last = now
     best = est.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("k"))
-    return est.join(small(best), "g").where(F.col("start") == F.col("k.start")).drop("k", "logdet", "start")
+    return est.join(small(best), "g").where(F.col("start") == F.col("k.start")) \
+        .select("g", *[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i, j in PAIRS])
+
+
+def shrunk(groups: DataFrame, est: DataFrame, prior: int) -> DataFrame:
+    """The estimate of each row (g1, g2, n1, n2) of ``groups``: that of all texts ("*"), the language's
+    g2 and the source's g1, each narrower one weighed by its number of texts against ``prior``."""
+    p = len(DIMS)
+    values = [f"m{i}" for i in range(p)] + [f"c{i}{j}" for i, j in PAIRS]
+    at = lambda level, key: est.select(F.col("g").alias(key), *[F.col(v).alias(f"{level}_{v}") for v in values])
+    got = groups.withColumn("g0", F.lit("*")).join(small(at("e0", "g0")), "g0") \
+        .join(small(at("e2", "g2")), "g2").join(small(at("e1", "g1")), "g1")
+    for level, n in (("e2", "n2"), ("e1", "n1")):
+        own = F.col(n) / (F.col(n) + prior)
+        got = got.withColumns({f"e0_{v}": own * F.col(f"{level}_{v}") + (1 - own) * F.col(f"e0_{v}") for v in values})
+    return _cholesky(got.select("g1", *[F.col(f"e0_{v}").alias(v) for v in values]))
 
 
 def _by(*cols):
@@ -180,7 +206,7 @@ def _by(*cols):
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
-          key: list[str] | None = None, min_rows: int = 200, tail: float = TAIL) -> DataFrame:
+          key: list[str] | None = None, prior: int = PRIOR_TEXTS, tail: float = TAIL) -> DataFrame:
     """Return ``key`` columns, the statistics, base_failed, distance and kept for each row."""
     key = ["doc_id"] if key is None else key
     src = df.select(*[F.col(f"`{k}`") for k in key if k not in (text, lang, source)],
@@ -196,22 +222,16 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     lone = F.to_json(F.array(F.coalesce("_lang", F.lit("\x00"))))
     rows = stats.where(~F.col("base_failed")).groupBy("_lang", "_src", *DIMS).agg(F.count("*").alias("n")) \
         .withColumn("g1", full).withColumn("g2", lone)
-    c1 = rows.groupBy("g1", "g2").agg(F.sum("n").alias("n1"))
-    c1 = c1.withColumn("g", F.when(F.col("n1") >= min_rows, F.col("g1")).otherwise(F.col("g2")))
-    c2 = c1.groupBy("g").agg(F.sum("n1").alias("n2"))
-    # A pooled language that is still small joins the one pool of all small groups.
-    names = stored(c1.join(c2, "g").select(
-        "g1", F.when(F.col("n2") >= min_rows, F.col("g")).otherwise(F.lit("*")).alias("g")), "groups")
-    named = small(names)
-    vec = stored(rows.join(named, "g1").groupBy("g", *DIMS).agg(F.sum("n").alias("n")), "vectors")
-    sizes = vec.groupBy("g").agg(F.sum("n").alias("total"))
-    vec = vec.join(small(sizes.where(F.col("total") >= min_rows).select("g")), "g")
-    est = estimates(vec)
-    params = small(names.join(est, "g").drop("g"))
+    rows = stored(rows, "vectors")
+    vec = stored(rows.select(F.explode(F.array("g1", "g2", F.lit("*"))).alias("g"), *DIMS, "n")
+                 .groupBy("g", *DIMS).agg(F.sum("n").alias("n")), "vectors")
+    est = stored(estimates(vec), "estimates")
+    n1 = rows.groupBy("g1", "g2").agg(F.sum("n").alias("n1"))
+    n2 = stored(n1.groupBy("g2").agg(F.sum("n1").alias("n2")), "languages")
+    params = small(stored(shrunk(n1.join(small(n2), "g2"), est, prior), "estimates"))
     limit = _chi2_quantile(1 - tail, len(DIMS))
     out = stats.withColumn("g1", full).join(params, "g1", "left").withColumn("distance", F.sqrt(_distance()))
-    out = out.withColumn("kept", ~F.col("base_failed")
-                         & (F.col("distance").isNull() | (F.col("distance") <= math.sqrt(limit))))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= math.sqrt(limit)))
     renamed = {"_lang": lang, "_src": source}
     extra = [F.col(a).alias(b) for a, b in renamed.items() if b in key]
     return out.select(*[F.col(f"`{k}`") for k in key if k not in (text, lang, source)], *extra, "_th",
