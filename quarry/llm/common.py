@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_dir
@@ -150,3 +150,17 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def running(df: DataFrame, by: list[str], at: str, value: str, out: str, stride: int = 4096) -> DataFrame:
+    """Add ``out``, the sum of ``value`` over the rows of the same ``by`` with a smaller whole number
+    ``at``, which is unique there (neither is null). Sums run within ranges of ``stride`` numbers and
+    then over the ranges, so no task sorts more than one row in ``stride``."""
+    wide, total, before = fresh(df, "_wide"), fresh(df, "_total"), fresh(df, "_before")
+    df = df.withColumn(wide, F.floor(F.col(at) / stride))
+    earlier = lambda keys, o: Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    ranges = df.groupBy(*by, wide).agg(F.sum(value).alias(total))
+    ranges = ranges.select(*by, wide, zero(total, earlier(by, wide)).alias(before))
+    return df.withColumn(out, zero(value, earlier([*by, wide], at))).join(ranges, [*by, wide]) \
+        .withColumn(out, F.col(out) + F.col(before)).drop(wide, before)

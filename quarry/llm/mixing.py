@@ -13,9 +13,9 @@ sums over hash buckets and a window within its bucket, so a hot source is spread
 buckets as it needs.
 
 Defined cases: sources without a weight of their own, also null ones, share the weight ``other``;
-null sizes count as 0; repeated rows each get a place (ids are taken to be
-nearly unique: a bucket holds all rows of an id); an empty table gives an empty result;
-added columns take names that are free.
+null sizes count as 0; rows of the same id, also null, are spread over the buckets by the rest of
+their columns, and repeated rows (equal in all columns) get a place each, in one bucket; an empty
+table gives an empty result; added columns take names that are free.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import fresh
+from quarry.llm.common import fresh, running
 
 BUCKET_ROWS = 2000
 MAX_SOURCES, MAX_PERIOD = 256, 4096
@@ -87,8 +88,9 @@ def mix(df: DataFrame, weights: dict[str, int], other: int = 1, source: str = "s
     col = lambda c: F.col(name[c])
     size = F.length("text") if size is None else size
     src = F.when(F.col(f"`{source}`").isin(list(weights)), F.col(f"`{source}`")).otherwise(F.lit(rest))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if f.name != id_col and isinstance(f.dataType, T.AtomicType)]
     rows = df.withColumns({name["mix_source"]: src, name["mix_size"]: F.coalesce(size.cast("long"), F.lit(0)),
-                           name["mix_key"]: F.xxhash64(f"`{id_col}`")})
+                           name["mix_key"]: F.xxhash64(f"`{id_col}`", *hashed)})
     totals = {r[0]: (r[1], r[2]) for r in rows.groupBy(name["mix_source"]).agg(
         F.count("*"), F.sum(name["mix_size"])).collect()}       # a row for each name in ``share``
     count = {s: n // BUCKET_ROWS + 1 for s, (n, _) in totals.items()} or {rest: 1}
@@ -96,9 +98,8 @@ def mix(df: DataFrame, weights: dict[str, int], other: int = 1, source: str = "s
     spread = F.create_map(*[x for s, n in count.items() for x in (F.lit(s), F.lit(n))])
     rows = rows.withColumn(name["mix_bucket"], F.pmod(col("mix_key"), spread[col("mix_source")]))
     per = rows.groupBy(name["mix_source"], name["mix_bucket"]).agg(F.sum(name["mix_size"]).alias("total"))
-    before = F.sum("total").over(Window.partitionBy(name["mix_source"]).orderBy(name["mix_bucket"])) - F.col("total")
-    per = per.select(col("mix_source").alias(name["mix_s"]), col("mix_bucket").alias(name["mix_b"]),
-                     before.alias(name["mix_before"]))
+    per = running(per, [name["mix_source"]], name["mix_bucket"], "total", name["mix_before"]).select(
+        col("mix_source").alias(name["mix_s"]), col("mix_bucket").alias(name["mix_b"]), col("mix_before"))
     inside = Window.partitionBy(name["mix_source"], name["mix_bucket"]).orderBy(name["mix_key"], f"`{id_col}`") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn(name["mix_start"], F.sum(name["mix_size"]).over(inside) - col("mix_size"))
