@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
 Fixed expressions find e-mail and IP addresses, card and phone numbers. They are the seeds: the
-words around them are lexical patterns. Patterns and instances (seeds, and other words that hold
+whole words around them, however long, are lexical patterns. Patterns and instances (seeds, and other words that hold
 digits or an at sign) form a graph, scored in turns: a pattern by the share of its distinct
 instances that are trusted, an instance by its patterns together. Instances that reach
 ``accept`` count as seeds in the next turn, so patterns around them alone come in too; the turns
@@ -20,6 +20,7 @@ Defined cases: a null text is empty; repeated rows each get their spans; a patte
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -37,8 +38,7 @@ EMAIL = (re.compile(rf"(?<![A-Za-z0-9._%+-]){LOCAL}{DOMAIN}"), re.compile(LOCAL
 IP = (re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"), re.compile(r"[0-9]++(?:\.[0-9]++){3}"))
 CARD = (re.compile(r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+"),) * 2
 PHONE = (re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),) * 2
-MARK = re.compile(r"[0-9@]\S*")
-WINDOW = 64            # characters around an instance in which its context words are looked for
+MARK, FILLED = re.compile(r"[0-9@]\S*"), re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -80,17 +80,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             for m in _matches(text, first, after) if good is None or good(m[0])]
 
 
-def _context(text: str, a: int, b: int) -> tuple[str, str]:
-    """Two patterns: the two words before, and the words on both sides."""
-    left = text[max(0, a - WINDOW):a].lower().split()[-2:]
-    right = text[b:b + WINDOW].lower().split()[:1]
-    two = " ".join(left) if len(left) == 2 else ""
-    return two and two + " _", f"{left[-1]} _ {right[0]}" if left and right else ""
+def _contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """Two patterns of each span: the two words before, and the words on both sides. Words end at
+    white space and at the borders of spans; however long, a word is near few spans."""
+    cuts = sorted({x for s in spans for x in s})
+    first, last, k = [], [], 0
+    for m in FILLED.finditer(text):
+        a, end = m.span()
+        while k < len(cuts) and cuts[k] < end:
+            if cuts[k] > a:
+                first.append(a)
+                last.append(cuts[k])
+                a = cuts[k]
+            k += 1
+        first.append(a)
+        last.append(end)
+    word = lambda i: text[first[i]:last[i]].lower()
+    out = []
+    for a, b in spans:
+        i, j = bisect.bisect_right(last, a), bisect.bisect_left(first, b)
+        two = f"{word(i - 2)} {word(i - 1)} _" if i > 1 else ""
+        out.append((two, f"{word(i - 1)} _ {word(j)}" if i and j < len(first) else ""))
+    return out
 
 
 def occurrences(text: str, spans) -> list[tuple]:
     """(start, end, instance, pattern, pattern, is seed) of seeds and of words like identifiers."""
-    out = [(a, b, text[a:b].lower(), *_context(text, a, b), True) for a, b, _ in spans]
+    found = [(a, b, True) for a, b, _ in spans]
     taken = sorted((a, b) for a, b, _ in spans)
     at = 0
     for m in MARK.finditer(text):
@@ -104,8 +120,9 @@ def occurrences(text: str, spans) -> list[tuple]:
         while at < len(taken) and taken[at][1] <= a:
             at += 1
         if b - a >= 4 and not (at < len(taken) and taken[at][0] < b):
-            out.append((a, b, text[a:b].lower(), *_context(text, a, b), False))
-    return out
+            found.append((a, b, False))
+    near = _contexts(text, [(a, b) for a, b, _ in found])
+    return [(a, b, text[a:b].lower(), *p, seed) for (a, b, seed), p in zip(found, near)]
 
 
 def extract(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
