@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, text_of
+from quarry.llm.common import running, stored, text_of
 from quarry.llm.encoder import encoder
 
 GROUP_PIECES = 20_000
@@ -97,23 +97,20 @@ def best_fit(length: np.ndarray, caps: tuple[float, float, float], weights: tupl
     return bins, offset
 
 
-def _places(rows: DataFrame, file: str, row: str) -> DataFrame:
-    """Add _at, the tokens before each piece in the order of file, row and piece."""
-    inside = Window.partitionBy(file).orderBy(row, "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = rows.groupBy(file).agg(F.sum("length").alias("_total"))
-    # A row for each file, which is what one task wrote.
-    before = F.sum("_total").over(Window.orderBy(file)) - F.col("_total")
-    per = per.select(F.col(file).alias("_of"), before.alias("_before"))
-    rows = rows.withColumn("_at", F.sum("length").over(inside) - F.col("length"))
-    return rows.join(per, F.col(file) == F.col("_of")) \
-        .withColumn("_at", F.col("_at") + F.col("_before")).drop("_of", "_before")
+def _places(rows: DataFrame, slot: str, row: str) -> DataFrame:
+    """Add _at, the tokens before each piece in the order of slot, row, id and piece."""
+    inside = Window.partitionBy(slot).orderBy(row, "id", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = rows.groupBy(slot).agg(F.sum("length").alias("_sum"))
+    per = running(per, [], slot, "_sum", "_ahead").drop("_sum")
+    return rows.withColumn("_at", F.sum("length").over(inside) - F.col("length")).join(per, slot) \
+        .withColumn("_at", F.col("_at") + F.col("_ahead")).drop("_ahead")
 
 
 def pack(rows: DataFrame, limit: int = 4096, max_docs: int | None = None, max_attention: float | None = None,
          weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm",
          order: tuple[str, str] | None = None) -> DataFrame:
-    """Add sequence_id and offset to piece rows (``pieces``). ``order`` names two columns, the file
-    and the row in it, whose order the sequences follow; the result has neither."""
+    """Add sequence_id and offset to piece rows (``pieces``). ``order`` names two columns, a slot (a
+    whole number) and a place in it, whose order the sequences follow; the result has neither."""
     rows = stored(rows, "pieces")
     caps = (float(limit), float(max_docs or limit), float(max_attention or limit * limit))
     keep = [f for f in rows.schema if f.name not in (order or ())]
