@@ -7,7 +7,6 @@ read again as the next stage's docs. All stages but the last keep the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm import jaccard, mixing, packing, quality, secret_scan
 from quarry.llm.common import scratch
@@ -39,14 +38,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their sequence and offset, in the order of the mixture:
-    that of the files, by number, and of their rows."""
-    name = F.col("_metadata.file_name")
-    number = lambda p: F.lpad(F.regexp_extract(name, p, 1), 10, "0")
-    docs = docs.select("doc_id", "text", F.concat_ws("-", number(r"^part-(\d+)-"), number(r"-c(\d+)\."), name).alias("_file"),
-                       F.col("_metadata.row_index").alias("_row"))
-    rows = packing.pieces(docs, TOKENIZER, limit=4096, end_id=1, keep=["_file", "_row"])
-    return packing.pack(rows, 4096, order=("_file", "_row")).withColumnRenamed("id", "doc_id")
+    """Pieces of at most 4096 tokens with their sequence and offset, in the order of the mixture. The
+    documents carry their columns only, so their slots are worked out again from the same rows and
+    weights, however the rows are stored."""
+    placed = mixing.mix(docs, WEIGHTS, OTHER)
+    start, slot = placed.columns[-5], placed.columns[-3]        # the added columns come last
+    rows = packing.pieces(placed, TOKENIZER, limit=4096, end_id=1, keep=[slot, start])
+    return packing.pack(rows, 4096, order=(slot, start)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("secrets", secrets),
