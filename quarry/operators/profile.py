@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.exprs import (FRACTIONAL_TYPES, NUMERIC_TYPES, adjusted_kurtosis, adjusted_skew, nan_as_missing,
                                     cell_text, check_columns, col, missing, nan_to_null,
-                                    numeric_columns, row_hash, word_count)
+                                    numeric_columns, row_hash, row_key, word_count)
 from quarry.functions.kinds import TEXT_WORDS, _static_kind
 from quarry.functions.quantiles import quantiles_long, stack_columns
 
@@ -185,10 +185,15 @@ def missing_total(df: DataFrame) -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (all but the first of each group of equal rows).
 
-    A hash aggregate over all columns with a map-side combine, so a row repeated a billion
-    times shrinks to one entry per task before the shuffle. One row ``duplicates``."""
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+    A hash aggregate over row digests (``row_key``) with a map-side combine, so a row repeated a
+    billion times shrinks to one entry per task before the shuffle, and what is shuffled does not
+    grow with the length of texts. One row ``duplicates``; a table without columns has 0."""
+    key = row_key(df)
+    if not key:
+        return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("duplicates"))
+    named = [k.alias(f"k{i}") for i, k in enumerate(key)]
+    groups = df.select(*named).groupBy(*[f"k{i}" for i in range(len(key))]).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
 def quality_score(df: DataFrame) -> DataFrame:
