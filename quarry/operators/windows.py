@@ -1,24 +1,24 @@
 """Order-dependent operators: forward fill, rolling mean, stacked areas, running index.
 
 Spark rows have no order, so each operator takes an explicit ``order_by``. A window with no
-partition key would pull every row into one task; instead the table is range-sorted (Spark
-samples split points, so each sort partition holds a contiguous slice of bounded size, even
-when one group or one first-key value is hot) and each sort partition's facts (row counts,
-last non-missing value) go into a small table of one row per partition and group. A window
-over that small table carries values across partition borders, and a join brings them back.
-
-The sort partition of a row is read from ``monotonically_increasing_id`` (partition index in
-the upper bits). The summary and the row-level branch must see the same ids, but they are not
-planned as one exchange (column pruning makes the two sorts differ, and each range sort samples
-its own split points), so the sorted, id-tagged table is written once with a reliable
-``checkpoint()`` to the folder named by ``spark.checkpoint.dir``: ids become stored columns,
-both branches read them, and a lost executor only re-reads checkpoint files.
-
-Groups are contiguous after the sort, so only the first group of a sort partition can have
-begun in an earlier one: the values carried over borders are at most one row per sort partition
-(a number set by the shuffle settings, not by the data), which is why that table is broadcast.
-
-Rows equal in all of ``order_by`` have no order of their own; add a tie-break column there.
+partition key would pull every row into one task; instead the rows are cut into slices of the
+order, of bounded size even when one group or one first-key value is hot, and each slice's facts
+(row counts, last non-missing value) go into a small table of one row per slice and group. A
+window over that small table carries values across slice borders, and a join brings them back.
+
+The borders of the slices are quantiles of a sample of the keys, some per slice, stored as a table
+of one row with a reliable ``checkpoint()``. The slice of a row is then a function of its key alone
+(a binary search in the stored borders), so that the facts and the rows may be read in separate
+passes, a lost executor's rows come back to the same slices, and the rows themselves are shuffled
+once and written nowhere. Time frames (``rolling_mean_time``) number their narrow rows in one
+range sort that is checkpointed instead.
+
+Groups are contiguous in the order, so only the first group of a slice can have begun in an
+earlier one: the values carried over borders are at most one row per slice (a number set by the
+shuffle settings, not by the data), which is why that table is broadcast.
+
+Rows equal in all of ``order_by`` follow a hash of their cells, the same on every run; add a
+tie-break column for another order. Tables must give the same rows whenever they are read.
 Helper columns take names that the table does not have.
 """
 
@@ -32,7 +32,35 @@ from pyspark.sql import functions as F
 from quarry.functions.exprs import check_columns, col, free_names, nan_as_missing, nan_to_null
 from quarry.session import checkpoint_dir
 
-_LOW_BITS = (1 << 33) - 1
+#: Sampled keys per slice of the order, and at most in all.
+SAMPLED, MOST_SAMPLED = 64, 1_000_000
+
+
+def _with_slices(df: DataFrame, keys: Sequence[str], pid: str) -> DataFrame:
+    """Add ``pid``: the number of the row's slice in the order of ``keys``, missing values first."""
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if slices < 2:
+        return df.withColumn(pid, F.lit(0))
+    checkpoint_dir(df.sparkSession)
+    key = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    seen = df.select(key.alias("k"))
+    share = min(SAMPLED * slices, MOST_SAMPLED) / max(seen.count(), 1)
+    sample = (seen.sample(share, seed=7) if share < 1 else seen).agg(F.sort_array(F.collect_list("k")).alias("s"))
+    (cuts,) = free_names(df, "cuts")
+    at = lambda i: F.get("s", F.floor(i.cast("long") * F.size("s") / slices).cast("int"))
+    borders = sample.select(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), at)).alias(cuts)) \
+        .checkpoint(eager=True)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(slices.bit_length()))])
+    n = F.aggregate(steps, F.lit(0),
+                    lambda n, step: F.when(F.get(F.col(cuts), n + step - 1) <= key, n + step).otherwise(n))
+    return df.crossJoin(F.broadcast(borders)).withColumn(pid, n).drop(cuts)     # one row of borders
+
+
+def _cells_hash(df: DataFrame) -> Column:
+    """Order of rows that are equal in their keys."""
+    plain = [f.name for f in df.schema.fields
+             if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*[col(c) for c in plain]) if plain else F.lit(0).cast("long")
 
 
 def _sorted_with_ids(df: DataFrame, keys: Sequence[str], rid: str, pid: str) -> DataFrame:
@@ -44,8 +72,8 @@ def _sorted_with_ids(df: DataFrame, keys: Sequence[str], rid: str, pid: str) ->
 
 
 def _carried(per_part: DataFrame, p: Sequence[str], pid: str, value: Column, name: str) -> DataFrame:
-    """Rows of ``per_part`` (one per sort partition and group) whose group began in an earlier
-    sort partition, with ``value`` over those earlier rows: at most one per sort partition."""
+    """Rows of ``per_part`` (one per slice and group) whose group began in an earlier slice,
+    with ``value`` over those earlier rows: at most one per slice."""
     w = Window.partitionBy(*[col(k) for k in p]).orderBy(pid) \
         .rowsBetween(Window.unboundedPreceding, -1)
     out = per_part.select(pid, *[col(k) for k in p], value.over(w).alias(name))
@@ -65,14 +93,11 @@ def ordered_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence
     ``partition_by`` group (a distributed ``row_number() - 1``); missing keys form a group."""
     p, o = list(partition_by), list(order_by)
     check_columns(df, p + o)
-    rid, pid, at, n, before = free_names(df, "id", "pid", "at", "n", "before")
-    s = _sorted_with_ids(df, p + o, rid, pid)
-    if p:
-        w = Window.partitionBy(pid, *[col(k) for k in p]).orderBy(rid)
-        s = s.withColumn(at, F.row_number().over(w) - 1)
-    else:
-        s = s.withColumn(at, F.col(rid).bitwiseAND(F.lit(_LOW_BITS)))
+    pid, at, n, before, tie = free_names(df, "pid", "at", "n", "before", "tie")
+    s = _with_slices(df, p + o, pid).withColumn(tie, _cells_hash(df))
     per_part = s.groupBy(pid, *[col(k) for k in p]).agg(F.count(F.lit(1)).alias(n))
+    w = Window.partitionBy(pid, *[col(k) for k in p]).orderBy(*[col(k) for k in o], tie)
+    s = s.withColumn(at, F.row_number().over(w) - 1)
     j = _join_carried(s, _carried(per_part, p, pid, F.sum(n), before), p, pid)
     return j.select(*[F.col(f"s.`{c}`") for c in df.columns],
                     (F.coalesce(F.col(before), F.lit(0)) + F.col(at)).cast("long").alias(name))
@@ -86,15 +111,16 @@ def forward_fill(df: DataFrame, c: str, order_by: Sequence[str],
     if not o:
         raise ValueError("forward fill needs order_by (Spark rows have no order of their own)")
     check_columns(df, [c] + p + o)
-    rid, pid, x, upto, prev, within = free_names(df, "id", "pid", "x", "upto", "prev", "within")
+    pid, x, upto, prev, within, tie = free_names(df, "pid", "x", "upto", "prev", "within", "tie")
     dt = df.schema[c].dataType
     val = nan_to_null(col(c)).cast(dt) if dt.typeName() in ("double", "float") else col(c)
-    s = _sorted_with_ids(df.withColumn(x, val), p + o, rid, pid)
-    # last non-missing value of each (sort partition, group)
+    s = _with_slices(df, p + o, pid).withColumn(x, val).withColumn(tie, _cells_hash(df))
+    # last non-missing value of each (slice, group)
+    place = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(o)], F.col(tie).alias("tie"))
     per_part = (s.groupBy(pid, *[col(k) for k in p])
-                .agg(F.max_by(x, F.when(F.col(x).isNotNull(), F.col(rid))).alias(upto)))
+                .agg(F.max_by(x, F.when(F.col(x).isNotNull(), place)).alias(upto)))
     carried = _carried(per_part, p, pid, F.last(upto, ignorenulls=True), prev)
-    w = Window.partitionBy(pid, *[col(k) for k in p]).orderBy(rid) \
+    w = Window.partitionBy(pid, *[col(k) for k in p]).orderBy(*[col(k) for k in o], tie) \
         .rowsBetween(Window.unboundedPreceding, 0)
     out = _join_carried(s.withColumn(within, F.last(x, ignorenulls=True).over(w)), carried, p, pid)
     filled = F.coalesce(F.col(within), F.col(prev)).cast(dt).alias(c)
