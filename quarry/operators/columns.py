@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.dates import date_formats, parse_dates
 from quarry.functions.exprs import check_columns, col, nan_as_missing, numeric_columns
 
 # Target types of the cast request.
@@ -33,14 +34,16 @@ def _to_long(c: Column) -> Column:
                       c.cast("string").try_cast("double").try_cast("bigint"))
 
 
-def cast_column(df: DataFrame, c: str, new_type: str, formats: Sequence[str] = (),
-                allow_fraction: bool = False) -> DataFrame:
+def cast_column(df: DataFrame, c: str, new_type: str, formats: Sequence[str] | None = None,
+                allow_fraction: bool = False, day_first: bool | None = None) -> DataFrame:
     """Cast with coercion: values that do not parse become NULL.
 
     ``int64`` refuses values with a fraction (pandas raises "cannot safely cast") unless
     ``allow_fraction`` truncates them; that check is one ``count_if`` job. ``datetime``
-    tries ISO first, then each of ``formats``; a time of day alone has no date and becomes NULL
-    unless a format takes it. ``str`` keeps missing as NULL.
+    tries ISO first, then each of ``formats``; without them, formats of a text column are read from
+    its cells in one job (``functions.dates``; ValueError where day and month cannot be told apart
+    and ``day_first`` is not given). A time of day alone has no date and becomes NULL unless a format
+    takes it. ``str`` keeps missing as NULL.
     """
     check_columns(df, [c])
     if new_type not in CAST_TYPES:
@@ -49,7 +52,10 @@ def cast_column(df: DataFrame, c: str, new_type: str, formats: Sequence[str] = (
     if new_type == "datetime":
         s = x.cast("string")
         iso = F.when(~s.rlike(r"^\s*T?\d{1,2}:"), F.try_to_timestamp(s))
-        out = F.coalesce(iso, *[F.try_to_timestamp(s, F.lit(f)) for f in formats]) if formats else iso
+        given = [F.try_to_timestamp(s, F.lit(f)) for f in formats or ()]
+        if formats is None and df.schema[c].dataType.typeName() == "string":
+            given = [parse_dates(x, found)] if (found := date_formats(df, c, day_first)) else []
+        out = F.coalesce(iso, *given)
     elif new_type == "int64":
         if not allow_fraction:
             d = x.cast("string").try_cast("double")

@@ -202,6 +202,18 @@ def q_cast_datetime(spark, sf):
     return K.cast_column(_texts(spark, sf).select("p_partkey", "date_txt"), "date_txt", "datetime")
 
 
+# Dates of four written forms, one of them a time of day without a date.
+WRITTEN = ("dd.MM.yyyy", "MMM d, yyyy", "MMMM d, yyyy hh:mm a", "HH:mm")
+
+
+@register("cast_datetime_written", """SELECT o_orderkey,
+  CASE WHEN o_orderkey % 4 <> 3 THEN CAST(o_orderdate AS TIMESTAMP) END AS written FROM orders""")
+def q_cast_datetime_written(spark, sf):
+    o = table(spark, sf, "orders")
+    forms = [F.when(F.col("o_orderkey") % 4 == i, F.date_format("o_orderdate", f)) for i, f in enumerate(WRITTEN)]
+    return K.cast_column(o.select("o_orderkey", F.coalesce(*forms).alias("written")), "written", "datetime")
+
+
 @register("cast_str", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size FROM part")
 def q_cast_str(spark, sf):
     return K.cast_column(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", "str")
