@@ -57,11 +57,13 @@ def key_code(cols: Sequence[Column], types: Sequence[T.DataType]) -> Column:
 
 
 def given_keys(spark: SparkSession, values: Sequence, types: Sequence[T.DataType]) -> list[tuple[str, tuple]]:
-    """(code, labels) of column keys named by the caller (tuples for several keys)."""
-    schema = T.StructType([T.StructField(f"k{i}", t) for i, t in enumerate(types)])
+    """(code, labels) of column keys named by the caller (tuples for several keys), in one job."""
+    schema = T.StructType([T.StructField("at", T.IntegerType()), *[T.StructField(f"k{i}", t) for i, t in enumerate(types)]])
     given = [tuple(k) if isinstance(k, (tuple, list)) else (k,) for k in values]
     code = key_code([F.col(f"k{i}") for i in range(len(types))], types)
-    return [(spark.createDataFrame([k], schema).select(code).first()[0], k) for k in given]
+    rows = spark.createDataFrame([(at, *k) for at, k in enumerate(given)], schema).select("at", code.alias("code"))
+    codes = {r["at"]: r["code"] for r in rows.collect()}
+    return [(codes[at], k) for at, k in enumerate(given)]
 
 
 def _medians(base: DataFrame, rk: list[str], cks: list[str], vals: list[str],
