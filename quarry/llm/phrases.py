@@ -2,27 +2,27 @@
 
 Texts are read as bytes. A prefix polynomial over a slice's bytes gives the hash of every word, a
 second one over the words' hashes the fingerprint of every n-gram (all modulo 2 ** 64; powers and
-their inverses are tables). Each slice counts its fingerprints and keeps one occurrence pointer
-(document row, place and length in bytes) of each. Words of one hash are compared byte by byte and
-n-grams of one fingerprint word by word, so a pointer stands for equal phrases only: a collision
-gives two rows. The shuffle sums counts by fingerprint; pointers of sums that reach the least
-count are kept, the phrases under them are cut out of the documents, and counts are summed anew
-by phrase. So only frequent phrases are ever text, and the counts are exact whatever collides.
+their inverses are tables). Each slice counts its fingerprints, and only the last ``FP_BITS`` bits
+of each and its count are shuffled and summed. A phrase's fingerprint occurs at least as often as
+the phrase, so those that reach the least count hold all frequent phrases.
 
 A phrase is frequent only if its parts are. Words come first, then pairs of frequent words, then
 three and four words of frequent pairs. What is frequent is passed on as a bit map of fixed size
 (``MAP_BITS`` at most): it lets too much through when it fills up, which costs shuffle and never
-a result.
-
-Defined cases: a null text is empty, a null language is ``und``; a piece has no phrase longer than
-itself; repeated rows count each; an empty table gives an empty result; further columns are
-ignored. A slice is at least one document; its arrays take some 10 bytes for each byte of the
-slice and 100 for each word.
+a result. A last pass cuts out the phrases that the maps hold. A slice tells them apart word by
+word (words of one hash are compared byte by byte), and counts are summed by phrase: so only
+phrases that may be frequent are ever text, and the counts are exact whatever collides.
+
+The texts are read four times and neither copied nor shuffled. Defined cases: a null text is
+empty, a null language is ``und``; a piece has no phrase longer than itself; repeated rows count
+each; an empty table gives an empty result; further columns are ignored. A slice is at least one
+document; its arrays take some 10 bytes for each byte of the slice and 150 for each word.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,16 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, stored_tidy
+from quarry.llm.common import stored_tidy
 
-SLICE = 8_000_000           # bytes of text whose fingerprints are counted together
+SLICE = 2_000_000           # bytes of text whose fingerprints are counted together
 HASHED = 400_000            # bytes whose prefix sums are held at once
 MAP_BITS = 2 ** 28
+FP_BITS = 40                # of a fingerprint, counted by the shuffle (more than a map's places)
 LONGEST = 4                 # words of a phrase
 SALTS = 64
-CUT = 200_000               # phrases of an output batch
+CUT, CUT_BYTES = 200_000, 16_000_000        # phrases and bytes of an output batch
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93      # odd, so that they have inverses
-POINTER = "n int, fp bigint, cnt bigint, row bigint, at int, size int"
 
 KIND = np.zeros(256, np.uint8)          # 0 word, 1 blank, 2 end of a piece
 KIND[[0x20, 0x09]] = 1
@@ -100,7 +100,6 @@ class Words:
             s, e = self.start[a:z] - lo, self.end[a:z] - lo
             self.hash[a:z] = (sums[e] - sums[s]) * powers(BASE, hi - lo + 1)[1][s]
         self.hash = mixed(self.hash ^ (self.end - self.start).astype(np.uint64))
-        self.word = self._identities()
 
     def _runs(self):
         """Runs of words (first, last, first byte, last byte) of some ``HASHED`` bytes."""
@@ -111,7 +110,8 @@ class Words:
             yield a, z, lo, int(self.end[z - 1])
             a = z
 
-    def _identities(self) -> np.ndarray:
+    @cached_property
+    def word(self) -> np.ndarray:
         """A number for each word, equal exactly where the bytes are."""
         code, first = grouped(self.hash)
         length = self.end - self.start
@@ -185,69 +185,67 @@ def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return place, np.frombuffer(text.buffers()[2] or b"", np.uint8)
 
 
-def pointers(docs: DataFrame, sizes: tuple[int, ...], maps: dict[int, bytes]) -> DataFrame:
-    """Counts and pointers by slice of the n-grams of the given sizes whose words (and pairs) the
-    maps hold. With size 1, rows with n = 0 count all words of a language."""
+def by_slice(docs: DataFrame, use, schema: str) -> DataFrame:
+    """The record batches of ``use(words, language number of each word, salts, languages)`` over all slices."""
     def work(batches):
-        bits = {n: np.frombuffer(b, np.uint64) for n, b in maps.items()}
         for batch in batches:
             text, lang = batch.column("text"), batch.column("lang")
-            rows = batch.column("row").to_numpy()
             place, data = _bytes_of(text)
             code, names = pd.factorize(lang.to_numpy(zero_copy_only=False))
             salts = np.array([int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little") for s in names], np.uint64)
             a = 0
-            while a < len(rows):
+            while a < len(text):
                 z = max(a + 1, int(np.searchsorted(place, place[a] + SLICE, side="right")) - 1)
-                yield from _slice(data[place[a]:place[z]], place[a:z + 1] - place[a], rows[a:z], code[a:z], salts, sizes, bits)
+                w = Words(data[place[a]:place[z]], place[a:z + 1] - place[a])
+                if len(w.start):
+                    yield from use(w, code[a:z][w.doc], salts, names)
                 a = z
 
-    return docs.mapInArrow(work, POINTER)
+    return docs.mapInArrow(work, schema)
 
 
-def _slice(data, offsets, rows, code, salts, sizes, bits):
-    w = Words(data, offsets)
-    if not len(w.start):
-        return
-    lang = code[w.doc]
-    salt = salts[lang]
+def held_grams(w: Words, salt: np.ndarray, sizes: tuple[int, ...], maps: dict[int, bytes]):
+    """(n, first words, fingerprints) of the slice's n-grams of the given sizes that the maps hold,
+    themselves and their parts, as far as there is a map for that size."""
     sums = prefix(w.hash, STEP)
-    ok = {}
-    for n in (1, 2):        # what the maps hold, by first word
-        if n in bits:
-            at, fp = grams(w, salt, n, sums)
-            ok[n] = np.zeros(len(w.start) + LONGEST, bool)
-            ok[n][at] = _held(bits[n], fp)
-    for n in sizes:
+    ok = {}             # what the maps hold, by first word
+    for n in range(1, max(sizes) + 1):
+        if n not in sizes and n not in maps:
+            continue
         at, fp = grams(w, salt, n, sums)
         keep = np.ones(len(at), bool)
         for size, held in ok.items():
             for k in range(n - size + 1):
                 keep &= held[at + k]
-        for first, f, count in counted(w, at[keep], fp[keep], lang, n):
-            yield _rows(n, f, count, rows[w.doc[first]], w.start[first] - offsets[w.doc[first]], w.end[first + n - 1] - w.start[first])
-    if 1 in sizes:
-        got, first = grouped(lang)
-        none = np.zeros(len(first), np.int64)
-        yield _rows(0, mixed(salts[lang[first]]), np.bincount(got), rows[w.doc[first]], none, none)
+        at, fp = at[keep], fp[keep]
+        if n in maps:
+            keep = _held(np.frombuffer(maps[n], np.uint64), fp)
+            at, fp = at[keep], fp[keep]
+            ok[n] = np.zeros(len(w.start) + LONGEST, bool)
+            ok[n][at] = True
+        if n in sizes:
+            yield n, at, fp
 
 
-def _rows(n, fp, count, row, at, size):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(fp), n, np.int32)), pa.array(fp.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(row.astype(np.int64)),
-         pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["n", "fp", "cnt", "row", "at", "size"])
+def counts(docs: DataFrame, sizes: tuple[int, ...], maps: dict[int, bytes]) -> DataFrame:
+    """Counts by slice of the fingerprints of the given sizes whose parts the maps hold."""
+    def use(w, lang, salts, names):
+        for _, _, fp in held_grams(w, salts[lang], sizes, maps):
+            code, fps = pd.factorize(fp & np.uint64(2 ** FP_BITS - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(np.bincount(code, minlength=len(fps)))], ["fp", "cnt"])
+
+    return by_slice(docs, use, "fp bigint, cnt bigint")
 
 
 def frequent(found: DataFrame, least: int) -> DataFrame:
-    """The pointers whose fingerprint's counts add up to ``least``. A hot fingerprint has one row
-    for each slice."""
-    total = F.sum("cnt").over(Window.partitionBy("fp"))
-    return stored_tidy(found.withColumn("total", total).where(F.col("total") >= least).drop("total"), "pointers")
+    """The fingerprints whose counts add up to ``least``. Tasks add up their own before the shuffle,
+    so that a hot fingerprint has one row for each task."""
+    total = found.groupBy("fp").agg(F.sum("cnt").alias("cnt"))
+    return stored_tidy(total.where(F.col("cnt") >= least).select("fp"), "fingerprints")
 
 
-def bit_map(found: DataFrame, n: int) -> bytes:
-    """The fingerprints of size ``n`` as a bit map; at most ``MAP_BITS`` bits reach the driver."""
-    fps = found.where(F.col("n") == n).select("fp").distinct()
+def bit_map(fps: DataFrame) -> bytes:
+    """Distinct fingerprints as a bit map; at most ``MAP_BITS`` bits reach the driver."""
     size = 1 << max(fps.count() * 16, 64).bit_length()
     size = min(size, MAP_BITS)
     x = F.col("fp").bitwiseAND(F.lit(size - 1))
@@ -258,41 +256,47 @@ def bit_map(found: DataFrame, n: int) -> bytes:
     return bits.tobytes()
 
 
-def materialise(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """lang, n, phrase, f: the texts under the pointers with their exact counts."""
-    by = found.groupBy("row").agg(F.collect_list(F.struct("n", "cnt", "at", "size")).alias("p")).withColumnRenamed("row", "r")
-    rows = docs.join(by, F.col("row") == F.col("r")).select("lang", "text", "p")
+def _texts(low: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """(first, last, texts) of batches of phrases, cut out of the bytes."""
+    # Phrases with a tab or two blanks in a row are joined again, all others are cut out as they are.
+    blank = np.flatnonzero((low == 9) | (low == 32))
+    blank = blank[(low[blank] == 9) | (low[np.minimum(blank + 1, len(low) - 1)] == 32)]
+    odd = np.flatnonzero(np.searchsorted(blank, start) < np.searchsorted(blank, start + size))
+    total = np.concatenate([[0], np.cumsum(size)])
+    a = 0
+    while a < len(start):
+        z = max(a + 1, min(a + CUT, int(np.searchsorted(total, total[a] + CUT_BYTES, side="right")) - 1))
+        ends = total[a:z + 1] - total[a]
+        at = np.arange(ends[-1]) + np.repeat(start[a:z] - ends[:-1], size[a:z])
+        phrase = pa.StringArray.from_buffers(z - a, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(low[at]))
+        mine = odd[(odd >= a) & (odd < z)]
+        if len(mine):
+            parts = [b" ".join(low[start[i]:start[i] + size[i]].tobytes().replace(b"\t", b" ").split()).decode() for i in mine]
+            mask = np.zeros(z - a, bool)
+            mask[mine - a] = True
+            phrase = pc.replace_with_mask(phrase, pa.array(mask), pa.array(parts, pa.string()))
+        yield a, z, phrase
+        a = z
+
+
+def materialise(docs: DataFrame, maps: dict[int, bytes], least: int) -> DataFrame:
+    """lang, n, phrase, f: the phrases that the maps hold with their exact counts, and with n = 0
+    all words of a language."""
+    def rows(names, lang, phrase, f):
+        name = pa.array(names, pa.string()).take(pa.array(lang))
+        return pa.RecordBatch.from_arrays([name, phrase, pa.array(f.astype(np.int64))], ["lang", "phrase", "f"])
+
+    def use(w, lang, salts, names):
+        for n, at, fp in held_grams(w, salts[lang], tuple(range(1, LONGEST + 1)), maps):
+            for first, _, f in counted(w, at, fp, lang, n):
+                for a, z, phrase in _texts(w.low, w.start[first], w.end[first + n - 1] - w.start[first]):
+                    yield rows(names, lang[first[a:z]], phrase, f[a:z])
+        got, first = grouped(lang)
+        yield rows(names, lang[first], pa.array([""] * len(first), pa.string()), np.bincount(got))
 
-    def cut(batches):
-        for b in batches:
-            text, p = b.column("text"), b.column("p")
-            place, data = _bytes_of(text)
-            low = LOWER[data]
-            doc = np.repeat(np.arange(len(b)), np.diff(p.offsets.to_numpy()))
-            x = p.flatten()
-            field = lambda k: x.field(k).to_numpy(zero_copy_only=False)
-            start, size = place[doc] + field("at"), field("size").astype(np.int64)
-            # Phrases with a tab or two blanks in a row are joined again, all others are cut out as they are.
-            blank = np.flatnonzero((low == 9) | (low == 32))
-            blank = blank[(low[blank] == 9) | (low[np.minimum(blank + 1, len(low) - 1)] == 32)]
-            odd = np.flatnonzero(np.searchsorted(blank, start) < np.searchsorted(blank, start + size))
-            for a in range(0, len(doc), CUT):
-                z = min(a + CUT, len(doc))
-                ends = np.concatenate([[0], np.cumsum(size[a:z])])
-                at = np.arange(ends[-1]) + np.repeat(start[a:z] - ends[:-1], size[a:z])
-                phrase = pa.StringArray.from_buffers(z - a, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(low[at]))
-                mine = odd[(odd >= a) & (odd < z)]
-                if len(mine):
-                    parts = [b" ".join(low[start[i]:start[i] + size[i]].tobytes().replace(b"\t", b" ").split()).decode() for i in mine]
-                    mask = np.zeros(z - a, bool)
-                    mask[mine - a] = True
-                    phrase = pc.replace_with_mask(phrase, pa.array(mask), pa.array(parts, pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("lang").take(pa.array(doc[a:z])), x.field("n").slice(a, z - a), phrase, x.field("cnt").slice(a, z - a)],
-                    ["lang", "n", "phrase", "f"])
-
-    got = rows.mapInArrow(cut, "lang string, n int, phrase string, f bigint")
-    return stored_tidy(got.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
+    got = by_slice(docs, use, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    n = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return stored_tidy(got.where(F.col("f") >= least).select("lang", n.alias("n"), "phrase", "f"), "phrases")
 
 
 def count_phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 30) -> DataFrame:
@@ -300,13 +304,10 @@ def count_phrases(df: DataFrame, text: str = "text", lang: str = "lang", least:
     and an empty phrase the number of words of each language (if that many)."""
     docs = df.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
                      F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    words = frequent(pointers(docs, (1,), {}), least)
-    maps = {1: bit_map(words, 1)}
-    pairs = frequent(pointers(docs, (2,), maps), least)
-    maps = {1: maps[1], 2: bit_map(pairs, 2)}
-    longer = frequent(pointers(docs, (3, 4), maps), least)
-    return materialise(docs, words.unionByName(pairs).unionByName(longer), least)
+    maps = {}
+    for sizes in ((1,), (2,), (3, 4)):
+        maps = maps | dict.fromkeys(sizes, bit_map(frequent(counts(docs, sizes, maps), least)))
+    return materialise(docs, maps, least)
 
 
 def _part(a, b) -> Column:

@@ -3,8 +3,11 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,3 +120,36 @@ def test_full_map_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases, "MAP_BITS", 64)
     rows = corpus()
     assert run(spark, rows, least=5) == brute(rows, 5, 2000)
+
+
+def test_texts_are_not_stored_and_slices_take_little_memory(spark, monkeypatch):
+    """The numbered copy of the texts and slices of 8 MB took disk and the executors' memory."""
+    kept = []
+    store = phrases.stored_tidy
+    monkeypatch.setattr(phrases, "stored_tidy", lambda df, name: kept.append((df.columns, name)) or store(df, name))
+    rows = corpus()
+    assert run(spark, rows, least=5) == brute(rows, 5, 2000)
+    assert [k for k, _ in kept] == [["fp"]] * 3 + [["lang", "n", "phrase", "f"]]
+
+    class Docs:
+        def mapInArrow(self, work, schema):
+            return work
+
+    rnd = random.Random(1)
+    texts = [" ".join(f"w{rnd.randrange(90_000)}" for _ in range(250)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * len(texts)})
+    full = np.full(16, 2 ** 64 - 1, np.uint64).tobytes()
+    for work in (phrases.counts(Docs(), (1,), {}), phrases.counts(Docs(), (3, 4), {1: full, 2: full})):
+        tracemalloc.start()
+        assert sum(pa.compute.sum(b.column("cnt")).as_py() for b in work([batch])) > 900_000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 120_000_000
+
+
+def test_long_phrases_are_cut_in_batches(monkeypatch):
+    monkeypatch.setattr(phrases, "CUT_BYTES", 10)
+    low = np.frombuffer(b"abcdefghijklmno p  q r", np.uint8)
+    got = list(phrases._texts(low, np.array([0, 16, 20, 21]), np.array([15, 4, 1, 1])))
+    assert [(a, z) for a, z, _ in got] == [(0, 1), (1, 4)]
+    assert [t for _, _, p in got for t in p.to_pylist()] == ["abcdefghijklmno", "p q", " ", "r"]
